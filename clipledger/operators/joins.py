@@ -222,6 +222,29 @@ def with_track_problem(df: DataFrame, expected: str, actual: str, out: str = "tr
     return df.withColumn(out, compare_tracks(F.col(expected), F.col(actual)))
 
 
+def compare_track_rows(
+    expected: DataFrame, actual: DataFrame, item: str, position: str, track: str,
+    out: str = "track_problem",
+) -> DataFrame:
+    """The same comparison for lists stored one element per row.
+
+    Suits lists of any length: the join key is (item, 0-based position), so no
+    list is ever gathered. Returns the differing positions.
+    """
+    on = [item, position]
+    both = join_on(
+        expected.select(*on, F.col(track).alias("__e")),
+        actual.select(*on, F.col(track).alias("__a")),
+        on,
+        "full_outer",
+    )
+    message = F.concat(
+        F.lit("track "), (F.col(position) + 1).cast("string"), F.lit(": expected "),
+        F.coalesce("__e", F.lit("none")), F.lit(" got "), F.coalesce("__a", F.lit("none")),
+    )
+    return both.where(~F.lower("__e").eqNullSafe(F.lower("__a"))).select(*on, message.alias(out))
+
+
 def incompatible_tracks(
     df: DataFrame, item: str, tracks: str, allowed: DataFrame, on=("container", "codec")
 ) -> DataFrame:
