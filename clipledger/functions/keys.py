@@ -14,26 +14,49 @@ def as_list(cols: str | Iterable[str]) -> list[str]:
 
 
 def join_on(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi join on ``on`` in which NULL keys match each other.
+    """Equi join by column names. A NULL key is an unknown identity: it matches nothing."""
+    return left.join(right, on, how)
 
-    Null-safe equality stays a hash-able equi condition, so Spark still picks
-    broadcast, shuffled-hash or sort-merge by size. The right key columns are
-    dropped (for a full outer join the keys are coalesced).
+
+NULLS = "__key_nulls"
+# fixed values: stand-ins for NULL, told apart from real values by the mask
+_STAND_INS = {
+    T.StringType: "", T.BooleanType: False, T.BinaryType: b"",
+    T.DateType: "1970-01-01", T.TimestampType: "1970-01-01 00:00:00",
+    T.TimestampNTZType: "1970-01-01 00:00:00",
+}
+
+
+def solid(df: DataFrame, key) -> tuple[DataFrame, list[str]]:
+    """Key columns without NULLs, plus a mask column that tells which were NULL.
+
+    Grouping, windows and joins on the result treat NULL as a key of its own
+    with plain equality, so one hash partitioning serves all of them; null-safe
+    joins would hash other expressions and shuffle again. ``restore`` undoes it.
+    Both leave a key that is solid already as it is.
     """
-    renamed = right
-    for c in on:
-        renamed = renamed.withColumnRenamed(c, f"__r_{c}")
-    cond = None
-    for c in on:
-        piece = left[c].eqNullSafe(renamed[f"__r_{c}"])
-        cond = piece if cond is None else cond & piece
-    joined = left.join(renamed, cond, how)
-    if how in ("left_semi", "left_anti"):
-        return joined
-    if how in ("full_outer", "full", "outer", "right", "right_outer"):
-        for c in on:
-            joined = joined.withColumn(c, F.coalesce(F.col(c), F.col(f"__r_{c}")))
-    return joined.drop(*[f"__r_{c}" for c in on])
+    key = as_list(key)
+    if NULLS in key:
+        return df, key
+    mask = F.lit(0)
+    filled = {}
+    for i, k in enumerate(key):
+        field = df.schema[k]
+        if not field.nullable:
+            continue
+        mask = mask + F.when(F.col(k).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
+        filled[k] = F.coalesce(
+            F.col(k), F.lit(_STAND_INS.get(type(field.dataType), 0)).cast(field.dataType)
+        )
+    return df.withColumns({NULLS: mask, **filled}), [*key, NULLS]
+
+
+def restore(df: DataFrame, key) -> DataFrame:
+    key = as_list(key)
+    if NULLS in key:
+        return df
+    back = {k: F.when(F.col(NULLS).bitwiseAND(1 << i) == 0, F.col(k)) for i, k in enumerate(key)}
+    return df.withColumns(back).drop(NULLS)
 
 
 def micros(df: DataFrame, name: str) -> Column:

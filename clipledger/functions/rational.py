@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,21 @@ RATE_TYPE = f"struct<num:{DEC},den:{DEC},value:double,status:string>"
 
 # fixed values: spellings that mean "unknown", and the accepted grammar
 UNKNOWN_RATES = ["", "0/0", "N/A"]
-_CHARSET = r"^[0-9/.eE+-]{1,64}\z"
+_MAX_LENGTH = 64
 _FRACTION = r"^\+?[0-9]+/[0-9]+\z"
 _DECIMAL = r"^\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _MAX_EXPONENT = 1000
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Keeps a parse in one expression of linear size. Chained projections would
+    be inlined into each other when a filter on the result is pushed down.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _euclid(a: Column, b: Column) -> Column:
     """Greatest common divisor by a bounded fold.
 
@@ -23,124 +34,138 @@ def _euclid(a: Column, b: Column) -> Column:
     so the fold is no longer than the values require.
     """
     steps = F.length(F.least(a, b).cast("string")) * 5 + 1
-    kind = "struct<x:{0},y:{0}>"
 
-    def run(t: str, x: Column, y: Column) -> Column:
-        start = F.struct(x.cast(t).alias("x"), y.cast(t).alias("y"))
+    def run(t: str) -> Column:
+        start = F.struct(a.cast(t).alias("x"), b.cast(t).alias("y"))
         return F.aggregate(
             F.sequence(F.lit(1), steps),
             start,
             lambda s, _: F.when(
-                s["y"] != 0,
-                F.struct(s["y"].alias("x"), (s["x"] % s["y"]).cast(t).alias("y")),
+                s["y"] != 0, F.struct(s["y"].alias("x"), (s["x"] % s["y"]).cast(t).alias("y"))
             ).otherwise(s),
             lambda s: s["x"].cast(DEC),
         )
 
     limit = F.lit("1000000000000000000").cast(DEC)
-    return F.when((a < limit) & (b < limit), run("bigint", a, b)).otherwise(run(DEC, a, b))
-
-
-def _shrink(n: Column, gcd: Column) -> Column:
-    return F.when(gcd == 1, n).otherwise(F.try_divide(n, gcd).try_cast(DEC))
+    return (
+        F.when((a == 1) | (b == 1), F.lit(1).cast(DEC))
+        .when((a < limit) & (b < limit), run("bigint"))
+        .otherwise(run(DEC))
+    )
 
 
-def _whole(digits: Column) -> Column:
-    """Integer text; a leading zero followed by digits means base eight."""
-    octal = digits.rlike(r"^0[0-7]{1,21}\z")
-    return (
-        F.when(octal, F.conv(digits, 8, 10).try_cast(DEC))
-        .when(digits.rlike(r"^0[0-9]+\z"), F.lit(None).cast(DEC))
-        .otherwise(digits.try_cast(DEC))
+def _parts(num: Column, den: Column, value: Column) -> Column:
+    return F.struct(
+        num.cast(DEC).alias("n"), den.cast(DEC).alias("d"), value.cast("double").alias("v")
     )
 
 
-def with_rate(
-    df: DataFrame, text: str, out: str, lenient: bool = True, trim: bool = False
-) -> DataFrame:
-    """Add the parsed rational of ``text`` as ``out``.
+def _reduced(parts: Column, absent: Column) -> Column:
+    """Rate in lowest terms from numerator, denominator and floating value.
 
-    ``status`` is ``ok``, ``unknown`` (lenient mode only), ``invalid`` or
-    ``unsupported_precision``. The character whitelist runs before any cast,
-    because casts accept spellings such as ``0x1p3``, ``1d`` or ``Infinity``.
+    ``absent`` marks unknown input. What does not fit the decimals is reported
+    as such instead of being rounded.
     """
-    p = f"__{out}_"
-    s = F.trim(F.col(text)) if trim else F.col(text)
-    df = df.withColumn(p + "s", F.coalesce(s, F.lit("")))
-    s = F.col(p + "s")
-    body = F.regexp_replace(s, r"^\+", "")
-    exp_text = F.regexp_extract(s, r"[eE]([+-]?[0-9]+)\z", 1)
-    exponent = F.when(exp_text == "", F.lit(0)).otherwise(exp_text.try_cast("int"))
-    mantissa = F.regexp_replace(body, r"[eE].*\z", "")
-    frac = F.regexp_extract(mantissa, r"\.([0-9]*)\z", 1)
-    df = df.withColumns(
-        {
-            p + "kind": F.when(~s.rlike(_CHARSET), F.lit("bad"))
-            .when(s.rlike(_FRACTION), F.lit("frac"))
-            .when(s.rlike(_DECIMAL), F.lit("dec"))
-            .otherwise(F.lit("bad")),
-            p + "exp": exponent,
-            p + "digits": F.regexp_replace(F.replace(mantissa, F.lit(".")), r"^0+", ""),
-            p + "scale": F.length(frac),
-            p + "a": _whole(F.split_part(body, F.lit("/"), F.lit(1))),
-            p + "b": _whole(F.split_part(body, F.lit("/"), F.lit(2))),
-        }
-    )
-    kind, digits = F.col(p + "kind"), F.col(p + "digits")
-    short = F.regexp_replace(digits, r"0+\z", "")
-    shift = F.col(p + "exp") - F.col(p + "scale") + F.length(digits) - F.length(short)
-    df = df.withColumns(
-        {
-            p + "num": F.when(kind == "frac", F.col(p + "a")).otherwise(
-                F.concat(short, F.repeat(F.lit("0"), F.greatest(shift, F.lit(0)))).try_cast(DEC)
-            ),
-            p + "den": F.when(kind == "frac", F.col(p + "b")).otherwise(
-                F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(-shift, F.lit(0)))).try_cast(DEC)
+
+    def shrink(n: Column, g: Column) -> Column:
+        return F.when(g == 1, n).otherwise(F.try_divide(n, g).try_cast(DEC))
+
+    def divide(p: Column) -> Column:
+        sound = F.coalesce((p["v"] > 0) & (p["v"] < float("inf")), F.lit(False))
+        g = F.when(sound & p["n"].isNotNull() & p["d"].isNotNull(), _euclid(p["n"], p["d"]))
+        return _let(
+            F.struct(p.alias("p"), g.alias("g"), sound.alias("sound")),
+            lambda q: F.struct(
+                shrink(q["p"]["n"], q["g"]).alias("n"), shrink(q["p"]["d"], q["g"]).alias("d"),
+                q["p"]["v"].alias("v"), q["sound"].alias("sound"),
             ),
-            p + "value": F.when(
-                kind == "frac",
-                F.try_divide(
-                    F.split_part(body, F.lit("/"), F.lit(1)).try_cast("double"),
-                    F.split_part(body, F.lit("/"), F.lit(2)).try_cast("double"),
-                ),
-            ).otherwise(s.try_cast("double")),
-        }
-    )
-    num, den, value = F.col(p + "num"), F.col(p + "den"), F.col(p + "value")
-    octal = (kind == "frac") & num.isNotNull() & den.isNotNull() & body.rlike(r"(^|/)0[0-9]")
-    value = F.when(octal, F.try_divide(num.cast("double"), den.cast("double"))).otherwise(value)
-    octal_bad = (kind == "frac") & body.rlike(r"(^|/)0[0-7]*[89]")
-    status = (
-        F.when(F.lit(lenient) & s.isin(*UNKNOWN_RATES), F.lit("unknown"))
-        .when(kind == "bad", F.lit("invalid"))
-        .when(
-            (kind == "dec")
-            & (F.col(p + "exp").isNull() | (F.abs(F.col(p + "exp")) > _MAX_EXPONENT)),
-            F.lit("invalid"),
         )
-        .when(octal_bad | value.isNull() | ~(value > 0), F.lit("invalid"))
-        .when(F.isnan(value) | (value == float("inf")), F.lit("invalid"))
-        .when(num.isNull() | den.isNull(), F.lit("unsupported_precision"))
-        .otherwise(F.lit("ok"))
-    )
-    df = df.withColumns({p + "status": status, p + "float": value})
-    ok = F.col(p + "status") == "ok"
-    df = df.withColumn(p + "gcd", F.when(ok, _euclid(num, den)))
-    gcd = F.col(p + "gcd")
-    df = df.withColumns({p + "rn": _shrink(num, gcd), p + "rd": _shrink(den, gcd)})
-    fits = F.col(p + "rn").isNotNull() & F.col(p + "rd").isNotNull()
-    df = df.withColumn(
-        out,
-        F.struct(
-            F.when(fits, F.col(p + "rn")).alias("num"),
-            F.when(fits, F.col(p + "rd")).alias("den"),
-            F.when(fits, F.col(p + "float")).alias("value"),
-            F.when(ok & ~fits, F.lit("unsupported_precision"))
-            .otherwise(F.col(p + "status"))
+
+    def build(r: Column) -> Column:
+        fits = r["n"].isNotNull() & r["d"].isNotNull()
+        return F.struct(
+            F.when(fits, r["n"]).alias("num"),
+            F.when(fits, r["d"]).alias("den"),
+            F.when(fits, r["v"]).alias("value"),
+            F.when(absent, F.lit("unknown"))
+            .when(~r["sound"], F.lit("invalid"))
+            .when(fits, F.lit("ok"))
+            .otherwise(F.lit("unsupported_precision"))
             .alias("status"),
+        )
+
+    return _let(_let(parts, divide), build)
+
+
+def _fraction(body: Column) -> Column:
+    """``a/b`` of whole numbers; a leading zero before digits means base eight."""
+    a, b = F.split_part(body, F.lit("/"), F.lit(1)), F.split_part(body, F.lit("/"), F.lit(2))
+
+    def whole(t: Column) -> Column:
+        return F.when(~t.rlike(r"^0[0-9]"), t.try_cast(DEC)).when(
+            t.rlike(r"^0[0-7]{1,21}\z"), F.conv(t, 8, 10).try_cast(DEC)
+        )
+
+    plain = _parts(
+        a.try_cast(DEC), b.try_cast(DEC),
+        F.try_divide(a.try_cast("double"), b.try_cast("double")),
+    )
+    eights = _let(
+        F.struct(whole(a).alias("n"), whole(b).alias("d")),
+        lambda p: _parts(
+            p["n"], p["d"], F.try_divide(p["n"].cast("double"), p["d"].cast("double"))
         ),
     )
-    return df.drop(*[c for c in df.columns if c.startswith(p)])
+    return F.when(body.rlike(r"(^|/)0[0-9]"), eights).otherwise(plain)
+
+
+def _decimal(body: Column) -> Column:
+    """Decimal text with optional exponent as ``digits * 10 ^ shift``."""
+    mantissa = F.regexp_replace(body, r"[eE].*\z", "")
+    exp_text = F.regexp_extract(body, r"[eE]([+-]?[0-9]+)\z", 1)
+    split = F.struct(
+        F.regexp_replace(F.replace(mantissa, F.lit(".")), r"^0+", "").alias("digits"),
+        F.length(F.regexp_extract(mantissa, r"\.([0-9]*)\z", 1)).alias("scale"),
+        F.when(exp_text == "", F.lit(0)).otherwise(exp_text.try_cast("int")).alias("exp"),
+    )
+
+    def build(p: Column) -> Column:
+        short = F.rtrim(p["digits"], F.lit("0"))
+        shift = p["exp"] - p["scale"] + F.length(p["digits"]) - F.length(short)
+        zeros = F.repeat(F.lit("0"), F.abs(shift))
+        return _parts(
+            F.concat(short, F.when(shift > 0, zeros).otherwise(F.lit(""))).try_cast(DEC),
+            F.concat(F.lit("1"), F.when(shift < 0, zeros).otherwise(F.lit(""))).try_cast(DEC),
+            F.when(F.abs(p["exp"]) <= _MAX_EXPONENT, body.try_cast("double")),
+        )
+
+    return _let(split, build)
+
+
+def parse_rate(text: Column, lenient: bool = True, trim: bool = False) -> Column:
+    """The exact positive rational a text spells, as a rate struct.
+
+    ``status`` is ``ok``, ``unknown`` (lenient mode only), ``invalid`` or
+    ``unsupported_precision``. The grammar is checked before any cast, because
+    casts accept spellings such as ``0x1p3``, ``1d`` or ``Infinity``.
+    """
+
+    def build(s: Column) -> Column:
+        body = F.ltrim(s, F.lit("+"))
+        short = F.length(s) <= _MAX_LENGTH
+        parts = F.when(short & s.rlike(_FRACTION), _fraction(body)).when(
+            short & s.rlike(_DECIMAL), _decimal(body)
+        ).otherwise(_parts(F.lit(None), F.lit(None), F.lit(None)))
+        return _reduced(parts, s.isin(*UNKNOWN_RATES) if lenient else F.lit(False))
+
+    return _let(F.coalesce(F.trim(text) if trim else text, F.lit("")), build)
+
+
+def with_rate(
+    df: DataFrame, text: str, out: str, lenient: bool = True, trim: bool = False
+) -> DataFrame:
+    """Add :func:`parse_rate` of the column ``text`` as ``out``."""
+    return df.withColumn(out, parse_rate(F.col(text), lenient, trim))
 
 
 def rate_text(rate: Column) -> Column:
@@ -151,33 +176,16 @@ def rate_text(rate: Column) -> Column:
     )
 
 
-def with_quotient(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Add ``a / b`` of two rate columns, reduced, as another rate column."""
-    p = f"__{out}_"
-    left, right = F.col(a), F.col(b)
-    both = (left["status"] == "ok") & (right["status"] == "ok")
-    df = df.withColumns(
-        {
-            p + "n": F.when(both, F.try_multiply(left["num"], right["den"]).try_cast(DEC)),
-            p + "d": F.when(both, F.try_multiply(left["den"], right["num"]).try_cast(DEC)),
-            p + "ok": both,
-        }
+def quotient(a: Column, b: Column) -> Column:
+    """``a / b`` of two rates, reduced; unknown unless both are usable."""
+    both = F.coalesce((a["status"] == "ok") & (b["status"] == "ok"), F.lit(False))
+    parts = _parts(
+        F.try_multiply(a["num"], b["den"]).try_cast(DEC),
+        F.try_multiply(a["den"], b["num"]).try_cast(DEC),
+        a["value"] / b["value"],
     )
-    n, d = F.col(p + "n"), F.col(p + "d")
-    exact = n.isNotNull() & d.isNotNull()
-    df = df.withColumn(p + "g", F.when(exact, _euclid(n, d)))
-    df = df.withColumns({p + "rn": _shrink(n, F.col(p + "g")), p + "rd": _shrink(d, F.col(p + "g"))})
-    exact = F.col(p + "rn").isNotNull() & F.col(p + "rd").isNotNull()
-    df = df.withColumn(
-        out,
-        F.struct(
-            F.col(p + "rn").alias("num"),
-            F.col(p + "rd").alias("den"),
-            F.when(exact, F.col(p + "rn").cast("double") / F.col(p + "rd").cast("double")).alias("value"),
-            F.when(exact, F.lit("ok"))
-            .when(F.col(p + "ok"), F.lit("unsupported_precision"))
-            .otherwise(F.lit("unknown"))
-            .alias("status"),
-        ),
-    )
-    return df.drop(*[c for c in df.columns if c.startswith(p)])
+    return _reduced(parts, ~both)
+
+
+def with_quotient(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    return df.withColumn(out, quotient(F.col(a), F.col(b)))

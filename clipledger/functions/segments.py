@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from clipledger.functions.keys import as_list, join_on
+from clipledger.functions.keys import as_list, join_on, restore, solid
 
 SEG = "__seg"
 SEGMENT_ROWS = 1 << 22
@@ -62,16 +62,17 @@ def with_rank(
     df: DataFrame, key, seq: str, out: str = "rank", rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """1-based position of each row within its key, ordered by ``seq``."""
+    df, full = solid(df, key)
     cut = with_segment(df, seq, rows)
-    sizes = summarise(cut.select(*as_list(key), SEG), key, F.count(F.lit(1)).alias("__n"))
+    sizes = summarise(cut.select(*full, SEG), full, F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select(
-        *as_list(key),
+        *full,
         SEG,
-        F.coalesce(F.sum("__n").over(before(along(key))), F.lit(0)).alias("__offset"),
+        F.coalesce(F.sum("__n").over(before(along(full))), F.lit(0)).alias("__offset"),
     )
-    local = cut.withColumn("__local", F.row_number().over(inside(key, seq)))
-    return (
-        attach(local, offsets, key)
-        .withColumn(out, F.col("__local") + F.col("__offset"))
-        .drop("__local", "__offset", SEG)
+    ranked = (
+        attach(cut, offsets, full)
+        .withColumn(out, F.row_number().over(inside(full, seq)) + F.col("__offset"))
+        .drop("__offset", SEG)
     )
+    return restore(ranked, key)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clipledger import constants as C
 from clipledger.functions import text
 from clipledger.functions.digest import content_signature
-from clipledger.functions.keys import as_list, join_on, micros
+from clipledger.functions.keys import as_list, join_on, micros, restore, solid
 from clipledger.functions.rational import rate_text, with_rate
 from clipledger.functions.segments import (
     SEG, SEGMENT_ROWS, along, before, inside, summarise, with_segment,
@@ -71,10 +71,9 @@ def timeline_stats(
     Spacing is measured inside segments, then across segment borders on the
     segment summaries, so no task ever holds a whole hot key.
     """
-    key = as_list(key)
-    rows = with_segment(
-        df.select(*key, seq, micros(df, ts).alias("__t")), seq, segment_rows
-    )
+    names = as_list(key)
+    df, key = solid(df.select(*names, seq, micros(df, ts).alias("__t")), names)
+    rows = with_segment(df, seq, segment_rows)
     w = inside(key, seq)
     local = rows.withColumn(
         "__d", F.col("__t") - F.last("__t", ignorenulls=True).over(before(w))
@@ -104,7 +103,7 @@ def timeline_stats(
     border = F.coalesce((cross != F.col("d_prev")).cast("long"), F.lit(0)) + F.coalesce(
         (F.col("d_first") != cross).cast("long"), F.lit(0)
     )
-    return per_seg.groupBy(*key).agg(
+    stats = per_seg.groupBy(*key).agg(
         F.sum("n").alias("n"),
         (F.count("t_first") > 0).alias("reported"),
         F.sum(F.col("changes") + border).alias("changed_deltas"),
@@ -112,6 +111,7 @@ def timeline_stats(
         F.greatest(F.max("d_max"), F.max("cross")).alias("max_delta"),
         (F.max("t_max") - F.min("t_min")).alias("span"),
     )
+    return restore(stats, names)
 
 
 def broken_timeline(stats: DataFrame, reference: Column, out: str = "broken") -> DataFrame:
@@ -340,7 +340,8 @@ def chunked_pattern_count(
     segments are counted on the segment summaries, which carry the first and
     last ``m - 1`` units of each segment.
     """
-    key = as_list(key)
+    names = as_list(key)
+    df, key = solid(df, names)
     if isinstance(pattern, bytes):
         units, pattern = F.decode(F.col(chunk), "ISO-8859-1"), pattern.decode("latin-1")
     else:
@@ -348,9 +349,8 @@ def chunked_pattern_count(
     m = len(pattern)
     data = with_segment(df.select(*key, seq, units.alias("__c")), seq, segment_rows)
     if m == 1:
-        return data.groupBy(*key).agg(
-            F.coalesce(F.sum(occurrences(F.col("__c"), pattern)), F.lit(0)).alias("hits")
-        )
+        hits = F.coalesce(F.sum(occurrences(F.col("__c"), pattern)), F.lit(0))
+        return restore(data.groupBy(*key).agg(hits.alias("hits")), names)
     keep = m - 1
     c = F.col("__c")
     # Empty chunks go to segments of their own, ahead of the others, so that
@@ -380,6 +380,5 @@ def chunked_pattern_count(
         F.collect_list("tail").over(along(key).rowsBetween(-keep, -1)), ""
     )
     per_seg = per_seg.withColumn("__carry", F.right(border_prior, F.lit(keep)))
-    return per_seg.groupBy(*key).agg(
-        F.sum(F.col("hits") + occurrences(F.concat("__carry", "head"), pattern)).alias("hits")
-    )
+    hits = F.sum(F.col("hits") + occurrences(F.concat("__carry", "head"), pattern))
+    return restore(per_seg.groupBy(*key).agg(hits.alias("hits")), names)

@@ -21,14 +21,16 @@ fold exactly.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from clipledger import constants as C
-from clipledger.functions.keys import as_list, join_on, micros
+from clipledger.functions.keys import as_list, join_on, micros, restore, solid
 from clipledger.functions.segments import SEG, along, attach, inside, summarise
+from clipledger.functions.shared import written
 
 _SECOND = int(C.PROGRESS_SECONDS * 1_000_000)
 
@@ -41,14 +43,16 @@ def _next_sure(sure: np.ndarray) -> np.ndarray:
 
 
 class _Cell:
-    """Sorted rows of one cell of one key."""
+    """Rows of one cell of one key, as arrays in ``(t, s)`` order."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        pdf = pdf.sort_values(["__t", "__s"], kind="stable")
-        self.s = pdf["__s"].to_numpy()
-        self.t = pdf["__t"].to_numpy()
-        self.p = pdf["__p"].to_numpy(dtype=float)
-        self.sure = _next_sure(pdf["__sure"].to_numpy(dtype=bool))
+    def __init__(self, s, t, p, sure):
+        at = np.lexsort((s, t))
+        self.s, self.t, self.p = s[at], t[at], p[at]
+        self.sure = _next_sure(sure[at])
+
+    @classmethod
+    def of(cls, table: pa.Table) -> "_Cell":
+        return cls(*(table[c].to_numpy() for c in ("__s", "__t", "__p", "__sure")))
 
     def following(self, start: int, last_t: float, last_p: float) -> int:
         """First row from ``start`` on that is emitted after the given state."""
@@ -82,147 +86,161 @@ class _Cell:
 
 
 def throttle(
-    df: DataFrame, key, ts: str, seq: str, stage: str, pct: str, cell_seconds: int = 8
+    df: DataFrame, key, ts: str, seq: str, stage: str, pct: str, cell_seconds: int = 30
 ) -> DataFrame:
     """Rows that a throttled printer would show, in the columns of ``df``.
 
     Rows of a key are taken by ``(ts, seq)``; ``seq`` is an integer, unique
     within the key. ``pct`` is a fraction.
     """
-    key = as_list(key)
+    names = as_list(key)
+    df, key = solid(df, names)
     cell_us = max(int(cell_seconds), 1) * 1_000_000
-    rows = df.select(
-        *key,
-        F.col(seq).cast("long").alias("__s"),
-        micros(df, ts).alias("__t"),
-        F.coalesce(F.col(pct).cast("double"), F.lit(0.0)).alias("__p"),
-        F.coalesce(F.col(stage), F.lit("")).alias("__stage"),
+    rows = df.withColumns(
+        {
+            "__s": F.col(seq).cast("long"),
+            "__t": micros(df, ts).cast("long"),
+            "__p": F.coalesce(F.col(pct).cast("double"), F.lit(0.0)),
+            "__stage": F.coalesce(F.col(stage), F.lit("")),
+        }
     ).withColumn(SEG, F.floor(F.col("__t") / F.lit(cell_us)).cast("long"))
+    rows = _decide(rows, key)
+
+    clear = rows.where(~F.col("__mixed")).select(*df.columns)
+    shown = _emit_cells(rows, key, cell_us)
+    walked = rows.where("__mixed").select(*df.columns, SEG, "__s")
+    # A cell is part of the join key, so no task gets more than one cell per key.
+    walked = join_on(walked, shown, [*key, SEG, "__s"], "left_semi").select(*df.columns)
+    return restore(clear.unionByName(walked), names)
+
+
+def _decide(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Mark rows emitted in any case, and what each cell needs to know.
+
+    ``__sure``: emitted whatever the state. ``__mixed``: the cell holds rows
+    that are not sure. ``__asked``: the next cell opens with such a row, so
+    this cell's last emission matters; ``__passes``: the next cell is itself
+    asked, so it must be walked for every possible entry.
+    """
     order = F.struct("__t", "__s")
-    here = F.struct("__t", "__stage")
-    last = summarise(rows, key, F.max_by(here, order).alias("__last")).select(
-        *key, SEG, F.lag("__last").over(along(key)).alias("__before")
-    )
-    rows = attach(rows.withColumn("__local", F.lag(here).over(inside(key, order))), last, key)
-    prev = F.coalesce(F.col("__local"), F.col("__before"))
-    rows = rows.select(
-        *key, SEG, "__s", "__t", "__p",
-        (
+    here = F.struct("__t", "__stage", "__p")
+
+    def sure(now, prev):
+        return (
             prev.isNull()
-            | (F.col("__stage") != prev["__stage"])
-            | (F.col("__p") >= C.PROGRESS_DONE)
-            | (F.col("__t") - prev["__t"] >= _SECOND)
-        ).alias("__sure"),
-    )
+            | (now["__stage"] != prev["__stage"])
+            | (now["__p"] >= C.PROGRESS_DONE)
+            | (now["__t"] - prev["__t"] >= _SECOND)
+        )
+
+    a = along(key)
     cells = summarise(
-        rows,
-        key,
-        F.count_if(~F.col("__sure")).alias("__unsure"),
-        F.min_by("__sure", F.struct("__t", "__s")).alias("__opens_sure"),
-    ).where(F.col("__unsure") > 0)
-
-    emitted = _emit_cells(rows, cells, key, cell_us)
-    clear = join_on(rows, cells, [*key, SEG], "left_anti").select(*key, F.col("__s"))
-    shown = clear.unionByName(emitted).withColumnRenamed("__s", seq)
-    return join_on(df, shown, [*key, seq], "left_semi")
-
-
-def _emit_cells(rows: DataFrame, cells: DataFrame, key: list[str], cell_us: int) -> DataFrame:
-    """Emitted row numbers of the cells that hold undecided rows."""
-    fields = {f.name: f for f in rows.schema.fields}
-    key_fields = [fields[k] for k in key]
-    open_cells = cells.where(~F.col("__opens_sure")).select(*key, SEG)
-    # The cell before an undecided opening must tell which row it emitted last.
-    asked = open_cells.withColumn(SEG, F.col(SEG) - 1)
-    body = join_on(rows, asked, [*key, SEG], "left_semi").withColumn("__lead", F.lit(False))
-    tail = F.pmod(F.col("__t"), F.lit(cell_us)) >= cell_us - _SECOND
-    moved = rows.where(tail).withColumn(SEG, F.col(SEG) + 1)
-    chained = join_on(asked, open_cells, [*key, SEG], "left_semi")
-    lead = join_on(moved, chained, [*key, SEG], "left_semi").withColumn("__lead", F.lit(True))
+        rows, key, F.min_by(here, order).alias("__first"), F.max_by(here, order).alias("__last")
+    )
+    cells = cells.withColumn("__before", F.lag("__last").over(a))
+    cells = cells.withColumn("__opens_sure", sure(F.col("__first"), F.col("__before")))
+    cells = cells.withColumn(
+        "__asked", F.coalesce(~F.lead("__opens_sure").over(a), F.lit(False))
+    ).withColumn("__passes", F.coalesce(F.lead("__asked").over(a), F.lit(False)) & F.col("__asked"))
+    rows = attach(rows, cells.select(*key, SEG, "__before", "__asked", "__passes"), key)
+    prev = F.coalesce(F.lag(here).over(inside(key, order)), F.col("__before"))
+    rows = rows.withColumn("__prev", prev).withColumn("__sure", sure(here, F.col("__prev")))
+    whole = Window.partitionBy(*key, SEG)
+    return rows.withColumn("__mixed", ~F.bool_and("__sure").over(whole)).drop("__prev", "__before")
+
+
+def _schema(key_fields, *pairs) -> T.StructType:
+    return T.StructType([*key_fields, *[T.StructField(n, t) for n, t in pairs]])
 
+
+def _table(schema: pa.Schema, key: tuple, columns) -> pa.Table:
+    """Result of a group: the key repeated, then the given columns."""
+    columns = [pa.array(c, f.type) for c, f in zip(columns, list(schema)[len(key) :])]
+    n = len(columns[0])
+    fixed = [pa.array([v.as_py()] * n, f.type) for v, f in zip(key, schema)]
+    return pa.Table.from_arrays([*fixed, *columns], schema=schema)
+
+
+def _emit_cells(rows: DataFrame, key: list[str], cell_us: int) -> DataFrame:
+    """Emitted rows ``(key, cell, __s)`` of the mixed cells."""
+    key_fields = [rows.schema[k] for k in key]
     long, double = T.LongType(), T.DoubleType()
-    map_schema = T.StructType(
-        key_fields
-        + [
-            T.StructField(SEG, long),
-            T.StructField("__entry", long),
-            T.StructField("__exit", long),
-            T.StructField("__exit_t", long),
-            T.StructField("__exit_p", double),
-        ]
+    narrow = rows.select(*key, SEG, "__s", "__t", "__p", "__sure", "__mixed", "__asked", "__passes")
+
+    # Asked cells, preceded by the last second of the cell before where it matters.
+    late = F.pmod(F.col("__t"), F.lit(cell_us)) >= cell_us - _SECOND
+    copies = F.array_compact(
+        F.array(
+            F.struct(F.col(SEG).alias("c"), F.lit(False).alias("lead")),
+            F.when(
+                F.col("__passes") & late,
+                F.struct((F.col(SEG) + 1).alias("c"), F.lit(True).alias("lead")),
+            ),
+        )
     )
+    asked = (
+        narrow.where("__asked")
+        .select(*key, F.explode(copies).alias("x"), "__s", "__t", "__p", "__sure")
+        .select(*key, F.col("x.c").alias(SEG), F.col("x.lead").alias("__lead"), "__s", "__t", "__p", "__sure")
+    )
+    map_schema = _schema(
+        key_fields, (SEG, long), ("__entry", long), ("__exit", long), ("__exit_t", long), ("__exit_p", double)
+    )
+    map_fields = to_arrow_schema(map_schema)
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        leads = pdf[pdf["__lead"]]
-        cell = _Cell(pdf[~pdf["__lead"]])
+    def exits(k, table):
+        lead = table["__lead"].to_numpy()
+        leads, cell = table.filter(pa.array(lead)), _Cell.of(table.filter(pa.array(~lead)))
         entries = [(None, -np.inf, 0.0)] + list(
-            zip(leads["__s"].tolist(), leads["__t"].tolist(), leads["__p"].tolist())
+            zip(*(leads[c].to_pylist() for c in ("__s", "__t", "__p")))
         )
         first = [cell.following(0, t, p) for _, t, p in entries]
-        inside_ = sorted({f for f in first if f < len(cell.t)})
-        last = dict(zip(inside_, cell.exits(inside_)))
+        starts = sorted({f for f in first if f < len(cell.t)})
+        last = dict(zip(starts, cell.exits(starts)))
         out = []
         for (s, t, p), f in zip(entries, first):
             if f in last:
                 i = last[f]
                 out.append((s, int(cell.s[i]), int(cell.t[i]), float(cell.p[i])))
             else:
-                out.append((s, s, None if s is None else int(t), p))
-        res = pd.DataFrame(out, columns=["__entry", "__exit", "__exit_t", "__exit_p"])
-        for c in ("__entry", "__exit", "__exit_t"):
-            res[c] = res[c].astype("Int64")
-        for k in [*key, SEG]:
-            res[k] = pdf[k].iloc[0]
-        return res[[f.name for f in map_schema.fields]]
-
-    maps = body.unionByName(lead).groupBy(*key, SEG).applyInPandas(exits, map_schema)
+                out.append((s, s, None if s is None else t, p))
+        return _table(map_fields, k, zip(*out))
+
+    # Small (one row per possible entry) and read twice, hence written out.
+    maps = written(asked.groupBy(*key, SEG).applyInArrow(exits, map_schema), "throttle")
     # Only entries that some walk of the cell before can actually reach matter.
     reachable = maps.where(F.col("__exit").isNotNull()).select(
         *key, (F.col(SEG) + 1).alias(SEG), F.col("__exit").alias("__entry")
     ).distinct()
-    fresh = maps.where(F.col("__entry").isNull())
     useful = join_on(
         maps.where(F.col("__entry").isNotNull()), reachable, [*key, SEG, "__entry"], "left_semi"
-    ).unionByName(fresh)
-
-    entry_schema = T.StructType(
-        key_fields
-        + [
-            T.StructField(SEG, long),
-            T.StructField("__last_t", long),
-            T.StructField("__last_p", double),
-        ]
-    )
+    ).unionByName(maps.where(F.col("__entry").isNull()))
+
+    entry_schema = _schema(key_fields, (SEG, long), ("__last_t", long), ("__last_p", double))
+    entry_fields = to_arrow_schema(entry_schema)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SEG, kind="stable")
+    def chain(k, table):
+        cols = (table[c].to_pylist() for c in (SEG, "__entry", "__exit", "__exit_t", "__exit_p"))
+        step = {(seg, entry): (x, t, p) for seg, entry, x, t, p in zip(*cols)}
         out, at, state = [], None, None
-        for seg, part in pdf.groupby(SEG, sort=True):
-            entry = state if at == seg - 1 else None
-            known = part[part["__entry"] == entry] if entry is not None else part.iloc[:0]
-            row = known.iloc[0] if len(known) else part[part["__entry"].isna()].iloc[0]
-            state = None if pd.isna(row["__exit"]) else int(row["__exit"])
+        for seg in sorted({seg for seg, _ in step}):
+            entry = (seg, state) if at == seg - 1 and (seg, state) in step else (seg, None)
+            state, t, p = step[entry]
             at = seg
             if state is not None:
-                out.append((seg + 1, int(row["__exit_t"]), float(row["__exit_p"])))
-        res = pd.DataFrame(out, columns=[SEG, "__last_t", "__last_p"])
-        for k in key:
-            res[k] = pdf[k].iloc[0]
-        return res[[f.name for f in entry_schema.fields]]
-
-    entries = useful.groupBy(*key).applyInPandas(chain, entry_schema)
-
-    emit_schema = T.StructType(key_fields + [T.StructField("__s", long)])
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = _Cell(pdf)
-        t, p = pdf["__last_t"].iloc[0], pdf["__last_p"].iloc[0]
-        kept = cell.walk(-np.inf if pd.isna(t) else float(t), 0.0 if pd.isna(p) else float(p))
-        res = pd.DataFrame({"__s": cell.s[kept]})
-        for k in key:
-            res[k] = pdf[k].iloc[0]
-        return res[[f.name for f in emit_schema.fields]]
-
-    work = join_on(rows, cells.select(*key, SEG), [*key, SEG], "left_semi")
-    work = attach(work, entries, key)
-    return work.groupBy(*key, SEG).applyInPandas(emit, emit_schema)
+                out.append((seg + 1, t, p))
+        return _table(entry_fields, k, zip(*out) if out else [[], [], []])
+
+    entries = useful.groupBy(*key).applyInArrow(chain, entry_schema)
+
+    emit_schema = _schema(key_fields, (SEG, long), ("__s", long))
+    emit_fields = to_arrow_schema(emit_schema)
+
+    def emit(k, table):
+        t, p = table["__last_t"][0].as_py(), table["__last_p"][0].as_py()
+        cell = _Cell.of(table)
+        kept = cell.walk(-np.inf if t is None else t, 0.0 if p is None else p)
+        return _table(emit_fields, k, [cell.s[kept]])
+
+    work = attach(narrow.where("__mixed").drop("__mixed", "__asked", "__passes"), entries, key)
+    return work.groupBy(*key, SEG).applyInArrow(emit, emit_schema)

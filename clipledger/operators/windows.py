@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipledger import constants as C
-from clipledger.functions.keys import as_list, join_on, micros
+from clipledger.functions.keys import as_list, join_on, micros, restore, solid
 from clipledger.functions.segments import (
     SEG, SEGMENT_ROWS, along, attach, before, inside, summarise, upto, with_rank, with_segment,
 )
@@ -77,7 +77,8 @@ def tail_bytes(
     Byte totals per segment decide which segments can hold tail bytes; only
     their rows are windowed. Adds ``tail`` (binary).
     """
-    key = as_list(key)
+    names = as_list(key)
+    df, key = solid(df, names)
     data = F.col(text).cast("binary")
     cut = with_segment(df, seq, segment_rows)
     size = F.coalesce(F.octet_length(data), F.lit(0)).cast("long")
@@ -93,9 +94,10 @@ def tail_bytes(
     ).where((F.col("__later") < limit) & (F.col("__b") > 0))
     room = (F.lit(limit) - F.col("__later")).cast("int")
     start = F.greatest(F.octet_length(data) - room, F.lit(0)) + 1
-    return rows.withColumn("tail", F.substring(data, start, room)).drop(
+    rows = rows.withColumn("tail", F.substring(data, start, room)).drop(
         "__after", "__later", "__b", SEG
     )
+    return restore(rows, names)
 
 
 # --------------------------------------------------------------- allocation
@@ -121,7 +123,9 @@ def allocate_slots(
     holds at most ``2 * max_slot`` rows per key whatever the key's size; later
     requests get a NULL slot and a reason.
     """
-    key = as_list(key)
+    names = as_list(key)
+    requests, key = solid(requests, names)
+    taken, _ = solid(taken, names)
     ranked = with_rank(requests, key, order, "__rank", segment_rows)
     used = (
         taken.where(F.col(slot).between(1, max_slot)).select(*key, F.col(slot).alias("__t")).distinct()
@@ -148,9 +152,10 @@ def allocate_slots(
         .select(*key, F.col("__o").alias(order), (F.col("__pos") + F.col("__skip")).alias(slot))
         .where(F.col(slot) <= max_slot)
     )
-    return join_on(ranked.drop("__rank"), slots, [*key, order], "left").withColumn(
+    served = join_on(ranked.drop("__rank"), slots, [*key, order], "left").withColumn(
         "slot_error", F.when(F.col(slot).isNull(), F.lit("no unused slot"))
     )
+    return restore(served, names)
 
 
 def slot_of_name(name: Column, prefix: Column, ext: str) -> Column:
@@ -182,8 +187,8 @@ def progress_metrics(
     The start of a key is its smallest ``ts``. It is one grouped value, joined
     back with hot keys split by the row count the same grouping provides.
     """
-    key = as_list(key)
-    rows = df.withColumn("__t", micros(df, ts))
+    names = as_list(key)
+    rows, key = solid(df.withColumn("__t", micros(df, ts)), names)
     starts = rows.groupBy(*key).agg(
         F.min("__t").alias("__start"), F.count(F.lit(1)).alias("__rows")
     )
@@ -192,7 +197,7 @@ def progress_metrics(
     )
     elapsed = (F.col("__t") - F.col("__start")) / 1e6
     rows = rows.withColumn("elapsed", elapsed).drop("__t", "__start", "__rows")
-    return progress_columns(rows, done, total, reported)
+    return progress_columns(restore(rows, names), done, total, reported)
 
 
 def progress_columns(df: DataFrame, done: str, total: str, reported: str | None = None) -> DataFrame:
@@ -228,7 +233,8 @@ def fill_snapshots(
     the last line of a key if ``unterminated`` flags it. Latest values are
     carried over segment borders on the segment summaries.
     """
-    key = as_list(key)
+    key_names = as_list(key)
+    lines, key = solid(lines, key_names)
     cut = with_segment(lines, seq, segment_rows)
     names = [f"f_{f}" for f in fields]
     s = F.col(seq)
@@ -263,12 +269,13 @@ def fill_snapshots(
     )
     if unterminated is not None:
         emit = emit | ((s == F.col("__last")) & F.col(unterminated))
-    return rows.where(emit).select(
+    snapshots = rows.where(emit).select(
         *key,
         seq,
         *[F.coalesce(F.col(n), F.col(f"__{n}")).alias(f) for f, n in zip(fields, names)],
         ((F.col(field) == end_field) & (F.col(value) == end_value)).alias("ended"),
     )
+    return restore(snapshots, key_names)
 
 
 # ----------------------------------------------------------------- attempts

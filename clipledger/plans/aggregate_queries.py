@@ -235,9 +235,11 @@ def job_signature(spark, sf_dir):
         .otherwise(F.concat(F.lit("0."), F.lpad(d.cast("string"), 2, "0")))
         .alias("rate"),
     )
+    # Few distinct option sets serve many rows: sign each set once.
+    jobs = lines.groupBy("l_returnflag", "rate").agg(F.count(F.lit(1)).alias("n"))
     flag = F.col("l_returnflag")
-    out = A.job_signature(lines, ["l_returnflag"], ["rate"], [(flag == "R") | (flag == "A")])
-    return out.groupBy("job_sig").agg(F.count(F.lit(1)).alias("n"))
+    out = A.job_signature(jobs, ["l_returnflag"], ["rate"], [(flag == "R") | (flag == "A")])
+    return out.groupBy("job_sig").agg(F.sum("n").alias("n"))
 
 
 PATTERN_SQL = """

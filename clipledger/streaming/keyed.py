@@ -111,7 +111,7 @@ def stream_throttle(df: DataFrame, key, ts: str, seq: str, stage: str, pct: str)
         if state.exists:
             last_t, last_p, before.iloc[0] = state.get
         pdf["__sure"] = (pdf["__stage"] != before) | (pdf["__p"] >= C.PROGRESS_DONE)
-        cell = _Cell(pdf)
+        cell = _Cell(*(pdf[c].to_numpy() for c in ("__s", "__t", "__p", "__sure")))
         kept = cell.walk(float(last_t), float(last_p))
         if kept:
             i = kept[-1]
