@@ -126,17 +126,19 @@ def _decimal(body: Column) -> Column:
     split = F.struct(
         F.regexp_replace(F.replace(mantissa, F.lit(".")), r"^0+", "").alias("digits"),
         F.length(F.regexp_extract(mantissa, r"\.([0-9]*)\z", 1)).alias("scale"),
-        F.when(exp_text == "", F.lit(0)).otherwise(exp_text.try_cast("int")).alias("exp"),
+        F.when(exp_text == "", F.lit(0)).otherwise(exp_text.try_cast("int")).alias("e"),
     )
 
     def build(p: Column) -> Column:
+        # Bounded before anything is padded: a short text can ask for 10^9 zeros.
+        exp = F.when(F.abs(p["e"]) <= _MAX_EXPONENT, p["e"])
         short = F.rtrim(p["digits"], F.lit("0"))
-        shift = p["exp"] - p["scale"] + F.length(p["digits"]) - F.length(short)
+        shift = exp - p["scale"] + F.length(p["digits"]) - F.length(short)
         zeros = F.repeat(F.lit("0"), F.abs(shift))
         return _parts(
             F.concat(short, F.when(shift > 0, zeros).otherwise(F.lit(""))).try_cast(DEC),
             F.concat(F.lit("1"), F.when(shift < 0, zeros).otherwise(F.lit(""))).try_cast(DEC),
-            F.when(F.abs(p["exp"]) <= _MAX_EXPONENT, body.try_cast("double")),
+            F.when(exp.isNotNull(), body.try_cast("double")),
         )
 
     return _let(split, build)
