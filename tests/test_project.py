@@ -13,37 +13,36 @@ def one(frame, col, value, schema="x string"):
     return frame([(value,)], schema).select(col.alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize(
-    "text,num,den",
-    [
-        ("30", 30, 1), ("30000/1001", 30000, 1001), ("0.1", 1, 10), ("23.976", 2997, 125),
-        ("1e-3", 1, 1000), ("1E2", 100, 1), ("+5/10", 1, 2), ("030/1", 24, 1), (".5", 1, 2),
-        ("5.", 5, 1), ("60/2", 30, 1), ("12345678901234567890/12345678901234567891", 12345678901234567890,
-                                        12345678901234567891),
-    ],
-)
-def test_rates_accepted(frame, text, num, den):
-    r = one(frame, parse_rate(F.col("x")), text)
-    assert (r["status"], int(r["num"]), int(r["den"])) == ("ok", num, den)
-    assert r["value"] == pytest.approx(num / den)
+ACCEPTED = [
+    ("30", 30, 1), ("30000/1001", 30000, 1001), ("0.1", 1, 10), ("23.976", 2997, 125), ("1e-3", 1, 1000),
+    ("1E2", 100, 1), ("+5/10", 1, 2), ("030/1", 24, 1), (".5", 1, 2), ("5.", 5, 1), ("60/2", 30, 1),
+    ("12345678901234567890/12345678901234567891", 12345678901234567890, 12345678901234567891),
+]
+REJECTED = [
+    "1e999999999", "1e-999999999", "1e1001", "1e+1001", "0x1p99", "9" * 65, "abc", "1e2e3", "1e-", "1e309", "1e-9999",
+    "-5", "1d", "Infinity", "NaN", "1/0", "0", "0/5", "08/1", "1/2/3", "1.5/2", "5/+3", " 30", "30\n", ".", "1e2/3",
+]
+UNKNOWN = ["", "0/0", "N/A", None]
 
 
-@pytest.mark.parametrize(
-    "text",
-    [
-        "1e999999999", "1e-999999999", "1e1001", "1e+1001", "0x1p99", "9" * 65, "abc", "1e2e3", "1e-",
-        "1e309", "1e-9999", "-5", "1d", "Infinity", "NaN", "1/0", "0", "0/5", "08/1", "1/2/3", "1.5/2",
-        "5/+3", " 30", "30\n", ".", "1e2/3",
-    ],
-)
-def test_rates_rejected(frame, text):
-    assert one(frame, parse_rate(F.col("x")), text)["status"] == "invalid"
+def parsed(frame, texts, **options):
+    d = frame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    return [r["r"] for r in d.select("i", parse_rate(F.col("x"), **options).alias("r")).orderBy("i").collect()]
+
+
+def test_rates_accepted(frame):
+    for (text, num, den), r in zip(ACCEPTED, parsed(frame, [t for t, _, _ in ACCEPTED])):
+        assert (text, r["status"], int(r["num"]), int(r["den"])) == (text, "ok", num, den)
+        assert r["value"] == pytest.approx(num / den)
 
 
-@pytest.mark.parametrize("text", ["", "0/0", "N/A", None])
-def test_rates_unknown(frame, text):
-    assert one(frame, parse_rate(F.col("x")), text)["status"] == "unknown"
-    assert one(frame, parse_rate(F.col("x"), lenient=False), text)["status"] == "invalid"
+def test_rates_rejected(frame):
+    assert [(t, r["status"]) for t, r in zip(REJECTED, parsed(frame, REJECTED))] == [(t, "invalid") for t in REJECTED]
+
+
+def test_rates_unknown(frame):
+    assert {r["status"] for r in parsed(frame, UNKNOWN)} == {"unknown"}
+    assert {r["status"] for r in parsed(frame, UNKNOWN, lenient=False)} == {"invalid"}
 
 
 def test_rate_precision_and_trim(frame):
@@ -57,9 +56,7 @@ def test_quotient(frame):
     assert got == ["300/1", "60000/1001", None]
 
 
-@pytest.mark.parametrize(
-    "avg,r,frames,dur,pick",
-    [
+CANDIDATES = [
         ("30/1", "25/1", None, None, "30/1"), ("0/0", "30/1", None, None, "30/1"),
         (None, "30000/1001", None, None, "30000/1001"), ("0/0", "0/0", None, None, None),
         ("junk", "30/1", None, None, "30/1"), ("0/0", "30/1", 300, 10.0, "30/1"),
@@ -68,10 +65,12 @@ def test_quotient(frame):
         ("60/1", "30/1", 300, 10.0, "30/1"), ("60/1", "30/1", 300, 20.0, None),
         ("30/1", "60/1", 300, 10.0, "30/1"),
     ],
-)
-def test_corroborated_rate(frame, avg, r, frames, dur, pick):
-    d = frame([(avg, r, frames, dur)], "avg string, r string, n long, d double")
-    assert P.select_rate_text(d, ["avg", "r"], "n", "d").first()["rate_text"] == pick
+
+
+def test_corroborated_rate(frame):
+    d = frame([(i, *c[:4]) for i, c in enumerate(CANDIDATES)], "i int, avg string, r string, n long, d double")
+    got = P.select_rate_text(d, ["avg", "r"], "n", "d").orderBy("i").collect()
+    assert [r["rate_text"] for r in got] == [c[4] for c in CANDIDATES]
 
 
 @pytest.mark.parametrize(
@@ -113,20 +112,23 @@ def test_timing_reference(frame, rate, dur, imp, n, want):
     assert P.timing_reference(d, "r", "d", "i", "n").first()["reference_span"] == want
 
 
-@pytest.mark.parametrize("scale,num,span,error", [
+SCALES = [
     ("0.1", 300, 523 / 300, None), ("1/2", 60, 523 / 60, None), ("10000/1", None, None, "target rate too low"),
     ("1/100", None, None, "target rate too high"),
-])
-def test_expected_timing(frame, scale, num, span, error):
-    d = frame([("30", scale, 523, None)], "r string, s string, n long, d double")
+]
+
+
+def test_expected_timing(frame):
+    d = frame([(i, "30", c[0], 523, None) for i, c in enumerate(SCALES)], "i int, r string, s string, n long, d double")
     d = P.with_rate(P.with_rate(d, "r", "rate"), "s", "scale", lenient=False)
-    row = P.expected_timing(d, "rate", "n", "d", "scale").first()
-    assert row["timing_error"] == error
-    if error is None:
-        assert int(row["target_rate"]["num"]) == num
-        assert row["expected_span"] == pytest.approx(span)
-    else:
-        assert row["expected_span"] is None
+    got = P.expected_timing(d, "rate", "n", "d", "scale").orderBy("i").collect()
+    for row, (_, num, span, error) in zip(got, SCALES):
+        assert row["timing_error"] == error
+        if error is None:
+            assert int(row["target_rate"]["num"]) == num
+            assert row["expected_span"] == pytest.approx(span)
+        else:
+            assert row["expected_span"] is None
 
 
 def test_rebuild_rate(frame):
