@@ -1,8 +1,11 @@
-"""Exact positive rationals as ``struct<num, den, value, status>`` columns."""
+"""Exact positive rationals as ``struct<num, den, value, status>`` columns.
 
-from __future__ import annotations
+The parser is one SQL expression. Intermediate results are bound by one-element
+``transform`` calls, so every part appears once: chained projections would be
+inlined into each other as soon as a filter on the result is pushed down.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,161 +16,134 @@ RATE_TYPE = f"struct<num:{DEC},den:{DEC},value:double,status:string>"
 # fixed values: spellings that mean "unknown", and the accepted grammar
 UNKNOWN_RATES = ["", "0/0", "N/A"]
 _MAX_LENGTH = 64
-_FRACTION = r"^\+?[0-9]+/[0-9]+\z"
-_DECIMAL = r"^\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _MAX_EXPONENT = 1000
+_FRACTION = r"r'^\+?[0-9]+/[0-9]+\z'"
+_DECIMAL = r"r'^\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z'"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once.
-
-    Keeps a parse in one expression of linear size. Chained projections would
-    be inlined into each other when a filter on the result is pushed down.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def _euclid(a: Column, b: Column) -> Column:
-    """Greatest common divisor by a bounded fold.
 
-    Euclid needs at most five steps per decimal digit of the smaller operand,
-    so the fold is no longer than the values require.
-    """
-    steps = F.length(F.least(a, b).cast("string")) * 5 + 1
-
-    def run(t: str) -> Column:
-        start = F.struct(a.cast(t).alias("x"), b.cast(t).alias("y"))
-        return F.aggregate(
-            F.sequence(F.lit(1), steps),
-            start,
-            lambda s, _: F.when(
-                s["y"] != 0, F.struct(s["y"].alias("x"), (s["x"] % s["y"]).cast(t).alias("y"))
-            ).otherwise(s),
-            lambda s: s["x"].cast(DEC),
-        )
-
-    limit = F.lit("1000000000000000000").cast(DEC)
+def _parts(num: str, den: str, value: str) -> str:
     return (
-        F.when((a == 1) | (b == 1), F.lit(1).cast(DEC))
-        .when((a < limit) & (b < limit), run("bigint"))
-        .otherwise(run(DEC))
+        f"named_struct('n', CAST({num} AS {DEC}), 'd', CAST({den} AS {DEC}), 'v', CAST({value} AS DOUBLE))"
     )
 
 
-def _parts(num: Column, den: Column, value: Column) -> Column:
-    return F.struct(
-        num.cast(DEC).alias("n"), den.cast(DEC).alias("d"), value.cast("double").alias("v")
-    )
+def _gcd(a: str, b: str) -> str:
+    """Euclid as a bounded fold: at most five steps per digit of the smaller operand."""
 
+    def fold(kind: str) -> str:
+        return f"""aggregate(
+            sequence(1, length(CAST(least({a}, {b}) AS STRING)) * 5 + 1),
+            named_struct('x', CAST({a} AS {kind}), 'y', CAST({b} AS {kind})),
+            (g, i) -> IF(g.y <> 0, named_struct('x', g.y, 'y', CAST(g.x % g.y AS {kind})), g),
+            g -> CAST(g.x AS {DEC}))"""
 
-def _reduced(parts: Column, absent: Column) -> Column:
-    """Rate in lowest terms from numerator, denominator and floating value.
+    return f"""CASE WHEN {a} = 1 OR {b} = 1 THEN CAST(1 AS {DEC})
+        WHEN {a} < 1000000000000000000 AND {b} < 1000000000000000000 THEN {fold('BIGINT')}
+        ELSE {fold(DEC)} END"""
 
-    ``absent`` marks unknown input. What does not fit the decimals is reported
-    as such instead of being rounded.
-    """
 
-    def shrink(n: Column, g: Column) -> Column:
-        return F.when(g == 1, n).otherwise(F.try_divide(n, g).try_cast(DEC))
-
-    def divide(p: Column) -> Column:
-        sound = F.coalesce((p["v"] > 0) & (p["v"] < float("inf")), F.lit(False))
-        g = F.when(sound & p["n"].isNotNull() & p["d"].isNotNull(), _euclid(p["n"], p["d"]))
-        return _let(
-            F.struct(p.alias("p"), g.alias("g"), sound.alias("sound")),
-            lambda q: F.struct(
-                shrink(q["p"]["n"], q["g"]).alias("n"), shrink(q["p"]["d"], q["g"]).alias("d"),
-                q["p"]["v"].alias("v"), q["sound"].alias("sound"),
-            ),
-        )
-
-    def build(r: Column) -> Column:
-        fits = r["n"].isNotNull() & r["d"].isNotNull()
-        return F.struct(
-            F.when(fits, r["n"]).alias("num"),
-            F.when(fits, r["d"]).alias("den"),
-            F.when(fits, r["v"]).alias("value"),
-            F.when(absent, F.lit("unknown"))
-            .when(~r["sound"], F.lit("invalid"))
-            .when(fits, F.lit("ok"))
-            .otherwise(F.lit("unsupported_precision"))
-            .alias("status"),
-        )
-
-    return _let(_let(parts, divide), build)
-
-
-def _fraction(body: Column) -> Column:
+def _reduced(parts: str, absent: str) -> str:
+    """Rate in lowest terms; what does not fit the decimals is reported, not rounded."""
+
+    def shrink(n: str) -> str:
+        return f"CASE WHEN q.g = 1 THEN {n} ELSE try_cast(try_divide({n}, q.g) AS {DEC}) END"
+
+    rate = """named_struct(
+        'num', IF(r.fits, r.n, NULL), 'den', IF(r.fits, r.d, NULL), 'value', IF(r.fits, r.v, NULL),
+        'status', CASE WHEN {absent} THEN 'unknown' WHEN NOT r.sound THEN 'invalid'
+                       WHEN r.fits THEN 'ok' ELSE 'unsupported_precision' END)""".format(absent=absent)
+    fitted = _let(
+        "r",
+        "named_struct('n', t.n, 'd', t.d, 'v', t.v, 'sound', t.sound, "
+        "'fits', t.n IS NOT NULL AND t.d IS NOT NULL)",
+        rate,
+    )
+    divided = _let(
+        "t",
+        f"named_struct('n', {shrink('q.p.n')}, 'd', {shrink('q.p.d')}, 'v', q.p.v, 'sound', q.sound)",
+        fitted,
+    )
+    sound = "coalesce(p.v > 0 AND p.v < double('Infinity'), false)"
+    with_gcd = _let(
+        "q",
+        f"named_struct('p', p, 'sound', {sound}, 'g', "
+        f"CASE WHEN {sound} AND p.n IS NOT NULL AND p.d IS NOT NULL THEN {_gcd('p.n', 'p.d')} END)",
+        divided,
+    )
+    return _let("p", parts, with_gcd)
+
+
+def _fraction(s: str) -> str:
     """``a/b`` of whole numbers; a leading zero before digits means base eight."""
-    a, b = F.split_part(body, F.lit("/"), F.lit(1)), F.split_part(body, F.lit("/"), F.lit(2))
 
-    def whole(t: Column) -> Column:
-        return F.when(~t.rlike(r"^0[0-9]"), t.try_cast(DEC)).when(
-            t.rlike(r"^0[0-7]{1,21}\z"), F.conv(t, 8, 10).try_cast(DEC)
-        )
+    def whole(t: str) -> str:
+        return f"""CASE WHEN NOT {t} RLIKE r'^0[0-9]' THEN try_cast({t} AS {DEC})
+            WHEN {t} RLIKE r'^0[0-7]{{1,21}}\\z' THEN try_cast(conv({t}, 8, 10) AS {DEC}) END"""
 
+    eights = _let(
+        "e",
+        f"named_struct('n', {whole('f.a')}, 'd', {whole('f.b')})",
+        _parts("e.n", "e.d", "try_divide(CAST(e.n AS DOUBLE), CAST(e.d AS DOUBLE))"),
+    )
     plain = _parts(
-        a.try_cast(DEC), b.try_cast(DEC),
-        F.try_divide(a.try_cast("double"), b.try_cast("double")),
+        f"try_cast(f.a AS {DEC})", f"try_cast(f.b AS {DEC})",
+        "try_divide(try_cast(f.a AS DOUBLE), try_cast(f.b AS DOUBLE))",
     )
-    eights = _let(
-        F.struct(whole(a).alias("n"), whole(b).alias("d")),
-        lambda p: _parts(
-            p["n"], p["d"], F.try_divide(p["n"].cast("double"), p["d"].cast("double"))
-        ),
+    return _let(
+        "f",
+        f"named_struct('a', split_part({s}, '/', 1), 'b', split_part({s}, '/', 2))",
+        f"CASE WHEN f.a RLIKE r'^0[0-9]' OR f.b RLIKE r'^0[0-9]' THEN {eights} ELSE {plain} END",
     )
-    return F.when(body.rlike(r"(^|/)0[0-9]"), eights).otherwise(plain)
 
 
-def _decimal(body: Column) -> Column:
+def _decimal(s: str) -> str:
     """Decimal text with optional exponent as ``digits * 10 ^ shift``."""
-    mantissa = F.regexp_replace(body, r"[eE].*\z", "")
-    exp_text = F.regexp_extract(body, r"[eE]([+-]?[0-9]+)\z", 1)
-    split = F.struct(
-        F.regexp_replace(F.replace(mantissa, F.lit(".")), r"^0+", "").alias("digits"),
-        F.length(F.regexp_extract(mantissa, r"\.([0-9]*)\z", 1)).alias("scale"),
-        F.when(exp_text == "", F.lit(0)).otherwise(exp_text.try_cast("int")).alias("e"),
+    mantissa = f"regexp_replace({s}, r'[eE].*\\z', '')"
+    exponent = f"regexp_extract({s}, r'[eE]([+-]?[0-9]+)\\z', 1)"
+    read = f"""named_struct(
+        'digits', regexp_replace(replace({mantissa}, '.', ''), r'^0+', ''),
+        'scale', length(regexp_extract({mantissa}, r'\\.([0-9]*)\\z', 1)),
+        'e', CASE WHEN {exponent} = '' THEN 0 ELSE try_cast({exponent} AS INT) END)"""
+    # Bounded before anything is padded: a short text can ask for 10^9 zeros.
+    bounded = f"""named_struct(
+        'short', rtrim('0', m.digits), 'real', abs(m.e) <= {_MAX_EXPONENT},
+        'shift', CASE WHEN abs(m.e) <= {_MAX_EXPONENT}
+                      THEN m.e - m.scale + length(m.digits) - length(rtrim('0', m.digits)) END)"""
+    parts = _parts(
+        f"try_cast(concat(k.short, repeat('0', greatest(k.shift, 0))) AS {DEC})",
+        f"try_cast(concat('1', repeat('0', greatest(-k.shift, 0))) AS {DEC})",
+        f"CASE WHEN k.real THEN try_cast({s} AS DOUBLE) END",
     )
-
-    def build(p: Column) -> Column:
-        # Bounded before anything is padded: a short text can ask for 10^9 zeros.
-        exp = F.when(F.abs(p["e"]) <= _MAX_EXPONENT, p["e"])
-        short = F.rtrim(p["digits"], F.lit("0"))
-        shift = exp - p["scale"] + F.length(p["digits"]) - F.length(short)
-        zeros = F.repeat(F.lit("0"), F.abs(shift))
-        return _parts(
-            F.concat(short, F.when(shift > 0, zeros).otherwise(F.lit(""))).try_cast(DEC),
-            F.concat(F.lit("1"), F.when(shift < 0, zeros).otherwise(F.lit(""))).try_cast(DEC),
-            F.when(exp.isNotNull(), body.try_cast("double")),
-        )
-
-    return _let(split, build)
+    return _let("m", read, _let("k", bounded, parts))
 
 
-def parse_rate(text: Column, lenient: bool = True, trim: bool = False) -> Column:
-    """The exact positive rational a text spells, as a rate struct.
+def parse_rate(text: str, lenient: bool = True, trim: bool = False) -> Column:
+    """The exact positive rational that the column ``text`` spells, as a rate struct.
 
     ``status`` is ``ok``, ``unknown`` (lenient mode only), ``invalid`` or
     ``unsupported_precision``. The grammar is checked before any cast, because
     casts accept spellings such as ``0x1p3``, ``1d`` or ``Infinity``.
     """
-
-    def build(s: Column) -> Column:
-        body = F.ltrim(s, F.lit("+"))
-        short = F.length(s) <= _MAX_LENGTH
-        parts = F.when(short & s.rlike(_FRACTION), _fraction(body)).when(
-            short & s.rlike(_DECIMAL), _decimal(body)
-        ).otherwise(_parts(F.lit(None), F.lit(None), F.lit(None)))
-        return _reduced(parts, s.isin(*UNKNOWN_RATES) if lenient else F.lit(False))
-
-    return _let(F.coalesce(F.trim(text) if trim else text, F.lit("")), build)
+    column = f"trim(`{text}`)" if trim else f"`{text}`"
+    unknown = ", ".join(f"'{u}'" for u in UNKNOWN_RATES)
+    short = f"length(s) <= {_MAX_LENGTH}"
+    parts = f"""CASE WHEN {short} AND s RLIKE {_FRACTION} THEN {_fraction("ltrim('+', s)")}
+        WHEN {short} AND s RLIKE {_DECIMAL} THEN {_let("b", "ltrim('+', s)", _decimal("b"))}
+        ELSE {_parts("NULL", "NULL", "NULL")} END"""
+    absent = f"s IN ({unknown})" if lenient else "false"
+    return F.expr(_let("s", f"coalesce({column}, '')", _reduced(parts, absent)))
 
 
 def with_rate(
     df: DataFrame, text: str, out: str, lenient: bool = True, trim: bool = False
 ) -> DataFrame:
     """Add :func:`parse_rate` of the column ``text`` as ``out``."""
-    return df.withColumn(out, parse_rate(F.col(text), lenient, trim))
+    return df.withColumn(out, parse_rate(text, lenient, trim))
 
 
 def rate_text(rate: Column) -> Column:
@@ -178,16 +154,16 @@ def rate_text(rate: Column) -> Column:
     )
 
 
-def quotient(a: Column, b: Column) -> Column:
-    """``a / b`` of two rates, reduced; unknown unless both are usable."""
-    both = F.coalesce((a["status"] == "ok") & (b["status"] == "ok"), F.lit(False))
+def quotient(a: str, b: str) -> Column:
+    """``a / b`` of two rate columns, reduced; unknown unless both are usable."""
     parts = _parts(
-        F.try_multiply(a["num"], b["den"]).try_cast(DEC),
-        F.try_multiply(a["den"], b["num"]).try_cast(DEC),
-        a["value"] / b["value"],
+        f"try_cast(try_multiply(a.num, b.den) AS {DEC})",
+        f"try_cast(try_multiply(a.den, b.num) AS {DEC})",
+        "a.value / b.value",
     )
-    return _reduced(parts, ~both)
+    absent = "NOT coalesce(a.status = 'ok' AND b.status = 'ok', false)"
+    return F.expr(_let("a", f"`{a}`", _let("b", f"`{b}`", _reduced(parts, absent))))
 
 
 def with_quotient(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    return df.withColumn(out, quotient(F.col(a), F.col(b)))
+    return df.withColumn(out, quotient(a, b))

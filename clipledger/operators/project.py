@@ -66,12 +66,10 @@ def classify_from(
     Rules with a NULL tag apply to the code alone. Join strategy is left to
     the optimizer, which knows the size of ``rules``.
     """
-    pair = rules.where("tag is not null").select(
-        F.lower("code").alias("__c"), F.lower("tag").alias("__t"), F.col("class").alias("__pair")
-    ).dropDuplicates(["__c", "__t"])
-    base = rules.where("tag is null").select(
-        F.lower("code").alias("__c"), F.col("class").alias("__base")
-    ).dropDuplicates(["__c"])
+    low = rules.select(F.lower("code").alias("__c"), F.lower("tag").alias("__t"), "class")
+    # Grouped, so that a repeated rule can neither multiply rows nor be ambiguous.
+    pair = low.where("__t is not null").groupBy("__c", "__t").agg(F.min("class").alias("__pair"))
+    base = low.where("__t is null").groupBy("__c").agg(F.min("class").alias("__base"))
     d = df.withColumns({"__c": F.lower(F.col(code)), "__t": F.lower(F.col(tag))})
     d = d.join(pair, ["__c", "__t"], "left").join(base, ["__c"], "left")
     return d.withColumn(
@@ -636,9 +634,7 @@ def normalize_alias(
 
 def normalize_alias_from(df: DataFrame, col: str, aliases: DataFrame, out: str = "canonical") -> DataFrame:
     """Alias lookup against a table ``(alias, canonical)``."""
-    table = aliases.select(
-        F.lower(F.trim("alias")).alias("__alias"), F.col("canonical").alias(out)
-    ).dropDuplicates(["__alias"])
+    table = aliases.groupBy(F.lower(F.trim("alias")).alias("__alias")).agg(F.min("canonical").alias(out))
     d = df.withColumn("__alias", F.lower(F.trim(F.col(col))))
     return join_on(d, table, ["__alias"], "left").drop("__alias").withColumn(
         "alias_error",

@@ -2,6 +2,7 @@
 
 from clipledger.plans import (
     aggregate_queries,
+    catalog_queries,
     join_queries,
     project_queries,
     source_queries,
@@ -10,7 +11,8 @@ from clipledger.plans import (
 )
 
 _SECTIONS = [
-    aggregate_queries, project_queries, join_queries, window_queries, source_queries, stream_queries,
+    aggregate_queries, project_queries, join_queries, window_queries, source_queries, catalog_queries,
+    stream_queries,
 ]
 
 

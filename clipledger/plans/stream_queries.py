@@ -15,8 +15,9 @@ _TURNS = "conv_id bigint, turn bigint, role string, text string"
 
 
 def _stream(spark, sf_dir, name, schema):
-    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return files.parquet(sf_dir)
+    # A micro-batch admits at most this much, which also bounds a key's share of it.
+    files = spark.readStream.schema(schema).option("maxBytesPerTrigger", 512 << 20)
+    return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 @REG.add("stream_latest", SNAPSHOT_SQL.format(tail=""))

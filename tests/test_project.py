@@ -4,15 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipledger import constants as C
-from clipledger.functions.rational import parse_rate, quotient, rate_text
+from clipledger.functions.rational import parse_rate, rate_text
 from clipledger.operators import project as P
 from clipledger.operators.aggregates import judge_claims
 
 
-def one(frame, col, value, schema="x string"):
-    return frame([(value,)], schema).select(col.alias("y")).first()["y"]
-
-
 ACCEPTED = [
     ("30", 30, 1), ("30000/1001", 30000, 1001), ("0.1", 1, 10), ("23.976", 2997, 125), ("1e-3", 1, 1000),
     ("1E2", 100, 1), ("+5/10", 1, 2), ("030/1", 24, 1), (".5", 1, 2), ("5.", 5, 1), ("60/2", 30, 1),
@@ -27,7 +23,7 @@ UNKNOWN = ["", "0/0", "N/A", None]
 
 def parsed(frame, texts, **options):
     d = frame([(i, t) for i, t in enumerate(texts)], "i int, x string")
-    return [r["r"] for r in d.select("i", parse_rate(F.col("x"), **options).alias("r")).orderBy("i").collect()]
+    return [r["r"] for r in d.select("i", parse_rate("x", **options).alias("r")).orderBy("i").collect()]
 
 
 def test_rates_accepted(frame):
@@ -46,25 +42,26 @@ def test_rates_unknown(frame):
 
 
 def test_rate_precision_and_trim(frame):
-    assert one(frame, parse_rate(F.col("x")), "1e60")["status"] == "unsupported_precision"
-    assert one(frame, rate_text(parse_rate(F.col("x"), trim=True)), " 60/2 ") == "30/1"
+    assert parsed(frame, ["1e60"])[0]["status"] == "unsupported_precision"
+    d = P.with_rate(frame([(" 60/2 ",)], "x string"), "x", "r", trim=True)
+    assert d.select(rate_text(F.col("r")).alias("t")).first()["t"] == "30/1"
 
 
 def test_quotient(frame):
     d = frame([("30", "0.1"), ("30000/1001", "1/2"), ("N/A", "1")], "a string, b string")
-    got = [r["q"] for r in d.select(rate_text(quotient(parse_rate(F.col("a")), parse_rate(F.col("b")))).alias("q")).collect()]
-    assert got == ["300/1", "60000/1001", None]
+    d = P.with_quotient(P.with_rate(P.with_rate(d, "a", "ra"), "b", "rb"), "ra", "rb", "q")
+    assert [r["t"] for r in d.select(rate_text(F.col("q")).alias("t")).collect()] == ["300/1", "60000/1001", None]
 
 
 CANDIDATES = [
-        ("30/1", "25/1", None, None, "30/1"), ("0/0", "30/1", None, None, "30/1"),
-        (None, "30000/1001", None, None, "30000/1001"), ("0/0", "0/0", None, None, None),
-        ("junk", "30/1", None, None, "30/1"), ("0/0", "30/1", 300, 10.0, "30/1"),
-        ("0/0", "30/1", 300, 10.05, "30/1"), ("0/0", "30/1", 300, 20.0, None),
-        ("0/0", "30/1", 295, 10.0, None), ("0/0", "30/1", 106200, 3600.0, None),
-        ("60/1", "30/1", 300, 10.0, "30/1"), ("60/1", "30/1", 300, 20.0, None),
-        ("30/1", "60/1", 300, 10.0, "30/1"),
-    ],
+    ("30/1", "25/1", None, None, "30/1"), ("0/0", "30/1", None, None, "30/1"),
+    (None, "30000/1001", None, None, "30000/1001"), ("0/0", "0/0", None, None, None),
+    ("junk", "30/1", None, None, "30/1"), ("0/0", "30/1", 300, 10.0, "30/1"),
+    ("0/0", "30/1", 300, 10.05, "30/1"), ("0/0", "30/1", 300, 20.0, None),
+    ("0/0", "30/1", 295, 10.0, None), ("0/0", "30/1", 106200, 3600.0, None),
+    ("60/1", "30/1", 300, 10.0, "30/1"), ("60/1", "30/1", 300, 20.0, None),
+    ("30/1", "60/1", 300, 10.0, "30/1"),
+    ]
 
 
 def test_corroborated_rate(frame):
