@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipledger.functions.evaluate import evaluate_once
+
 DEC = "decimal(38,0)"
 RATE_TYPE = f"struct<num:{DEC},den:{DEC},value:double,status:string>"
 
@@ -143,7 +145,7 @@ def with_rate(
     df: DataFrame, text: str, out: str, lenient: bool = True, trim: bool = False
 ) -> DataFrame:
     """Add :func:`parse_rate` of the column ``text`` as ``out``."""
-    return df.withColumn(out, parse_rate(text, lenient, trim))
+    return evaluate_once(df, {out: parse_rate(text, lenient, trim)})
 
 
 def rate_text(rate: Column) -> Column:
@@ -166,4 +168,4 @@ def quotient(a: str, b: str) -> Column:
 
 
 def with_quotient(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    return df.withColumn(out, quotient(a, b))
+    return evaluate_once(df, {out: quotient(a, b)})

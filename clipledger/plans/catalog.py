@@ -22,7 +22,11 @@ def analyse(docs: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
 def plan_batch(media: DataFrame, job: P.Job, caps: P.Capabilities) -> DataFrame:
     """Every clip with its rule violations, route, target rate and expected span."""
     routed = P.route_media(P.preset_violations(media, job, caps), job, caps)
-    timed = P.with_rate(routed, "fps_text", "source_rate")
+    if "fps_rate" in media.columns:
+        rate = F.coalesce("fps_rate", F.expr("named_struct('num', NULL, 'den', NULL, 'value', NULL, 'status', 'unknown')"))
+        timed = routed.withColumn("source_rate", rate)
+    else:
+        timed = P.with_rate(routed, "fps_text", "source_rate")
     if not job.conform:
         timed = P.expected_timing(timed, "source_rate", "frame_count", "duration")
     else:

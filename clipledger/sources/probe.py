@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from clipledger import constants as C
 from clipledger.functions import pixels
+from clipledger.functions.evaluate import evaluate_once
 from clipledger.functions.rational import rate_text, with_rate
 from clipledger.operators.project import implied_count, in_range, rate_agrees
 from clipledger.schemas import PROBE_DOC
@@ -29,12 +30,10 @@ def parse_json(
     """
     full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType(), True)])
     big = F.octet_length(F.col(doc)) > max_bytes
-    df = df.withColumn(
-        out,
-        F.from_json(
-            F.when(~big, F.col(doc)), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-        ),
+    parsed = F.from_json(
+        F.when(~big, F.col(doc)), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     )
+    df = evaluate_once(df, {out: parsed})
     reason = (
         F.when(big, F.lit("too large"))
         .when(F.col(doc).isNull(), F.lit("unreadable"))
@@ -42,7 +41,7 @@ def parse_json(
     )
     if required is not None:
         reason = reason.when(~F.coalesce(required, F.lit(False)), F.lit(required_reason))
-    return df.withColumn("reject_reason", reason)
+    return evaluate_once(df, {"reject_reason": reason})
 
 
 def split_rejects(
@@ -77,6 +76,9 @@ def _known(c: Column) -> Column:
 def flatten_probe(df: DataFrame, doc: str, path: str = "path", parsed: str | None = None) -> DataFrame:
     """Metadata documents to ``media`` rows; rows without a usable video stream are dropped.
 
+    Besides the columns of ``schemas.MEDIA`` the rows carry the exact rate as
+    ``fps_rate``.
+
     Implausible durations fall back to the container level. Counts are exact
     only for codecs with dependable frame tables, and only exact counts may
     confirm or refute a rate. A refuted rate takes the duration with it, since
@@ -85,7 +87,7 @@ def flatten_probe(df: DataFrame, doc: str, path: str = "path", parsed: str | Non
     if parsed is None:
         parsed = "doc_parsed"
         df, _ = split_rejects(df, doc)
-    d = df.withColumn("__v", video_stream(F.col(parsed))).where(F.col("__v").isNotNull())
+    d = evaluate_once(df, {"__v": video_stream(F.col(parsed))}).where(F.col("__v").isNotNull())
     v, fmt = F.col("__v"), F.col(parsed)["format"]
     d = d.withColumns(
         {
@@ -103,10 +105,13 @@ def flatten_probe(df: DataFrame, doc: str, path: str = "path", parsed: str | Non
         F.col("__frames").isNotNull()
         & F.coalesce(F.lower(F.trim(v["codec_name"])).isin(C.TRUSTED_COUNT_CODECS), F.lit(False)),
     )
-    d = with_rate(with_rate(d, "__avg", "__ra"), "__nom", "__rr")
     ra, rr, dur = F.col("__ra"), F.col("__rr"), F.col("__dur")
     witness = F.when(F.col("__exact"), F.col("__frames"))
-    ok_a = (ra["status"] == "ok") & rate_agrees(ra["value"], witness, dur)
+    ok_a = F.coalesce((ra["status"] == "ok") & rate_agrees(ra["value"], witness, dur), F.lit(False))
+    d = with_rate(d, "__avg", "__ra")
+    # The nominal rate is only read where the average did not settle the matter.
+    d = d.withColumn("__second", F.when(ok_a, F.lit("")).otherwise(F.col("__nom")))
+    d = with_rate(d, "__second", "__rr")
     ok_r = (rr["status"] == "ok") & rate_agrees(rr["value"], witness, dur)
     any_valid = (ra["status"] == "ok") | (rr["status"] == "ok")
     d = d.withColumns(
@@ -131,6 +136,7 @@ def flatten_probe(df: DataFrame, doc: str, path: str = "path", parsed: str | Non
         F.coalesce(F.when(tag_bits != 0, tag_bits), pixels.bit_depth(pix)).alias("bit_depth"),
         F.col("__text").alias("fps_text"),
         fps.alias("fps"),
+        F.col("__rate").alias("fps_rate"),
         F.col("__dur").alias("duration"),
         F.coalesce(F.col("__frames"), implied_count(fps, F.col("__dur"))).alias("frame_count"),
         F.col("__exact").alias("frame_count_exact"),
@@ -148,7 +154,7 @@ def flatten_probe(df: DataFrame, doc: str, path: str = "path", parsed: str | Non
     )
 
 
-def canonical_rate(media: DataFrame, text: str = "fps_text", out: str = "fps_canonical") -> DataFrame:
-    """Add the reduced ``num/den`` spelling of a rate text."""
-    d = with_rate(media, text, "__r")
-    return d.withColumn(out, rate_text(F.col("__r"))).drop("__r")
+
+def canonical_rate(media: DataFrame, out: str = "fps_canonical") -> DataFrame:
+    """Add the reduced ``num/den`` spelling of the exact rate."""
+    return media.withColumn(out, rate_text(F.col("fps_rate")))
