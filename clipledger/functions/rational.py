@@ -17,6 +17,10 @@ RATE_TYPE = f"struct<num:{DEC},den:{DEC},value:double,status:string>"
 
 # fixed values: spellings that mean "unknown", and the accepted grammar
 UNKNOWN_RATES = ["", "0/0", "N/A"]
+UNKNOWN = (
+    f"named_struct('num', CAST(NULL AS {DEC}), 'den', CAST(NULL AS {DEC}), "
+    "'value', CAST(NULL AS DOUBLE), 'status', 'unknown')"
+)
 _MAX_LENGTH = 64
 _MAX_EXPONENT = 1000
 _FRACTION = r"r'^\+?[0-9]+/[0-9]+\z'"
@@ -137,8 +141,10 @@ def parse_rate(text: str, lenient: bool = True, trim: bool = False) -> Column:
     parts = f"""CASE WHEN {short} AND s RLIKE {_FRACTION} THEN {_fraction("ltrim('+', s)")}
         WHEN {short} AND s RLIKE {_DECIMAL} THEN {_let("b", "ltrim('+', s)", _decimal("b"))}
         ELSE {_parts("NULL", "NULL", "NULL")} END"""
-    absent = f"s IN ({unknown})" if lenient else "false"
-    return F.expr(_let("s", f"coalesce({column}, '')", _reduced(parts, absent)))
+    parsed = _let("s", f"coalesce({column}, '')", _reduced(parts, "false"))
+    if not lenient:
+        return F.expr(parsed)
+    return F.expr(f"CASE WHEN coalesce({column}, '') IN ({unknown}) THEN {UNKNOWN} ELSE {parsed} END")
 
 
 def with_rate(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipledger.functions.rational import UNKNOWN
 from clipledger.operators import joins as J
 from clipledger.operators import project as P
 from clipledger.operators.aggregates import media_job_signature, run_verdict, summarize
@@ -23,7 +24,7 @@ def plan_batch(media: DataFrame, job: P.Job, caps: P.Capabilities) -> DataFrame:
     """Every clip with its rule violations, route, target rate and expected span."""
     routed = P.route_media(P.preset_violations(media, job, caps), job, caps)
     if "fps_rate" in media.columns:
-        rate = F.coalesce("fps_rate", F.expr("named_struct('num', NULL, 'den', NULL, 'value', NULL, 'status', 'unknown')"))
+        rate = F.coalesce("fps_rate", F.expr(UNKNOWN))
         timed = routed.withColumn("source_rate", rate)
     else:
         timed = P.with_rate(routed, "fps_text", "source_rate")

@@ -87,8 +87,21 @@ def flatten_probe(df: DataFrame, doc: str, path: str = "path", parsed: str | Non
     if parsed is None:
         parsed = "doc_parsed"
         df, _ = split_rejects(df, doc)
-    d = evaluate_once(df, {"__v": video_stream(F.col(parsed))}).where(F.col("__v").isNotNull())
-    v, fmt = F.col("__v"), F.col(parsed)["format"]
+    audio = F.transform(
+        F.filter(F.col(parsed)["streams"], lambda s: s["codec_type"] == "audio"),
+        lambda s: s["codec_name"],
+    )
+    # Only what is used travels on; the parsed document is wide.
+    d = evaluate_once(
+        df.select(path, parsed),
+        {
+            "__v": video_stream(F.col(parsed)),
+            "__audio": audio,
+            "__fmt": F.col(parsed)["format"],
+        },
+    ).drop(parsed)
+    d = d.where(F.col("__v").isNotNull())
+    v, fmt = F.col("__v"), F.col("__fmt")
     d = d.withColumns(
         {
             "__dur": F.coalesce(
@@ -144,10 +157,7 @@ def flatten_probe(df: DataFrame, doc: str, path: str = "path", parsed: str | Non
         *[_known(v[c]).alias(c) for c in ("color_range", "color_space", "color_transfer", "color_primaries")],
         pixels.has_alpha(pix).alias("has_alpha"),
         pixels.chroma(pix).alias("chroma"),
-        F.transform(
-            F.filter(F.col(parsed)["streams"], lambda s: s["codec_type"] == "audio"),
-            lambda s: s["codec_name"],
-        ).alias("audio"),
+        F.col("__audio").alias("audio"),
         _known(fmt["tags"]["comment"]).alias("provenance"),
         F.lit(False).alias("timestamps_broken"),
         F.lit(None).cast("string").alias("impeached_fps"),
