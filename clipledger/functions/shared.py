@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,20 +14,26 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
     The folder named by ``spark.checkpoint.dir`` is shared by all executors. A
     local temporary folder is used only where that setting is absent and the
-    master is local, i.e. in tests.
+    driver is the only machine, i.e. in tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """The DataFrame as a table in the shared folder; cuts lineage durably."""
-    path = shared_dir(df.sparkSession, purpose)
+    """The DataFrame as a table in the shared folder; cuts lineage durably.
+
+    The folder is removed when the application ends.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
