@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipledger.llm import exact_dedup, mixing, sharding
+from clipledger.llm import decontam, exact_dedup, mixing, sharding, token_output, toxicity
 from clipledger.llm.common import stored, table
 from clipledger.plans.tables import Registry
 
@@ -57,6 +57,43 @@ def op1(spark, sf_dir):
     )
 
 
+_CONTAM_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), i AS (
+  SELECT item_id, least(len(w), 13) AS n, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS s FROM b WHERE len(w) > 0
+), g AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS gram FROM i
+), lengths AS (
+  SELECT DISTINCT n FROM g
+), p AS (
+  SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, lengths WHERE len(w) >= n
+), hits AS (
+  SELECT p.doc_id, p.s, p.n, g.item_id FROM p JOIN g ON p.n = g.n AND array_to_string(list_slice(p.w, p.s, p.s + p.n - 1), ' ') = g.gram
+), covered AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM hits) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+@REG.add("op2_decontaminate", _CONTAM_SQL)
+def op2(spark, sf_dir):
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _EXACT_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -70,6 +107,16 @@ def op3(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@REG.add("op4_toxicity_chain")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
+    scored = toxicity.classify(docs.select("doc_id", "text"), chain)
+    return scored.select(
+        "doc_id", F.col("t_scores")[0].alias("low_quality"), F.col("t_scores")[1].alias("toxicity"), F.col("t_toxic").alias("toxic")
+    )
+
+
 @REG.add("op7_kd_shards")
 def op7(spark, sf_dir):
     placed = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=40)
@@ -79,6 +126,17 @@ def op7(spark, sf_dir):
     )
 
 
+#: A public vocabulary, read from where it is installed.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@REG.add("op10_token_output")
+def op10(spark, sf_dir):
+    import public_tokenizers
+
+    return token_output.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def queries():
     return dict(REG.queries)
 
