@@ -38,19 +38,22 @@ def ascii_lower(c: Column) -> Column:
     return F.when(plain, F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_UPPER.lower()))
 
 
-def running_starts(lengths: str, chunk: int = 256) -> str:
-    """SQL for the exclusive prefix sums of an array column of integers.
+def with_running_starts(df: DataFrame, lengths: dict[str, str], chunk: int = 256) -> DataFrame:
+    """Adds exclusive prefix sums of integer arrays: ``lengths`` maps their columns to new ones.
 
     Summing each prefix afresh would take quadratic time, so sums are kept per
     chunk; the work per element is bounded by the chunk and the number of chunks.
+    Each step is a projection of its own and is used twice in the next one, which
+    keeps the optimizer from evaluating it anew for every element.
     """
-    sums = (
-        f"transform(sequence(0, (size({lengths}) - 1) div {chunk}), "
-        f"k -> aggregate(slice({lengths}, k * {chunk} + 1, {chunk}), 0L, (a, x) -> a + x))"
-    )
-    offsets = f"transform(s, (x, k) -> aggregate(slice(s, 1, k), 0L, (a, y) -> a + y))"
-    return (
-        f"flatten(transform(array({sums}), s -> flatten(transform(array({offsets}), o -> "
-        f"transform({lengths}, (x, i) -> o[i div {chunk}] + aggregate(slice({lengths}, "
-        f"(i div {chunk}) * {chunk} + 1, i % {chunk}), 0L, (a, y) -> a + y))))))"
-    )
+    for c, out in lengths.items():
+        sums = (
+            f"transform(sequence(0, (size({c}) - 1) div {chunk}), "
+            f"k -> aggregate(slice({c}, k * {chunk} + 1, {chunk}), 0L, (a, x) -> a + x))"
+        )
+        df = df.withColumn(f"{out}_s", F.expr(sums))
+        df = df.withColumn(f"{out}_o", F.expr(f"transform({out}_s, (x, k) -> aggregate(slice({out}_s, 1, k), 0L, (a, y) -> a + y))"))
+        inside = f"aggregate(slice({c}, (i div {chunk}) * {chunk} + 1, i % {chunk}), 0L, (a, y) -> a + y)"
+        starts = f"IF(size({out}_o) = 0, array(), transform({c}, (x, i) -> {out}_o[i div {chunk}] + {inside}))"
+        df = df.withColumn(out, F.expr(starts)).drop(f"{out}_s", f"{out}_o")
+    return df

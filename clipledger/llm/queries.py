@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipledger.llm import decontam, exact_dedup, mixing, sharding, token_output, toxicity
+from clipledger.llm import decontam, exact_dedup, mixing, secret_scan, sharding, token_output, toxicity, url_filter
 from clipledger.llm.common import stored, table
 from clipledger.plans.tables import Registry
 
@@ -117,6 +117,44 @@ def op4(spark, sf_dir):
     )
 
 
+def _secret_sql():
+    """Matches and what stands between them, by rule; positions are sums of their lengths."""
+    parts = []
+    for k, r in enumerate(secret_scan.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{pattern}', 0) AS m, "
+            f"regexp_extract_all(t, '{pattern}', {r.group}) AS g, string_split_regex(t, '{pattern}') AS gaps FROM d"
+        )
+    base = [r.kind for r in secret_scan.RULES if r.base]
+    counts = ", ".join(f"count(*) FILTER (kind = '{b}') AS n_{b}" for b in base)
+    listed = ", ".join(f"'{b}'" for b in base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r WHERE len(m) > 0),
+s AS (
+  SELECT doc_id, k, kind, length(m[i]) AS size,
+         list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x)))
+         + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS start
+  FROM e WHERE length(g[i]) >= least
+), n AS (
+  SELECT doc_id, {counts},
+         string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, k) AS spans,
+         string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, k) FILTER (kind IN ({listed})) AS base
+  FROM (SELECT doc_id, k, kind, size, CAST(start AS BIGINT) AS start FROM s) GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{b}, 0) AS n_{b}" for b in base)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
+@REG.add("op6_secret_scan", _secret_sql())
+def op6(spark, sf_dir):
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 @REG.add("op7_kd_shards")
 def op7(spark, sf_dir):
     placed = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=40)
@@ -126,6 +164,81 @@ def op7(spark, sf_dir):
     )
 
 
+def _url_sql():
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    fits = [f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')" for _, h, p in rules]
+    rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, rules, strict=True))
+    ruled = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules, strict=True))
+    n = url_filter.LEVELS
+    segs = [f"coalesce(t[{k}], '') AS s{k}" for k in range(1, n)] + [f"array_to_string(list_slice(t, {n}, len(t)), '/') AS s{n}"]
+    shape = ", ".join(["host", *[f"s{k}" for k in range(1, n + 1)]])
+    levels, last = [], "shapes"
+    for k in range(1, n + 1):
+        node = ", ".join(["host", *[f"g{j}" for j in range(1, k)]])
+        levels.append(f"""
+c{k} AS (
+  SELECT {node}, s{k}, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(labelled) AS DOUBLE) AS a, CAST(sum(blocked) AS DOUBLE) AS b
+  FROM {last} GROUP BY {node}, s{k}
+), w{k} AS (
+  SELECT *, count(*) OVER p AS children, sum(n) OVER p AS all_n, sum(a) OVER p AS all_a, sum(b) OVER p AS all_b
+  FROM c{k} WINDOW p AS (PARTITION BY {node})
+), x{k} AS (
+  SELECT *, b * ((all_a - a) - (all_b - b)) - (a - b) * (all_b - b) AS crossed, a * (all_a - a) * all_b * (all_a - all_b) AS margins
+  FROM w{k}
+), l{k} AS (
+  SELECT {", ".join(f"{last}.{c}" for c in [*shape.split(", "), "n", "labelled", "blocked", *[f"g{j}" for j in range(1, k)]])},
+         CASE WHEN children = 1 THEN {last}.s{k}
+              WHEN (children > {url_filter.FANOUT} AND x{k}.n < all_n * {url_filter.RARE})
+                OR CASE WHEN margins > 0 THEN all_a * crossed * crossed / margins < {url_filter.SIMILAR} ELSE true END THEN '*'
+              ELSE {last}.s{k} END AS g{k}
+  FROM {last} JOIN x{k} USING ({node}, s{k})
+)""")
+        last = f"l{k}"
+    name = ", ".join(["host", *[f"g{k}" for k in range(1, n + 1)]])
+    return f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), j AS (
+  SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled,
+         list_transform(list_slice(string_split(path, '/'), 2, len(string_split(path, '/'))), lambda s: CASE
+           WHEN regexp_full_match(s, '[0-9]+') THEN '{{n}}'
+           WHEN regexp_full_match(s, '[0-9]+[.][a-z]+') THEN '{{n}}.' || string_split(s, '.')[2]
+           WHEN regexp_full_match(s, '[0-9a-f-]{{16,}}') THEN '{{x}}' ELSE s END) AS t
+  FROM h
+), q AS (SELECT *, {", ".join(segs)} FROM j),
+shapes AS (
+  SELECT {shape}, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM q GROUP BY {shape}
+),{",".join(levels)},
+t AS (
+  SELECT {name}, CAST(sum(labelled) AS DOUBLE) AS a, CAST(sum(blocked) AS DOUBLE) AS b FROM {last} GROUP BY {name}
+), hs AS (
+  SELECT host, sum(a) AS ha, sum(b) AS hb FROM t GROUP BY host
+), o AS (
+  SELECT (sum(b) + 1.0::DOUBLE) / (sum(a) + 2.0::DOUBLE) AS overall FROM t
+), p AS (
+  SELECT {", ".join(f"t.{c}" for c in name.split(", "))},
+         (b + 4.0::DOUBLE * ((hb + 4.0::DOUBLE * overall) / (ha + 4.0::DOUBLE))) / (a + 4.0::DOUBLE) AS purity
+  FROM t JOIN hs USING (host), o
+)
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN purity >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+       concat_ws('/', {name}) AS template, purity
+FROM q JOIN {last} USING ({shape}) JOIN p USING ({name})
+"""
+
+
+@REG.add("op9_url_templates", _url_sql())
+def op9(spark, sf_dir):
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select(
+        "page_id", F.col("u_host").alias("host"), F.col("u_path").alias("path"), F.col("u_rule").alias("rule"),
+        F.col("u_verdict").alias("verdict"), F.col("u_template").alias("template"), F.col("u_purity").alias("purity"),
+    )
+
+
 #: A public vocabulary, read from where it is installed.
 VOCABULARY = "byte_bpe_50k.json"
 
