@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipledger.llm import decontam, exact_dedup, mixing, secret_scan, sharding, token_output, toxicity, url_filter
+from clipledger.llm import (
+    decontam, exact_dedup, jaccard_join, mixing, secret_scan, sharding, token_output, toxicity, url_filter,
+)
 from clipledger.llm.common import stored, table
 from clipledger.plans.tables import Registry
 
@@ -164,6 +166,11 @@ def op7(spark, sf_dir):
     )
 
 
+@REG.add("op8_jaccard_join")
+def op8(spark, sf_dir):
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def _url_sql():
     rules = sorted(url_filter.RULES, key=lambda r: -len(r[1]) - len(r[2]))
     fits = [f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')" for _, h, p in rules]
