@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clipledger.llm import (
-    decontam, exact_dedup, jaccard_join, mixing, secret_scan, sharding, token_output, toxicity, url_filter,
+    decontam, exact_dedup, jaccard_join, mixing, secret_scan, sharding, suffix_dedup, token_output, toxicity, url_filter,
 )
 from clipledger.llm.common import stored, table
 from clipledger.plans.tables import Registry
@@ -119,6 +119,11 @@ def op4(spark, sf_dir):
     )
 
 
+@REG.add("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def _secret_sql():
     """Matches and what stands between them, by rule; positions are sums of their lengths."""
     parts = []
