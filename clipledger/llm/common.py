@@ -28,6 +28,15 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def wrapped(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of ``docs`` as a struct ``row`` beside new columns, so that names cannot clash.
+
+    ``select("row.*")`` gives the rows back as they were.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, *[c.alias(name) for name, c in columns.items()])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, everything else untouched.
 

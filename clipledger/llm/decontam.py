@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import ascii_lower, stored, text_or_empty
+from clipledger.llm.common import ascii_lower, stored, text_or_empty, wrapped
 
 WINDOW = 13
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -123,24 +123,28 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) ->
 def drop_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without contaminated documents."""
     bad = scan(docs, items, id_col=id_col, text_col=text_col, **how).filter(contaminated())
-    bad = bad.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_h"))
-    return docs.join(bad, on, "left_anti")
+    rows, on = _keyed(docs, bad, id_col, text_col)
+    return rows.join(bad, on, "left_anti").select("row.*")
+
+
+def _keyed(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    rows = wrapped(docs, own_id=F.col(id_col), own_h=F.xxhash64(text_or_empty(text_col)))
+    return rows, rows["own_id"].eqNullSafe(found["id"]) & (rows["own_h"] == found["h"])
 
 
 def drop_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with hit words, and what stands before each of them, taken out of the text."""
     bad = scan(docs, items, id_col=id_col, text_col=text_col, **how).filter("size(hits) > 0")
-    bad = bad.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("hits").alias("_hits"))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_h"))
-    tokens = F.regexp_extract_all(F.col(text_col), F.lit(WITH_GAP), F.lit(0))
+    rows, on = _keyed(docs, bad, id_col, text_col)
+    text = F.col(f"row.{text_col}")
+    tokens = F.regexp_extract_all(text, F.lit(WITH_GAP), F.lit(0))
     # Runs of hit words, so that a token is held against few runs rather than against all hits.
-    starts = F.filter("_hits", lambda x, i: (i == 0) | (F.element_at("_hits", F.greatest(i, F.lit(1))) != x - 1))
+    starts = F.filter("hits", lambda x, i: (i == 0) | (F.element_at("hits", F.greatest(i, F.lit(1))) != x - 1))
     ends = F.filter(
-        "_hits", lambda x, i: (i == F.size("_hits") - 1) | (F.element_at("_hits", F.least(i + 2, F.size("_hits"))) != x + 1)
+        "hits", lambda x, i: (i == F.size("hits") - 1) | (F.element_at("hits", F.least(i + 2, F.size("hits"))) != x + 1)
     )
     runs = F.arrays_zip(starts.alias("a"), ends.alias("b"))
-    kept = F.filter(tokens, lambda t, i: ~F.exists("_runs", lambda r: i.between(r["a"], r["b"])))
-    joined = docs.join(bad, on, "left").withColumn("_runs", runs)
-    text = F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    kept = F.filter(tokens, lambda t, i: ~F.exists("runs", lambda r: i.between(r["a"], r["b"])))
+    joined = rows.join(bad, on, "left").withColumn("runs", runs)
+    text = F.when(F.col("hits").isNull(), text).otherwise(F.array_join(kept, ""))
+    return joined.select(F.col("row").withField(text_col, text).alias("row")).select("row.*")

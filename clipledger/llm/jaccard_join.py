@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import stored, text_or_empty
+from clipledger.llm.common import stored, text_or_empty, wrapped
 from clipledger.llm.components import components
 
 RUN = 5
@@ -330,11 +330,11 @@ def keep_one(
     told = per_row.agg(
         F.max(F.when(F.col("stays"), F.col("times"))).alias("times"), F.count(F.when(~F.col("stays"), 1)).alias("gone")
     ).first()
-    gone = per_row.filter(~F.col("stays")).select(F.col("id").alias("_id"), F.col("tid").alias("_tid"))
+    gone = per_row.filter(~F.col("stays")).select("id", "tid")
     if told["gone"] * 64 <= max_broadcast_bytes:
         gone = F.broadcast(gone)
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.unhex(F.md5(text_or_empty(text_col))) == F.col("_tid"))
-    kept = docs.join(gone, on, "left_anti")
+    own = wrapped(docs, own_id=F.col(id_col).cast("long"), own_tid=F.unhex(F.md5(text_or_empty(text_col))))
+    kept = own.join(gone, own["own_id"].eqNullSafe(gone["id"]) & (own["own_tid"] == gone["tid"]), "left_anti")
     if (told["times"] or 0) > 1:
-        kept = kept.withColumn("_t", F.md5(text_or_empty(text_col))).dropDuplicates([id_col, "_t"]).drop("_t")
-    return kept
+        kept = kept.dropDuplicates(["own_id", "own_tid"])
+    return kept.select("row.*")

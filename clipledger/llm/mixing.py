@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import text_or_empty
+from clipledger.llm.common import text_or_empty, wrapped
 
 #: Hash buckets per size class, as the number of hex digits of the hash that name one.
 BUCKET_DIGITS = 3
@@ -75,17 +75,14 @@ def with_copies(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None,
     weigh=cyclic_weights, most: int = MOST_COPIES, seed: str = "mix",
 ) -> DataFrame:
-    """``docs`` (all columns) with ``m_size, m_source_size, m_target, m_copies``.
+    """``row`` (all columns), ``size``, ``source_size``, ``target`` and ``copies`` of every document.
 
     ``size`` defaults to the word count of ``text``. ``docs`` is read twice; pass a
     stored table where reading is dear.
     """
     size = word_count() if size is None else size
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), size.alias("size"),
-        key.alias("key"),
-    )
+    rows = wrapped(docs, source=F.col(source_col), size=size, key=key)
     rows = rows.withColumn("class", _size_class(F.col("size"))).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     counts = rows.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
 
@@ -110,10 +107,7 @@ def with_copies(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("start") + F.col("place")
     copies = F.floor(rate * rank + F.col("offset")) - F.floor(rate * (rank - 1) + F.col("offset"))
-    return ranked.select(
-        "row.*", F.col("size").alias("m_size"), F.col("source_size").alias("m_source_size"),
-        F.col("target").alias("m_target"), copies.alias("m_copies"),
-    )
+    return ranked.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def _join(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
@@ -124,5 +118,5 @@ def _join(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
-    taken = with_copies(docs, **how).filter("m_copies > 0")
-    return taken.withColumn("m_copies", F.explode(F.expr("sequence(1L, m_copies)"))).select(*docs.columns)
+    taken = with_copies(docs, **how).filter("copies > 0")
+    return taken.select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")

@@ -53,10 +53,7 @@ FROM ranked JOIN r ON ranked.source IS NOT DISTINCT FROM r.source
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
     mixed = mixing.with_copies(stored(docs, "mix-sizes"), size=F.col("size"))
-    return mixed.select(
-        "doc_id", "size", F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"),
-        (F.col("size") * F.col("m_copies")).alias("taken"),
-    )
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 _CONTAM_SQL = r"""
@@ -114,9 +111,7 @@ def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
     scored = toxicity.classify(docs.select("doc_id", "text"), chain)
-    return scored.select(
-        "doc_id", F.col("t_scores")[0].alias("low_quality"), F.col("t_scores")[1].alias("toxicity"), F.col("t_toxic").alias("toxic")
-    )
+    return scored.select("row.doc_id", F.col("scores")[0].alias("low_quality"), F.col("scores")[1].alias("toxicity"), "toxic")
 
 
 @REG.add("op5_suffix_dedup")

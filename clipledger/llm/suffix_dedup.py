@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import stored, text_or_empty
+from clipledger.llm.common import stored, text_or_empty, wrapped
 
 LENGTH = 200
 GRAM = 64
@@ -379,12 +379,13 @@ def _spanned(docs: DataFrame, id_col: str, text_col: str, max_broadcast_bytes: i
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES, **how) -> DataFrame:
     """``docs`` without the repeated bytes in their texts."""
     spans = stored(repeated_spans(docs, id_col, text_col, max_broadcast_bytes=max_broadcast_bytes, **how), "spans")
-    spans = spans.select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), F.col("spans").alias("_spans"))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.unhex(F.md5(text_or_empty(text_col))) == F.col("_tid"))
+    rows = wrapped(docs, own_id=F.col(id_col).cast("long"), own_tid=F.unhex(F.md5(text_or_empty(text_col))))
+    on = rows["own_id"].eqNullSafe(spans["id"]) & (rows["own_tid"] == spans["tid"])
 
     @F.pandas_udf("string")
     def cut(texts, all_spans):
         return texts.combine(all_spans, lambda t, s: None if t is None else _kept(t.encode(), s).decode("utf-8", "replace"))
 
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
-    return docs.join(spans, on, "left").withColumn(text_col, text).select(*docs.columns)
+    text = F.col(f"row.{text_col}")
+    text = F.when(F.col("spans").isNull(), text).otherwise(cut(text, F.col("spans")))
+    return rows.join(spans, on, "left").select(F.col("row").withField(text_col, text).alias("row")).select("row.*")

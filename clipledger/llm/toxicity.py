@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import text_or_empty
+from clipledger.llm.common import text_or_empty, wrapped
 
 WORD = r"\w+"
 MAX_ROWS = 20_000
@@ -198,10 +198,14 @@ def scores(chain: Chain, text_col: str = "text") -> Column:
 
 
 def classify(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``t_scores`` and ``t_toxic``, which the last category of the chain decides."""
-    return docs.withColumn("t_scores", scores(chain, text_col)).withColumn(
-        "t_toxic", F.element_at("t_scores", -1) >= threshold
-    )
+    """``row`` (all columns), ``scores``, and ``toxic``, which the last category of the chain decides."""
+    scored = wrapped(docs, scores=scores(chain, text_col))
+    return scored.withColumn("toxic", F.element_at("scores", -1) >= threshold)
+
+
+def drop_toxic(docs: DataFrame, chain: Chain, **how) -> DataFrame:
+    """``docs`` without what the chain finds toxic."""
+    return classify(docs, chain, **how).filter(~F.col("toxic")).select("row.*")
 
 
 #: The order of the chain over the ``labels`` table.
