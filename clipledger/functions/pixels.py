@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clipledger import constants as C
+from clipledger.functions import text
 
 
 def bit_depth(name: Column) -> Column:
     """Bits per component, NULL when the name does not tell."""
-    low = F.lower(F.trim(name))
+    low = F.lower(text.trimmed(name))
     rest = F.regexp_replace(low, C.PLANAR_FORMAT, "")
     depth = F.regexp_extract(rest, r"^([0-9]+)", 1).try_cast("int")
     out = F.when(low.rlike(C.FLOAT_FORMAT), F.lit(32)).when(
@@ -28,11 +29,11 @@ def has_alpha(name: Column) -> Column:
 
 
 def is_gray_alpha(name: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(name)).rlike(C.GRAY_ALPHA_FORMAT), F.lit(False))
+    return F.coalesce(F.lower(text.trimmed(name)).rlike(C.GRAY_ALPHA_FORMAT), F.lit(False))
 
 
 def is_rgb(name: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(name)).rlike(C.RGB_FORMAT), F.lit(False))
+    return F.coalesce(F.lower(text.trimmed(name)).rlike(C.RGB_FORMAT), F.lit(False))
 
 
 def chroma(name: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipledger import constants as C
 from clipledger.functions.evaluate import evaluate_once
 
 DEC = "decimal(38,0)"
@@ -60,7 +61,7 @@ def _reduced(parts: str, absent: str) -> str:
         return f"CASE WHEN q.g = 1 THEN {n} ELSE try_cast(try_divide({n}, q.g) AS {DEC}) END"
 
     rate = """named_struct(
-        'num', IF(r.fits, r.n, NULL), 'den', IF(r.fits, r.d, NULL), 'value', IF(r.fits, r.v, NULL),
+        'num', IF(r.fits, r.n, NULL), 'den', IF(r.fits, r.d, NULL), 'value', IF(r.sound, r.v, NULL),
         'status', CASE WHEN {absent} THEN 'unknown' WHEN NOT r.sound THEN 'invalid'
                        WHEN r.fits THEN 'ok' ELSE 'unsupported_precision' END)""".format(absent=absent)
     fitted = _let(
@@ -89,7 +90,10 @@ def _fraction(s: str) -> str:
 
     def whole(t: str) -> str:
         return f"""CASE WHEN NOT {t} RLIKE r'^0[0-9]' THEN try_cast({t} AS {DEC})
-            WHEN {t} RLIKE r'^0[0-7]{{1,21}}\\z' THEN try_cast(conv({t}, 8, 10) AS {DEC}) END"""
+            WHEN {t} RLIKE r'^0[0-7]{{1,21}}\\z' THEN try_cast(conv({t}, 8, 10) AS {DEC})
+            WHEN {t} RLIKE r'^0[0-7]{{22,42}}\\z' THEN try_add(
+                try_multiply(try_cast(conv(left({t}, length({t}) - 21), 8, 10) AS {DEC}), CAST({8**21} AS {DEC})),
+                try_cast(conv(right({t}, 21), 8, 10) AS {DEC})) END"""
 
     eights = _let(
         "e",
@@ -132,16 +136,23 @@ def parse_rate(text: str, lenient: bool = True, trim: bool = False) -> Column:
     """The exact positive rational that the column ``text`` spells, as a rate struct.
 
     ``status`` is ``ok``, ``unknown`` (lenient mode only), ``invalid`` or
-    ``unsupported_precision``. The grammar is checked before any cast, because
+    ``unsupported_precision``: the exact pair needs over 38 digits, and only the
+    double is given. The grammar is checked before any cast, because
     casts accept spellings such as ``0x1p3``, ``1d`` or ``Infinity``.
     """
-    column = f"trim(`{text}`)" if trim else f"`{text}`"
+    ends = f"^{C.WHITE_SPACE_RUN}|{C.WHITE_SPACE_RUN}\\z"
+    column = f"regexp_replace(`{text}`, r'{ends}', '')" if trim else f"`{text}`"
     unknown = ", ".join(f"'{u}'" for u in UNKNOWN_RATES)
     short = f"length(s) <= {_MAX_LENGTH}"
     parts = f"""CASE WHEN {short} AND s RLIKE {_FRACTION} THEN {_fraction("ltrim('+', s)")}
         WHEN {short} AND s RLIKE {_DECIMAL} THEN {_let("b", "ltrim('+', s)", _decimal("b"))}
         ELSE {_parts("NULL", "NULL", "NULL")} END"""
-    parsed = _let("s", f"coalesce({column}, '')", _reduced(parts, "false"))
+    general = _let("s", f"coalesce({column}, '')", _reduced(parts, "false"))
+    # Whole numbers over one, the usual case, need no general arithmetic.
+    parsed = f"""CASE WHEN {column} RLIKE r'^[1-9][0-9]{{0,14}}/1\\z' THEN named_struct(
+            'num', CAST(split_part({column}, '/', 1) AS {DEC}), 'den', CAST(1 AS {DEC}),
+            'value', CAST(split_part({column}, '/', 1) AS DOUBLE), 'status', 'ok')
+        ELSE {general} END"""
     if not lenient:
         return F.expr(parsed)
     return F.expr(f"CASE WHEN coalesce({column}, '') IN ({unknown}) THEN {UNKNOWN} ELSE {parsed} END")

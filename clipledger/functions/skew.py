@@ -28,8 +28,8 @@ def salted_join(
     of ``per_key`` that already holds ``n``; without it the rows are counted
     (a key-only scan combined map-side).
 
-    The hot-key table that is broadcast holds at most
-    ``total_rows / rows_per_task`` rows by construction.
+    The hot-key table holds at most ``total_rows / rows_per_task`` rows by
+    construction; how it is joined is left to Spark, which knows its size.
     """
     key = as_list(key)
     if count is None:
@@ -41,12 +41,12 @@ def salted_join(
     )
     salts = F.coalesce(F.col("__salts"), F.lit(1))
     spread_rows = (
-        join_on(rows, F.broadcast(hot), key, "left")
+        join_on(rows, hot, key, "left")
         .withColumn(_SALT, F.pmod(F.xxhash64(spread), salts).cast("int"))
         .drop("__salts")
     )
     repeated = (
-        join_on(per_key, F.broadcast(hot), key, "left")
+        join_on(per_key, hot, key, "left")
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("__salts")
     )

@@ -28,6 +28,11 @@ def clip(c: Column, n: int) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(cut)
 
 
+def trimmed(c: Column) -> Column:
+    """White space of any kind taken off both ends."""
+    return F.regexp_replace(c, f"^{C.WHITE_SPACE_RUN}|{C.WHITE_SPACE_RUN}\\z", "")
+
+
 def squeeze(c: Column) -> Column:
     """White-space runs become one space; the ends are trimmed."""
     return F.trim(F.regexp_replace(c, C.WHITE_SPACE_RUN, " "))

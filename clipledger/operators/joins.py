@@ -125,7 +125,7 @@ def codec_matches(preset: str, codec: Column, tag: Column, profile: Column, pixe
         return same(codec, "prores") & same(profile, profiles[preset]) & same(pixel, "yuv422p10le")
     if preset == "prores_4444":
         layout = F.coalesce(
-            F.lower(F.trim(pixel)).rlike(r"^(yuv444p10le|yuv444p12le)\z|^yuva444p"), F.lit(False)
+            F.lower(text.trimmed(pixel)).rlike(r"^(yuv444p10le|yuv444p12le)\z|^yuva444p"), F.lit(False)
         )
         return same(codec, "prores") & same(profile, "4444") & layout
     if preset in ("magicyuv_lossless", "utvideo_lossless"):
@@ -254,10 +254,10 @@ def incompatible_tracks(
     tracks. Distinct by item and track.
     """
     box, code = on
-    listed = allowed.select(F.col(box), F.lower(F.trim(code)).alias(code)).distinct()
+    listed = allowed.select(F.col(box), F.lower(text.trimmed(F.col(code))).alias(code)).distinct()
     exploded = df.select(
         item, box, F.explode(tracks).alias("__track")
-    ).withColumn(code, F.lower(F.trim("__track"))).select(item, box, code).distinct()
+    ).withColumn(code, F.lower(text.trimmed(F.col("__track")))).select(item, box, code).distinct()
     return exploded.join(listed, [box, code], "left_anti").select(
         item, box, code,
         F.concat(F.col(item).cast("string"), F.lit("="), F.upper(code)).alias("label"),
@@ -266,7 +266,7 @@ def incompatible_tracks(
 
 def audio_allowed(container: Column, codec: Column) -> Column:
     """Container can carry the codec by stream copy (constant allow-lists)."""
-    c = F.lower(F.trim(codec))
+    c = F.lower(text.trimmed(codec))
     return F.coalesce(
         F.when(container == "avi", c.isin(C.AVI_AUDIO)).when(container == "mov", c.isin(C.MOV_AUDIO)),
         F.lit(False),
@@ -392,7 +392,7 @@ def audit_provenance(
     key = as_list(key)
     joined = join_on(outputs, sources.select(*key, F.col(source_sig).alias("__sig")), key, "left")
     want = provenance_tag(prefix, F.col("__sig"), job_sig)
-    got = F.trim(F.col(tag))
+    got = text.trimmed(F.col(tag))
     return joined.withColumn(
         out,
         F.when(F.lower(got) == F.lower(want), F.lit("ok"))

@@ -86,7 +86,7 @@ def first_match(value: Column, rules: Sequence[tuple[str, object]]) -> Column:
 
 
 def classify_by_pattern(df: DataFrame, col: str, rules, out: str = "class") -> DataFrame:
-    return df.withColumn(out, first_match(F.lower(F.trim(F.col(col))), rules))
+    return df.withColumn(out, first_match(F.lower(text.trimmed(F.col(col))), rules))
 
 
 def pixel_properties(df: DataFrame, col: str = "pixel_format") -> DataFrame:
@@ -148,7 +148,7 @@ def select_rate_text(df: DataFrame, candidates, count: str, span: str, out: str
     picks = []
     for i in range(len(names)):
         r = F.col(f"__cand{i}")
-        usable = (r["status"] == "ok") & rate_agrees(r["value"], F.col(count), F.col(span))
+        usable = r["value"].isNotNull() & rate_agrees(r["value"], F.col(count), F.col(span))
         picks.append(F.when(usable, r))
     texts = [F.when(p.isNotNull(), F.col(n)) for p, n in zip(picks, names)]
     df = df.withColumns({out: F.coalesce(*picks), f"{out}_text": F.coalesce(*texts)})
@@ -622,7 +622,7 @@ def normalize_alias(
     by_name: dict[str, list[str]] = {}
     for alias, name in aliases.items():
         by_name.setdefault(name, []).append(alias)
-    low = F.lower(F.trim(F.col(col)))
+    low = F.lower(text.trimmed(F.col(col)))
     value = F.lit(None).cast("string")
     for name, spellings in by_name.items():
         value = F.when(low.isin(spellings), F.lit(name)).otherwise(value)
@@ -634,8 +634,8 @@ def normalize_alias(
 
 def normalize_alias_from(df: DataFrame, col: str, aliases: DataFrame, out: str = "canonical") -> DataFrame:
     """Alias lookup against a table ``(alias, canonical)``."""
-    table = aliases.groupBy(F.lower(F.trim("alias")).alias("__alias")).agg(F.min("canonical").alias(out))
-    d = df.withColumn("__alias", F.lower(F.trim(F.col(col))))
+    table = aliases.groupBy(F.lower(text.trimmed(F.col("alias"))).alias("__alias")).agg(F.min("canonical").alias(out))
+    d = df.withColumn("__alias", F.lower(text.trimmed(F.col(col))))
     return join_on(d, table, ["__alias"], "left").drop("__alias").withColumn(
         "alias_error",
         F.when(F.col(out).isNull(), F.concat(F.lit("unknown name: "), F.coalesce(F.col(col), F.lit("")))),

@@ -399,19 +399,43 @@ def allowlist_segments(spark, sf_dir):
     return P.allowlist_or_null(customers, {"c_mktsegment": ["building", "machinery"]})
 
 
+@REG.add(
+    "long_rates",
+    """
+    SELECT rate_text, CAST(split_part(rate_text, '/', 1) AS DOUBLE) / CAST(coalesce(nullif(split_part(rate_text, '/', 2), ''), '1') AS DOUBLE)
+             AS value, 'unsupported_precision' AS status, count(*) AS n
+    FROM (SELECT CASE user_id % 3 WHEN 0 THEN '0.' || repeat('0', 40) || (user_id % 9 + 1)
+                                  WHEN 1 THEN '1' || repeat('0', 45) || '.5' ELSE '7/' || repeat('9', 44) END AS rate_text
+          FROM events)
+    GROUP BY ALL
+    """,
+)
+def long_rates(spark, sf_dir):
+    """Rates whose exact pair has no decimal keep their double."""
+    user = F.col("user_id")
+    text = (
+        F.when(user % 3 == 0, F.concat(F.lit("0." + "0" * 40), user % 9 + 1))
+        .when(user % 3 == 1, F.lit("1" + "0" * 45 + ".5"))
+        .otherwise("7/" + "9" * 44)
+    )
+    texts = table(spark, sf_dir, "events").groupBy(text.alias("rate_text")).agg(F.count(F.lit(1)).alias("n"))
+    rates = P.with_rate(texts, "rate_text", "rate")
+    return rates.select("rate_text", F.col("rate.value").alias("value"), F.col("rate.status").alias("status"), "n")
+
+
 @REG.add(
     "normalize_alias",
     """
     SELECT o_orderkey,
            CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'urgent'
                 WHEN '3-MEDIUM' THEN 'normal' WHEN '5-LOW' THEN 'low' END AS canonical,
-           CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'unknown name:  4-NOT SPECIFIED ' END AS alias_error
+           CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'unknown name:  ' || chr(9) || '4-NOT SPECIFIED' || chr(10) END AS alias_error
     FROM orders
     """,
 )
 def normalize_alias(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" ")).alias("raw")
+        "o_orderkey", F.concat(F.lit(" \t"), F.col("o_orderpriority"), F.lit("\n")).alias("raw")
     )
     aliases = {"1-urgent": "urgent", "2-high": "urgent", "3-medium": "normal", "5-low": "low"}
     return P.normalize_alias(rows, "raw", aliases).drop("raw")

@@ -41,17 +41,32 @@ def json_flatten(spark, sf_dir):
 @REG.add(
     "json_rejects",
     """
-    SELECT origin, CASE WHEN NOT json_valid(doc) THEN 'unparsable' ELSE 'good' END AS reason,
+    SELECT origin, CASE WHEN NOT json_valid(doc) OR contains(doc, 'NaN') THEN 'unparsable' ELSE 'good' END AS reason,
            count(*) AS n
     FROM (SELECT 'events' AS origin, props AS doc FROM events
-          UNION ALL SELECT 'documents', text FROM documents)
+          UNION ALL SELECT 'documents', text FROM documents
+          UNION ALL SELECT 'other quotes', replace(props, '"', chr(39)) FROM events
+          UNION ALL SELECT 'trailing text', props || ' rest' FROM events
+          UNION ALL SELECT 'two objects', props || props FROM events
+          UNION ALL SELECT 'closed early', props || '],[' || props FROM events
+          UNION ALL SELECT 'closed object', props || '},{"d":' || props FROM events
+          UNION ALL SELECT 'no number', replace(props, '{', '{"z":NaN,') FROM events)
     GROUP BY ALL
     """,
 )
 def json_rejects(spark, sf_dir):
-    docs = (
-        table(spark, sf_dir, "events").select(F.lit("events").alias("origin"), F.col("props").alias("doc"))
-    ).unionByName(
+    props = F.col("props")
+    variants = {
+        "events": props,
+        "other quotes": F.replace(props, F.lit('"'), F.lit("'")),
+        "trailing text": F.concat(props, F.lit(" rest")),
+        "two objects": F.concat(props, props),
+        "closed early": F.concat(props, F.lit("],["), props),
+        "closed object": F.concat(props, F.lit('},{"d":'), props),
+        "no number": F.replace(props, F.lit("{"), F.lit('{"z":NaN,')),
+    }
+    each = F.array(*[F.struct(F.lit(k).alias("origin"), v.alias("doc")) for k, v in variants.items()])
+    docs = table(spark, sf_dir, "events").select(F.inline(each)).unionByName(
         table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("text").alias("doc"))
     )
     parsed = parse_json(docs, "doc", _K, "p", required=F.col("p.k").isNotNull(), required_reason="no k")

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger import constants as C
 from clipledger.functions import text
+from clipledger.functions.digest import content_signature
 from clipledger.operators.project import generated_name
 from clipledger.operators.windows import dedupe_keep_first
 
+BLOCK_BYTES = 1 << 20
+
 
 def scan_files(
     spark: SparkSession,
@@ -84,24 +88,32 @@ def scan_outputs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def file_signatures(
-    spark: SparkSession, folder: str, max_bytes: int = 1 << 30
-) -> DataFrame:
-    """Content signature of every file in a folder.
+def _streamed_signature(paths: pd.Series, sizes: pd.Series) -> pd.Series:
+    """:func:`content_signature` of files on a mounted store, in constant memory."""
+    import hashlib
 
-    A file is one binary cell, so files above ``max_bytes`` are rejected with
-    a reason; sampling them would miss edits between the samples.
-    """
-    from clipledger.functions.digest import content_signature
+    def one(path, size):
+        digest = hashlib.sha256(int(size).to_bytes(8, "little"))
+        with open(path, "rb") as f:
+            while block := f.read(BLOCK_BYTES):
+                digest.update(block)
+        return digest.hexdigest()
+
+    return pd.Series([one(p, n) for p, n in zip(paths, sizes)])
 
+
+def file_signatures(spark: SparkSession, folder: str, max_cell_bytes: int = 1 << 28) -> DataFrame:
+    """Content signature of every file in a folder, whatever its size.
+
+    Files up to ``max_cell_bytes`` are read as one binary cell, from any store.
+    Larger ones are streamed by the executors in blocks, which asks for a folder
+    that executors have mounted.
+    """
     files = spark.read.format("binaryFile").load(folder)
     path = F.regexp_replace("path", r"^file:/+", "/").alias("path")
-    small = files.where(F.col("length") <= max_bytes).select(
-        path, "length", content_signature(F.col("content")).alias("signature"),
-        F.lit(None).cast("string").alias("signature_error"),
-    )
-    large = files.where(F.col("length") > max_bytes).select(
-        path, "length", F.lit(None).cast("string").alias("signature"),
-        F.lit("content too large").alias("signature_error"),
+    small = files.where(F.col("length") <= max_cell_bytes).select(
+        path, "length", content_signature(F.col("content")).alias("signature")
     )
-    return small.unionByName(large)
+    streamed = F.pandas_udf(_streamed_signature, "string")
+    large = files.where(F.col("length") > max_cell_bytes).select(path, "length")
+    return small.unionByName(large.withColumn("signature", streamed("path", "length")))

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from clipledger import constants as C
 from clipledger.functions import pixels
 from clipledger.functions.evaluate import evaluate_once
-from clipledger.functions.rational import rate_text, with_rate
+from clipledger.functions.rational import with_rate
+from clipledger.functions.text import trimmed
 from clipledger.operators.project import implied_count, in_range, rate_agrees
 from clipledger.schemas import PROBE_DOC
 
@@ -18,22 +19,38 @@ _BAD = "_corrupt_record"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _alone(doc: Column) -> Column:
+    """Nothing follows the first value.
+
+    The parser stops after one value, so the text is read as the only element of
+    an array and as the only field of an object. What closes the one early leaves
+    the other malformed.
+    """
+    element = F.from_json(F.concat(F.lit("["), doc, F.lit("]")), "array<string>", _STRICT)
+    field = F.from_json(
+        F.concat(F.lit('{"d":'), doc, F.lit("}")), f"d string, {_BAD} string", {**_STRICT, "columnNameOfCorruptRecord": _BAD}
+    )
+    return F.coalesce((F.size(element) == 1) & field[_BAD].isNull() & field["d"].isNotNull(), F.lit(False))
+
+
 def parse_json(
     df: DataFrame, doc: str, schema: T.StructType = PROBE_DOC, out: str = "doc_parsed",
-    max_bytes: int = C.MAX_DOCUMENT_BYTES, required: Column | None = None,
+    max_bytes: int | None = None, required: Column | None = None,
     required_reason: str = "no video stream",
 ) -> DataFrame:
     """Add the parsed document and a ``reject_reason`` (NULL for good rows).
 
-    Oversized text is rejected before it is parsed. ``required`` is a predicate
-    on the parsed column.
+    Only one JSON object is accepted: no other quotes, no NaN, nothing after it.
+    Text above ``max_bytes``, if given, is rejected before it is parsed.
+    ``required`` is a predicate on the parsed column.
     """
     full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType(), True)])
-    big = F.octet_length(F.col(doc)) > max_bytes
-    parsed = F.from_json(
-        F.when(~big, F.col(doc)), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    )
-    df = evaluate_once(df, {out: parsed})
+    big = F.lit(False) if max_bytes is None else F.octet_length(F.col(doc)) > max_bytes
+    parsed = F.from_json(F.when(~big, F.col(doc)), full, {**_STRICT, "columnNameOfCorruptRecord": _BAD})
+    df = evaluate_once(df, {out: F.when(_alone(F.col(doc)), parsed)})
     reason = (
         F.when(big, F.lit("too large"))
         .when(F.col(doc).isNull(), F.lit("unreadable"))
@@ -46,7 +63,7 @@ def parse_json(
 
 def split_rejects(
     df: DataFrame, doc: str, schema: T.StructType = PROBE_DOC, out: str = "doc_parsed",
-    max_bytes: int = C.MAX_DOCUMENT_BYTES, required: Column | None = None,
+    max_bytes: int | None = None, required: Column | None = None,
     required_reason: str = "no video stream",
 ) -> tuple[DataFrame, DataFrame]:
     """Good rows with the parsed document, and bad rows with their reason."""
@@ -116,17 +133,17 @@ def flatten_probe(df: DataFrame, doc: str, path: str = "path", parsed: str | Non
     d = d.withColumn(
         "__exact",
         F.col("__frames").isNotNull()
-        & F.coalesce(F.lower(F.trim(v["codec_name"])).isin(C.TRUSTED_COUNT_CODECS), F.lit(False)),
+        & F.coalesce(F.lower(trimmed(v["codec_name"])).isin(C.TRUSTED_COUNT_CODECS), F.lit(False)),
     )
     ra, rr, dur = F.col("__ra"), F.col("__rr"), F.col("__dur")
     witness = F.when(F.col("__exact"), F.col("__frames"))
-    ok_a = F.coalesce((ra["status"] == "ok") & rate_agrees(ra["value"], witness, dur), F.lit(False))
+    ok_a = F.coalesce(ra["value"].isNotNull() & rate_agrees(ra["value"], witness, dur), F.lit(False))
     d = with_rate(d, "__avg", "__ra")
     # The nominal rate is only read where the average did not settle the matter.
     d = d.withColumn("__second", F.when(ok_a, F.lit("")).otherwise(F.col("__nom")))
     d = with_rate(d, "__second", "__rr")
-    ok_r = (rr["status"] == "ok") & rate_agrees(rr["value"], witness, dur)
-    any_valid = (ra["status"] == "ok") | (rr["status"] == "ok")
+    ok_r = rr["value"].isNotNull() & rate_agrees(rr["value"], witness, dur)
+    any_valid = ra["value"].isNotNull() | rr["value"].isNotNull()
     d = d.withColumns(
         {
             "__rate": F.when(ok_a, ra).when(ok_r, rr),
@@ -162,9 +179,3 @@ def flatten_probe(df: DataFrame, doc: str, path: str = "path", parsed: str | Non
         F.lit(False).alias("timestamps_broken"),
         F.lit(None).cast("string").alias("impeached_fps"),
     )
-
-
-
-def canonical_rate(media: DataFrame, out: str = "fps_canonical") -> DataFrame:
-    """Add the reduced ``num/den`` spelling of the exact rate."""
-    return media.withColumn(out, rate_text(F.col("fps_rate")))

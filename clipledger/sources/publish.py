@@ -24,17 +24,22 @@ def publish_verified(
     ``check`` reconciles the read-back rows, giving rows with a problem list.
     Without problems a manifest row naming the version is appended last, which
     is what makes it visible; no directory is renamed. With problems, the
-    version written by this run is removed and nothing else is touched.
+    version written by this run is removed and nothing else is touched; so it is
+    where writing or checking fails.
 
     Returns one audit row: version, rows, rows with problems, published.
     """
     spark = df.sparkSession
     version = uuid.uuid4().hex
     place = f"{target.rstrip('/')}/versions/{version}"
-    df.write.parquet(place)
-    back = spark.read.schema(df.schema).parquet(place)
-    counted = back.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    failed = check(back).where(F.size(problems) > 0).agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    try:
+        df.write.parquet(place)
+        back = spark.read.schema(df.schema).parquet(place)
+        counted = back.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+        failed = check(back).where(F.size(problems) > 0).agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    except BaseException:
+        _remove(spark, place)
+        raise
     audit = spark.createDataFrame(
         [(version, counted, failed, failed == 0)],
         "version string, row_count long, problem_rows long, published boolean",

@@ -94,7 +94,9 @@ def stream_latest_progress(
     )
 
 
-def stream_throttle(df: DataFrame, key, ts: str, seq: str, stage: str, pct: str) -> DataFrame:
+def stream_throttle(
+    df: DataFrame, key, ts: str, seq: str, stage: str, pct: str
+) -> DataFrame:
     """Throttled progress rows. State: time, progress and stage of the last emitted row."""
     rows = df.select(
         *as_list(key),
@@ -122,19 +124,21 @@ def stream_throttle(df: DataFrame, key, ts: str, seq: str, stage: str, pct: str)
 
 
 def stream_pattern_count(
-    chunks: DataFrame, key, seq: str, offset: str, chunk: str, pattern: bytes
+    chunks: DataFrame, key, seq: str, offset: str | None, chunk: str, pattern: bytes
 ) -> DataFrame:
     """Running number of pattern occurrences in a growing byte stream.
 
     Only new bytes are scanned, prefixed by the last ``m - 1`` old ones. A
     chunk that starts before the end of what was read means the stream was
-    truncated: counting restarts. State: end offset, carry, count.
+    truncated: counting restarts. A chunk that starts behind that end leaves a
+    gap, so old bytes do not precede it. Without ``offset`` each chunk follows the
+    one before. State: end offset, carry, count.
     """
     keep = len(pattern) - 1
     find = re.compile(b"(?=" + re.escape(pattern) + b")")
     rows = chunks.select(
         *as_list(key), F.col(seq).cast("long").alias("__s"),
-        F.col(offset).cast("long").alias("__o"), F.col(chunk).cast("binary").alias("__c"),
+        (F.lit(None) if offset is None else F.col(offset)).cast("long").alias("__o"), F.col(chunk).cast("binary").alias("__c"),
     )
 
     def step(parts, state):
@@ -142,8 +146,11 @@ def stream_pattern_count(
         end, carry, count = state.get if state.exists else (0, b"", 0)
         for at, data in zip(pdf["__o"], pdf["__c"]):
             data = bytes(data) if data is not None else b""
+            at = end if pd.isna(at) else int(at)
             if at < end:
                 end, carry, count = 0, b"", 0
+            elif at > end:
+                carry = b""
             joined = bytes(carry) + data
             count += sum(1 for _ in find.finditer(joined))
             carry = joined[-keep:] if keep else b""
@@ -156,7 +163,9 @@ def stream_pattern_count(
     )
 
 
-def stream_tail(lines: DataFrame, key, seq: str, text: str, limit: int = C.TAIL_BYTES) -> DataFrame:
+def stream_tail(
+    lines: DataFrame, key, seq: str, text: str, limit: int = C.TAIL_BYTES
+) -> DataFrame:
     """Last ``limit`` bytes per key. State: those bytes."""
     rows = lines.select(
         *as_list(key), F.col(seq).cast("long").alias("__s"), F.col(text).cast("binary").alias("__b")

@@ -13,6 +13,7 @@ ACCEPTED = [
     ("30", 30, 1), ("30000/1001", 30000, 1001), ("0.1", 1, 10), ("23.976", 2997, 125), ("1e-3", 1, 1000),
     ("1E2", 100, 1), ("+5/10", 1, 2), ("030/1", 24, 1), (".5", 1, 2), ("5.", 5, 1), ("60/2", 30, 1),
     ("12345678901234567890/12345678901234567891", 12345678901234567890, 12345678901234567891),
+    ("0" + "7" * 22 + "/3", (8**22 - 1) // 3, 1), ("1/0" + "1" + "0" * 41, 1, 8**41),
 ]
 REJECTED = [
     "1e999999999", "1e-999999999", "1e1001", "1e+1001", "0x1p99", "9" * 65, "abc", "1e2e3", "1e-", "1e309", "1e-9999",
@@ -43,8 +44,14 @@ def test_rates_unknown(frame):
 
 def test_rate_precision_and_trim(frame):
     assert parsed(frame, ["1e60"])[0]["status"] == "unsupported_precision"
-    d = P.with_rate(frame([(" 60/2 ",)], "x string"), "x", "r", trim=True)
-    assert d.select(rate_text(F.col("r")).alias("t")).first()["t"] == "30/1"
+    long = ["1e-50", "0." + "1" * 40, "1/" + "9" * 45]
+    for text, r in zip(long, parsed(frame, long)):
+        assert (r["status"], r["num"], r["den"]) == ("unsupported_precision", None, None)
+        assert r["value"] == pytest.approx(float(text) if "/" not in text else 1e-45, rel=1e-12)
+    d = P.with_rate(frame([(" 60/2 ",), ("\t30/1\n",), ("\u200930\u3000",)], "x string"), "x", "r", trim=True)
+    assert {r["t"] for r in d.select(rate_text(F.col("r")).alias("t")).collect()} == {"30/1"}
+    d = P.normalize_alias(frame([("share\t",), ("\n SHARE",)], "x string"), "x")
+    assert {r["canonical"] for r in d.collect()} == {"xvid_max_q2"}
 
 
 def test_quotient(frame):

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from clipledger.operators.ordering import ordered_inputs
@@ -70,10 +71,14 @@ def test_scan(spark, tmp_path):
     assert all(os.path.isabs(r["path"]) for r in got)
     outs = files.scan_outputs(spark, str(a)).collect()
     assert sorted((r["stem"], r["preset"], r["slot"]) for r in outs) == [("clip", "prores_lt", 1), ("clip", "xvid_compact", 2)]
-    sigs = files.file_signatures(spark, str(a), max_bytes=1).collect()
-    assert {r["signature_error"] for r in sigs} == {"content too large"}
     sigs = files.file_signatures(spark, str(a)).collect()
     assert len({r["signature"] for r in sigs}) == 1 and sigs[0]["signature"] is not None
+    (tmp_path / "big").mkdir()
+    for name, data in {"x": b"q" * (3 << 20), "y": b"q" * (2 << 20) + b"r" + b"q" * ((1 << 20) - 1), "z": b"z"}.items():
+        (tmp_path / "big" / name).write_bytes(data)
+    whole = {r["path"]: r["signature"] for r in files.file_signatures(spark, str(tmp_path / "big")).collect()}
+    streamed = {r["path"]: r["signature"] for r in files.file_signatures(spark, str(tmp_path / "big"), 1 << 20).collect()}
+    assert whole == streamed and len(set(whole.values())) == 3
 
 
 def test_publish(spark, frame, tmp_path):
@@ -89,6 +94,8 @@ def test_publish(spark, frame, tmp_path):
     second = publish.publish_verified(df.limit(1), target, check(1)).first()
     assert (second["problem_rows"], second["published"]) == (1, False)
     assert publish.read_published(spark, target).count() == 2
+    with pytest.raises(Exception, match="no_such_column"):
+        publish.publish_verified(df, target, lambda back: back.select("no_such_column"))
     assert os.listdir(tmp_path / "out" / "versions") == [first["version"]]
 
 
@@ -102,3 +109,12 @@ def test_report(frame):
     assert [r["file"] for r in got] == ["n" * 22 + "...", "a.avi", "b.avi"]
     assert [r["codec_label"] for r in got] == ["H264", "XVID", "H264"]
     assert [r["fps_label"] for r in got] == ["?", "30.000", "?"]
+
+
+def test_only_one_object_is_a_document(frame):
+    good = '{"streams": [], "format": {}}'
+    texts = [good, f"  {good}\n", good.replace('"', "'"), good + " rest", good + good, f"{good}],[{good}", good + '},{"d":' + good,
+             '{"format": {"duration": NaN}}', "[]", "1", "", None]
+    d = frame(list(enumerate(texts)), "path int, doc string")
+    got = {r["path"]: r["reject_reason"] for r in probe.parse_json(d, "doc").collect()}
+    assert [got[i] for i in range(len(texts))] == [None, None, *["unparsable"] * 9, "unreadable"]

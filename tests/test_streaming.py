@@ -83,6 +83,19 @@ def test_pattern_restarts_when_stream_shrinks(spark, tmp_path, data, rows):
     assert rows(got, "seq", "hits") == [(0, 1), (1, 3), (2, 1), (3, 2)]
 
 
+def test_pattern_does_not_join_bytes_across_a_gap(spark, tmp_path, data, rows):
+    row = data[0]
+    chunks = [("k", i, *row[2:7], "a", at) for i, at in enumerate([0, 5, 6])]
+    src = Source(spark, tmp_path, chunks, 3)
+    src.put(0, 3)
+    out = src.run(lambda d: S.stream_pattern_count(d, "key", "seq", "offset", "text", b"aa"))
+    assert rows(S.latest(out, "key"), "key", "hits") == [("k", 1)]
+    follow = Source(spark, tmp_path / "b", chunks, 3)
+    follow.put(0, 3)
+    out = follow.run(lambda d: S.stream_pattern_count(d, "key", "seq", None, "text", b"aa"))
+    assert rows(S.latest(out, "key"), "key", "hits") == [("k", 2)]
+
+
 def test_tail(spark, tmp_path, data, rows):
     got = restarted(spark, tmp_path, data, lambda d: S.stream_tail(d, "key", "seq", "text", 40))
     want = {}
