@@ -14,8 +14,9 @@ where the state does not matter:
   possible entry (walks merge quickly), the small entry-to-exit tables are
   chained along the key, and only then rows are emitted, cell by cell.
 
-No task ever holds more than one cell of one key; results equal the sequential
-fold exactly.
+A walk holds one cell of one key at a time, however many rows its seconds have;
+chaining sees one row per cell and reachable entry of a key. Results equal the
+sequential fold exactly.
 """
 
 from __future__ import annotations

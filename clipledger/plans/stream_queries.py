@@ -36,11 +36,11 @@ def stream_throttle(spark, sf_dir):
     events = _stream(spark, sf_dir, "events", _EVENTS)
     us = micros(events, "ts")
     rows = events.select(
-        "event_type", "event_id", F.floor(us / 2000).cast("long").alias("t"),
+        "user_id", "event_id", F.floor(us / 2000).cast("long").alias("t"),
         F.to_date("ts").cast("string").alias("stage"),
         (F.floor((us % 86_400_000_000) / 1_000_000).cast("double") / 90000.0).alias("p"),
     )
-    out = S.stream_throttle(rows, "event_type", "t", "event_id", "stage", "p")
+    out = S.stream_throttle(rows, "user_id", "t", "event_id", "stage", "p")
     return S.run_available(out, "stream-throttle").withColumnRenamed("seq", "event_id")
 
 

@@ -159,19 +159,19 @@ def fill_snapshots(spark, sf_dir):
 
 THROTTLE_SQL = """
     WITH RECURSIVE r AS (
-      SELECT event_type, event_id, epoch_us(ts) // 2000 AS t, CAST(CAST(ts AS DATE) AS VARCHAR) AS stage,
+      SELECT user_id, event_id, epoch_us(ts) // 2000 AS t, CAST(CAST(ts AS DATE) AS VARCHAR) AS stage,
              CAST((epoch_us(ts) % 86400000000) // 1000000 AS DOUBLE) / 90000.0 AS p,
-             row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 2000, event_id) AS rn
+             row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 2000, event_id) AS rn
       FROM events),
     f AS (
-      SELECT event_type, event_id, rn, true AS emit, t AS lt, p AS lp, stage AS ls FROM r WHERE rn = 1
+      SELECT user_id, event_id, rn, true AS emit, t AS lt, p AS lp, stage AS ls FROM r WHERE rn = 1
       UNION ALL
-      SELECT r.event_type, r.event_id, r.rn, e.emit,
+      SELECT r.user_id, r.event_id, r.rn, e.emit,
              CASE WHEN e.emit THEN r.t ELSE f.lt END, CASE WHEN e.emit THEN r.p ELSE f.lp END,
              CASE WHEN e.emit THEN r.stage ELSE f.ls END
-      FROM f JOIN r ON r.event_type = f.event_type AND r.rn = f.rn + 1,
+      FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1,
       LATERAL (SELECT r.stage <> f.ls OR r.p >= 0.9999 OR r.p - f.lp >= 0.05 OR r.t - f.lt >= 1000000 AS emit) e)
-    SELECT event_type, event_id FROM f WHERE emit
+    SELECT user_id, event_id FROM f WHERE emit
 """
 
 
@@ -180,7 +180,7 @@ def progress_rows(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     us = micros(events, "ts")
     return events.select(
-        "event_type", "event_id", F.floor(us / 2000).cast("long").alias("t"),
+        "user_id", "event_id", F.floor(us / 2000).cast("long").alias("t"),
         F.to_date("ts").cast("string").alias("stage"),
         (F.floor((us % 86_400_000_000) / 1_000_000).cast("double") / 90000.0).alias("p"),
     )
@@ -188,8 +188,8 @@ def progress_rows(spark, sf_dir):
 
 @REG.add("throttle_events", THROTTLE_SQL)
 def throttle_events(spark, sf_dir):
-    out = throttle(progress_rows(spark, sf_dir), "event_type", "t", "event_id", "stage", "p")
-    return out.select("event_type", "event_id")
+    out = throttle(progress_rows(spark, sf_dir), "user_id", "t", "event_id", "stage", "p")
+    return out.select("user_id", "event_id")
 
 
 @REG.add(
