@@ -310,6 +310,16 @@ def rebuild_rate(
     return df.withColumn(out, F.coalesce(F.col(target).cast("double"), usable(ratio), usable(claim)))
 
 
+def needs_timeline_rebuild(compressed: Column, count: Column, broken: Column, keeps_audio: Column) -> Column:
+    """Whether a broken timeline is laid out anew.
+
+    Only compressed clips with counted frames qualify, and only if no audio is
+    kept, which would run out of step with new timestamps.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return yes(compressed) & yes(count > 0) & yes(broken) & ~yes(keeps_audio)
+
+
 # -------------------------------------------------------------- validation
 
 def problems(rules: Sequence[tuple[Column, Column | str]]) -> Column:

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from clipledger.functions.keys import micros
 from clipledger.operators import aggregates as A
+from clipledger.plans import catalog
 from clipledger.plans.tables import Registry, table
 
 REG = Registry()
@@ -91,6 +93,54 @@ def broken_order_timeline(spark, sf_dir):
     return A.broken_timeline(stats, F.lit(365 * _DAY_US))
 
 
+_CLIP_KEY = ["user_id", "day"]
+
+
+@REG.add(
+    "catalog_timeline",
+    _stats_sql(
+        "(SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, make_timestamp((epoch_us(ts) % 86400000000) // 864000) AS ft "
+        "FROM events)", "user_id, day", "event_id", "ft"
+    )
+    + f""",
+    c AS (SELECT *, CASE WHEN user_id % 7 > 0 THEN 30.0::DOUBLE END AS rate,
+                 CASE WHEN user_id % 4 > 0 THEN (n + 5 * (user_id % 2)) / 30.0::DOUBLE END AS claimed,
+                 user_id % 3 > 0 AS compressed, user_id % 5 = 0 AS audio FROM stats),
+    j AS (SELECT *, coalesce(rate > 0 AND claimed > 0 AND abs(n / rate - claimed) > greatest(0.01, 2.5 / rate), false) AS bad FROM c),
+    a AS (SELECT *, CASE WHEN bad THEN rate END AS impeached, CASE WHEN NOT bad THEN rate END AS kept,
+                 CASE WHEN bad THEN NULL WHEN rate > 0 AND claimed > 0 THEN n / rate ELSE claimed END AS length FROM j),
+    f AS (SELECT *, least(n / kept, length, n / impeached) AS reference FROM a),
+    b AS (SELECT *, NOT reported OR coalesce(changed_deltas > 0 AND min_delta <= 0, false)
+                      OR coalesce(n > 1 AND span * 8 <= reference * 1000000, false) AS broken,
+                 CASE WHEN n > 1 AND length > 0 AND n / length BETWEEN 1 AND 2000 THEN n / length END AS ratio FROM f),
+    r AS (SELECT *, coalesce(ratio, CASE WHEN n > 1 AND broken AND impeached BETWEEN 1 AND 2000 THEN impeached END) AS new_rate FROM b),
+    o AS (SELECT *, CASE WHEN NOT broken THEN 'healthy' WHEN compressed AND NOT audio AND new_rate IS NOT NULL THEN 'rebuilt'
+                         WHEN compressed AND audio THEN 'kept for its audio' ELSE 'left broken' END AS timeline FROM r)
+    SELECT user_id, day, n AS measured, impeached AS impeached_rate, broken AS timestamps_broken, timeline,
+           CASE WHEN timeline = 'rebuilt' THEN round(new_rate, 3) END AS new_rate,
+           CASE WHEN timeline = 'rebuilt' THEN (n - 1) * 1000 / round(new_rate * 1000) END AS last_t
+    FROM o
+    """,
+)
+def catalog_timeline(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
+    frames = events.select(
+        *_CLIP_KEY, "event_id", F.floor(micros(events, "ts") % _DAY_US / 864_000).cast("long").alias("ft")
+    )
+    user = F.col("user_id")
+    claims = frames.groupBy(*_CLIP_KEY).agg(F.count(F.lit(1)).alias("n")).select(
+        *_CLIP_KEY, F.when(user % 7 > 0, F.lit(30.0)).alias("rate"),
+        F.when(user % 4 > 0, (F.col("n") + 5 * (user % 2)) / 30.0).alias("span"),
+        (user % 3 > 0).alias("compressed"), (user % 5 == 0).alias("audio"),
+    )
+    claims = claims.withColumnRenamed("span", "claimed")
+    clips = catalog.audit_timelines(claims, frames, _CLIP_KEY, "event_id", "ft", "compressed", "audio", span="claimed")
+    last = catalog.rebuild_frames(clips, frames, _CLIP_KEY, "event_id").groupBy(*_CLIP_KEY).agg(F.max("t").alias("last_t"))
+    return clips.join(last, _CLIP_KEY, "left").select(
+        *_CLIP_KEY, "measured", "impeached_rate", "timestamps_broken", "timeline", F.round("new_rate", 3).alias("new_rate"), "last_t"
+    )
+
+
 _ITEM_SQL = """
     items AS (SELECT o_orderkey AS idx, o_custkey, o_orderpriority, CAST(o_totalprice AS BIGINT) AS in_bytes,
                      CAST(o_totalprice / 2 AS BIGINT) AS out_bytes,

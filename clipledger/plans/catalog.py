@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from clipledger.functions.rational import UNKNOWN
 from clipledger.operators import joins as J
 from clipledger.operators import project as P
-from clipledger.operators.aggregates import media_job_signature, run_verdict, summarize
+from clipledger.functions.keys import as_list, join_on
+from clipledger.operators.aggregates import (
+    audit_claims, broken_timeline, media_job_signature, run_verdict, summarize, timeline_stats,
+)
+from clipledger.operators.windows import retime
 from clipledger.sources import probe
 
 
@@ -20,6 +24,48 @@ def analyse(docs: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
     return P.classify(clips, "codec", "codec_tag"), bad
 
 
+def audit_timelines(
+    claims: DataFrame, frames: DataFrame, key, seq: str, ts: str, compressed: str, keeps_audio: str,
+    rate: str = "rate", span: str = "claimed",
+) -> DataFrame:
+    """Clips with their claims judged by their frames, and what becomes of their timelines.
+
+    ``claims`` has a rate, a span in seconds and the two flags per clip,
+    ``frames`` a row per frame with its time in microseconds. Frames are counted,
+    contradicted claims are impeached, the surviving ones tell how long the
+    timeline should be, and the timeline is judged against that. Adds
+    ``timestamps_broken``, ``new_rate`` and ``timeline`` (healthy, rebuilt, kept
+    for its audio, or left broken).
+    """
+    key = as_list(key)
+    audited = audit_claims(claims, frames, key, rate, span)
+    audited = P.timing_reference(audited, "audited_rate", "audited_span", "impeached_rate", "measured")
+    stats = timeline_stats(frames, key, seq, ts)
+    judged = join_on(audited, stats, key, "left").withColumn("reported", F.coalesce("reported", F.lit(False)))
+    judged = broken_timeline(judged, F.col("reference_span") * 1_000_000, "timestamps_broken")
+    judged = P.rebuild_rate(
+        judged.withColumn("__target", F.lit(None).cast("double")), "__target", "measured", "audited_span",
+        "impeached_rate", "timestamps_broken", "new_rate",
+    )
+    broken, packed, audio = F.col("timestamps_broken"), F.col(compressed), F.col(keeps_audio)
+    rebuild = P.needs_timeline_rebuild(packed, F.col("measured"), broken, audio) & F.col("new_rate").isNotNull()
+    outcome = (
+        F.when(~broken, "healthy").when(rebuild, "rebuilt").when(packed & audio, "kept for its audio").otherwise("left broken")
+    )
+    return judged.withColumn("timeline", outcome).withColumn(
+        "new_rate", F.when(F.col("timeline") == "rebuilt", F.col("new_rate"))
+    ).drop("__target")
+
+
+def rebuild_frames(clips: DataFrame, frames: DataFrame, key, seq: str, digits: int = 3) -> DataFrame:
+    """Frames of rebuilt clips with their new times ``t``, at the new rate to ``digits`` places."""
+    key = as_list(key)
+    rates = clips.where("timeline = 'rebuilt'").select(
+        *key, F.round(F.col("new_rate") * 10**digits).cast("long").alias("rate_num"), F.lit(10**digits).alias("rate_den")
+    )
+    return retime(join_on(frames, rates, key), key, seq, "rate_num", "rate_den")
+
+
 def plan_batch(media: DataFrame, job: P.Job, caps: P.Capabilities) -> DataFrame:
     """Every clip with its rule violations, route, target rate and expected span."""
     routed = P.route_media(P.preset_violations(media, job, caps), job, caps)

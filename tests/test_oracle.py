@@ -34,7 +34,7 @@ def test_entry_has_both_verdicts(spark):
         ("profile_catalog", "profile"), ("run_verdict", "exit_code"),
         ("audit_provenance", "provenance_state"), ("route_orders", "status"),
         ("merge_taken", "reusable"), ("first_attempt", "verified"),
-        ("corroborate_rate", "rate"), ("expected_timing", "timing_error"),
+        ("corroborate_rate", "rate"), ("expected_timing", "timing_error"), ("catalog_timeline", "timeline"),
     ],
 )
 def test_outcomes_differ(spark, name, column):
