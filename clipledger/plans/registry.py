@@ -5,6 +5,7 @@ from clipledger.plans import (
     catalog_queries,
     join_queries,
     project_queries,
+    reuse,
     source_queries,
     stream_queries,
     window_queries,
@@ -12,7 +13,7 @@ from clipledger.plans import (
 
 _SECTIONS = [
     aggregate_queries, project_queries, join_queries, window_queries, source_queries, catalog_queries,
-    stream_queries,
+    stream_queries, reuse,
 ]
 
 

@@ -35,6 +35,7 @@ def test_entry_has_both_verdicts(spark):
         ("audit_provenance", "provenance_state"), ("route_orders", "status"),
         ("merge_taken", "reusable"), ("first_attempt", "verified"),
         ("corroborate_rate", "rate"), ("expected_timing", "timing_error"), ("catalog_timeline", "timeline"),
+        ("catalog_reuse", "reuse_reason"),
     ],
 )
 def test_outcomes_differ(spark, name, column):
