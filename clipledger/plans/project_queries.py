@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from clipledger.functions.keys import micros
 from clipledger.functions.rational import with_rate
+from clipledger.functions.text import clip
 from clipledger.operators import project as P
 from clipledger.plans.tables import Registry, table
 
@@ -354,9 +355,10 @@ def sanitize_docs(spark, sf_dir):
         F.char(F.lit(13)), F.col("source"), esc,
     )
     docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
-    out = P.sanitize_text(P.sanitize_text(docs, "raw", "clean"), "raw", "title", one_line=True, max_len=40)
+    out = P.sanitize_text(docs, "raw", "clean")
+    line = F.replace(F.col("clean"), F.lit("\n"), F.lit(" "))  # clean text needs no second cleaning
     return out.select(
-        "doc_id", F.sha2("clean", 256).alias("digest"), F.length("clean").cast("long").alias("n"), "title"
+        "doc_id", F.sha2("clean", 256).alias("digest"), F.length("clean").cast("long").alias("n"), clip(line, 40).alias("title")
     )
 
 

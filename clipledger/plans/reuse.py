@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipledger import constants as C
 from clipledger.functions import text
 from clipledger.functions.digest import provenance_tag
 from clipledger.functions.keys import as_list, join_on
@@ -12,15 +13,12 @@ from clipledger.plans.tables import Registry, table
 
 REG = Registry()
 
-#: How far a rebuilt timeline's rate may be from the derived one: absolute, relative.
-RATE_TOLERANCE = (0.01, 0.002)
-
 
 def _rejection(prefix: str) -> Column:
     """Why a candidate is not taken; NULL if it is. Cheap evidence comes first."""
     tag = provenance_tag(prefix, F.col("s_signature"), F.col("s_job_sig"))
     off = F.abs(F.col("fps") - F.col("s_rebuild_rate"))
-    allowed = F.greatest(F.lit(RATE_TOLERANCE[0]), F.col("s_rebuild_rate") * RATE_TOLERANCE[1])
+    allowed = F.greatest(F.lit(C.RATE_ABS_TOL), F.col("s_rebuild_rate") * C.RATE_REL_TOL)
     rebuilt = F.col("s_timestamps_broken") & F.col("s_target_rate").isNull() & (F.col("fps") > 0)
     return (
         F.when(F.col("mtime") < F.col("s_mtime"), "older than its source")

@@ -224,6 +224,12 @@ def ordered_results(spark, sf_dir):
     return O.in_input_order(done.fillna("failed", ["status"]))
 
 
+@REG.add("slots_in_order", "SELECT DISTINCT l_orderkey, l_linenumber AS slot FROM lineitem")
+def slots_in_order(spark, sf_dir):
+    slots = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("slot")).distinct()
+    return O.slots_in_order(slots, "l_orderkey")
+
+
 @REG.add(
     "empty_created",
     """

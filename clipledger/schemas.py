@@ -34,12 +34,3 @@ MEDIA = _fields(
     ("chroma", _S), ("audio", T.ArrayType(_S)), ("provenance", _S),
     ("timestamps_broken", _B), ("impeached_fps", _S),
 )
-
-ITEM_RESULT = _fields(
-    ("item_id", _L), ("source", _S), ("output", _S), ("status", _S), ("backend", _S),
-    ("message", _S), ("elapsed", _D),
-)
-
-FRAME = _fields(("path", _S), ("seq", _L), ("pts", _D))
-LOG_LINE = _fields(("key", _S), ("seq", _L), ("line", _S))
-CHUNK = _fields(("key", _S), ("seq", _L), ("chunk", T.BinaryType()))
