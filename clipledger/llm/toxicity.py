@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers (operator 4).
 
-Categories are predicted in a fixed order. Each has a logistic model over words
-and over the probabilities of the categories before it. A model that trained on a
+Categories are predicted in a fixed order. Each has a logistic model over words,
+beginnings of words, and over the probabilities of the categories before it. A model that trained on a
 row knows its label, so the probabilities fed to later models during training are
 out of fold: each row's come from a model that did not see it. To score, the
 models trained on all rows are chained.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from clipledger.llm.common import text_or_empty, wrapped
 
 WORD = r"\w+"
+#: Lengths of the beginnings of words that count as words of their own.
+STEMS = (4, 5, 6, 8)
 MAX_ROWS = 20_000
 MAX_WORDS = 400
 FOLDS = 5
@@ -68,6 +70,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int
     if share in (0.0, 1.0):
         return np.append(np.zeros(x.shape[1]), 60.0 if share else -60.0)
     design = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
+    blocks = [slice(i, i + 2048) for i in range(0, len(design), 2048)]
     penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
     w = np.append(np.zeros(x.shape[1]), np.log(share / (1 - share)))
 
@@ -79,7 +82,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -60, 60)))
         gradient = design.T @ (p - y) + penalty * w
-        hessian = (design * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ design + np.diag(penalty)
+        spread = np.maximum(p * (1 - p), 1e-9)
+        hessian = np.diag(penalty) + sum((design[b] * spread[b, None]).T @ design[b] for b in blocks)
         step = np.linalg.solve(hessian, gradient)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > last:
@@ -96,37 +100,34 @@ def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -60, 60)))
 
 
-def fit_chain(rows: list[tuple], words: dict[str, list[str]], categories: tuple[str, ...]) -> Chain:
-    """``rows`` are (fold, labels, words present); ``words`` lists each category's features."""
-    folds = np.array([r[0] for r in rows], dtype=int)
-    labels = np.array([r[1] for r in rows], dtype=float).reshape(len(rows), len(categories))
-    earlier = np.zeros((len(rows), 0))
+def fit_chain(
+    folds: np.ndarray, labels: np.ndarray, present: np.ndarray, vocabulary: list[str], words: dict[str, list[str]]
+) -> Chain:
+    """A row per text: its fold, its labels in the order of ``words``, and which of the vocabulary it has."""
+    place = {w: j for j, w in enumerate(vocabulary)}
+    earlier = np.zeros((len(folds), 0), dtype=np.float32)
     links = []
-    for k, c in enumerate(categories):
-        place = {w: j for j, w in enumerate(words[c])}
-        x = np.zeros((len(rows), len(place)), dtype=np.float32)
-        for i, r in enumerate(rows):
-            x[i, [place[w] for w in r[2] if w in place]] = 1
-        x = np.hstack([x, earlier.astype(np.float32)])
-        y = labels[:, k]
+    for k, (c, own) in enumerate(words.items()):
+        x = np.hstack([present[:, [place[w] for w in own]].astype(np.float32), earlier])
+        y = labels[:, k].astype(float)
         w = fit_logistic(x, y)
         links.append(
             Link(
-                {v: float(w[j]) for v, j in place.items()},
-                tuple(float(v) for v in w[len(place) : -1]),
-                float(w[-1]),
+                {v: float(w[j]) for j, v in enumerate(own)}, tuple(float(v) for v in w[len(own) : -1]), float(w[-1])
             )
         )
-        if k + 1 < len(categories):
-            out_of_fold = np.empty(len(rows))
+        if k + 1 < len(words):
+            out_of_fold = np.empty(len(folds), dtype=np.float32)
             for f in np.unique(folds):
                 out_of_fold[folds == f] = _predict(x[folds == f], fit_logistic(x[folds != f], y[folds != f]))
             earlier = np.hstack([earlier, out_of_fold[:, None]])
-    return Chain(categories, tuple(links))
+    return Chain(tuple(words), tuple(links))
 
 
-def _word_set(text: str) -> set[str]:
-    return set(re.findall(WORD, text.lower()))
+def features(text: str) -> set[str]:
+    """Words of a text, and the beginnings of longer ones, which inflected forms share."""
+    words = set(re.findall(WORD, text.lower()))
+    return words.union(*[{f"{w[:n]}*" for w in words if len(w) > n} for n in STEMS])
 
 
 def train(
@@ -146,7 +147,7 @@ def train(
     @F.pandas_udf("array<string>")
     def present(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
-            yield t.map(lambda v: list(_word_set(v)))
+            yield t.map(lambda v: list(features(v)))
 
     ys = [f"_y{k}" for k in range(len(names))]
     # Equal texts count once; their hash stands for them and gives the fold.
@@ -161,17 +162,28 @@ def train(
         for k, c in enumerate(names):
             best = counts.orderBy(_g_statistic(F.col("n"), F.col(ys[k]), tally["n"], tally[ys[k]]).desc(), "word")
             words[c] = sorted(r["word"] for r in best.limit(max_words).collect())
-        known = sorted({w for v in words.values() for w in v})
-        kept = rows.select(
-            F.pmod("h", F.lit(folds)).alias("fold"), *ys,
-            F.array_intersect("w", F.array(*[F.lit(w) for w in known]) if known else F.expr("array('')")).alias("w"), "h",
-        )
-        got = [
-            (r["fold"], [r[y] for y in ys], r["w"]) for r in kept.orderBy("h", *ys).collect()
-        ]  # at most max_rows rows
+        vocabulary = sorted({w for v in words.values() for w in v})
+
+        @F.pandas_udf("binary")
+        def marks(found: pd.Series) -> pd.Series:
+            """A bit per word of the vocabulary, so that a row on the driver is some 100 bytes."""
+            place = {w: j for j, w in enumerate(vocabulary)}
+
+            def one(ws):
+                bits = np.zeros(len(place), dtype=np.uint8)
+                bits[[place[w] for w in ws if w in place]] = 1
+                return np.packbits(bits).tobytes()
+
+            return found.map(one)
+
+        kept = rows.select(F.pmod("h", F.lit(folds)).alias("fold"), *ys, marks("w").alias("marks"), "h")
+        got = kept.orderBy("h", *ys).drop("h").collect()  # at most max_rows rows
     finally:
         rows.unpersist()
-    return fit_chain(got, words, names)
+    bits = np.frombuffer(b"".join(r["marks"] for r in got), dtype=np.uint8).reshape(len(got), -1 if got else 0)
+    present = np.unpackbits(bits, axis=1, count=len(vocabulary)) if got else np.zeros((0, len(vocabulary)), np.uint8)
+    labels_of = np.array([[r[y] for y in ys] for r in got], dtype=np.int8).reshape(len(got), len(names))
+    return fit_chain(np.array([r["fold"] for r in got], dtype=int), labels_of, present, vocabulary, words)
 
 
 def _g_statistic(n: Column, positive: Column, rows: int, positives: int) -> Column:
@@ -189,10 +201,8 @@ def scores(chain: Chain, text_col: str = "text") -> Column:
 
     @F.pandas_udf("array<double>")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = frozenset(w for link in chain.links for w in link.words)
-        find = re.compile(WORD).findall
         for t in texts:
-            yield t.map(lambda v: chain.probabilities(known.intersection(find(v.lower()))))
+            yield t.map(lambda v: chain.probabilities(features(v)))
 
     return score(text_or_empty(text_col))
 
