@@ -92,13 +92,16 @@ def templates(shapes: DataFrame) -> DataFrame:
     counts = ("n", "labelled", "blocked")
     for k in range(1, LEVELS + 1):
         node = ["host", *[f"g{j}" for j in range(1, k)]]
-        children = shapes.groupBy(*node, f"s{k}").agg(*[F.sum(c).alias(c) for c in counts])
+        children = stored(
+            shapes.groupBy(*node, f"s{k}").agg(*[F.sum(c).alias(c) for c in counts]), "url-children"
+        )
         nodes = children.groupBy(*node).agg(F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in counts])
         rare = (F.col("children") > FANOUT) & (F.col("n") < F.col("all_n") * RARE)
         alike = _similar(*[F.col(c).cast("double") for c in ("labelled", "blocked", "all_labelled", "all_blocked")])
         general = F.when(F.col("children") == 1, F.col(f"s{k}")).when(rare | alike, "*").otherwise(F.col(f"s{k}"))
         named = children.join(nodes, node).select(*node, f"s{k}", general.alias(f"g{k}"))
-        shapes = shapes.join(named, [*node, f"s{k}"])
+        # Each level is read three times by the next one, so its lineage is cut.
+        shapes = stored(shapes.join(named, [*node, f"s{k}"]), "url-tree")
     return shapes
 
 
