@@ -41,8 +41,8 @@ HEAD = struct.Struct("<4sBBHIQ")
 SAMPLE = 256
 #: Ids per segment; a segment ends with the document that reaches it.
 SEGMENT_IDS = 2 << 20
-#: Encoded words a worker remembers; it starts afresh beyond them.
-REMEMBERED = 600_000
+#: Encoded words a worker remembers; beyond them, as many again that were used before.
+REMEMBERED = 400_000
 
 
 class EliasFano:
@@ -135,7 +135,9 @@ class _Encoder:
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.spaced: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # words that stand after a space
+        self.older: dict[str, bytes] = {}
+        self.marks = {m: self._whole(m) for m in ",."}
 
     def _whole(self, text: str) -> bytes:
         return array.array(self.code, self.model.encode(text, add_special_tokens=False).ids).tobytes()
@@ -144,15 +146,31 @@ class _Encoder:
         if _WHOLE.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
-        known = self.spaced
-        new = [w for w in set(rest) if w not in known]
+        parts = [self._whole(first) if first else b"", *map(self.spaced.get, rest)]
+        if None in parts:
+            self._learn({w for w, p in zip(rest, parts[1:], strict=True) if p is None})
+            parts[1:] = map(self.spaced.__getitem__, rest)
+            if len(self.spaced) > REMEMBERED:
+                self.older, self.spaced = self.spaced, {}
+        return b"".join(parts)
+
+    def _learn(self, words: set[str]) -> None:
+        """Adds words, from those remembered longer ago where they are known."""
+        known, older, new = self.spaced, self.older, []
+        # Letters end before a comma or full stop, so such words are two.
+        split = [w for w in words if w[-1:] in ",." and w[-2:-1].isalpha()]
+        for w in {*words.difference(split), *(w[:-1] for w in split)}:
+            if w not in known:
+                ids = older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
         if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(rest))
             found = self.model.encode_batch([f" {w}" for w in new], add_special_tokens=False)
             known.update((w, array.array(self.code, e.ids).tobytes()) for w, e in zip(new, found, strict=True))
-        return b"".join([self._whole(first) if first else b"", *map(known.__getitem__, rest)])
+        for w in split:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
 
 
 def _encoder(path: str) -> _Encoder:
