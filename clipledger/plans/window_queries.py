@@ -32,6 +32,15 @@ def dedupe_docs(spark, sf_dir):
     return W.dedupe_keep_first(docs, "digest", "doc_id")
 
 
+def slot_tables(spark, sf_dir):
+    """Purchases as requests for slots, and the slots that the other events have taken."""
+    events = table(spark, sf_dir, "events")
+    taken = events.where("event_type <> 'purchase'").select(
+        "user_id", F.floor(F.get_json_object("props", "$.k").cast("long") / 4).alias("slot")
+    )
+    return events.where("event_type = 'purchase'").select("user_id", "event_id"), taken
+
+
 @REG.add(
     "allocate_slots",
     """
@@ -49,14 +58,34 @@ def dedupe_docs(spark, sf_dir):
     """,
 )
 def allocate_slots(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    taken = events.where("event_type <> 'purchase'").select(
-        "user_id", F.floor(F.get_json_object("props", "$.k").cast("long") / 4).alias("slot")
-    )
-    requests = events.where("event_type = 'purchase'").select("user_id", "event_id")
+    requests, taken = slot_tables(spark, sf_dir)
     return W.allocate_slots(requests, taken, "user_id", "event_id", max_slot=20)
 
 
+@REG.add(
+    "allocate_all_slots",
+    """
+    WITH taken AS (SELECT DISTINCT user_id, CAST(json_extract(props, '$.k') AS BIGINT) // 4 AS slot FROM events
+                   WHERE event_type <> 'purchase'),
+    used AS (SELECT * FROM taken WHERE slot BETWEEN 1 AND 999999),
+    req AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+            FROM events WHERE event_type = 'purchase'),
+    sizes AS (SELECT user_id, max(rn) AS requests, coalesce(max(n), 0) AS taken
+              FROM req LEFT JOIN (SELECT user_id, count(*) AS n FROM used GROUP BY 1) USING (user_id) GROUP BY 1),
+    grid AS (SELECT user_id, unnest(range(1, least(requests + taken, 999999) + 1)) AS slot FROM sizes),
+    free AS (SELECT user_id, slot, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS rn
+             FROM grid ANTI JOIN used USING (user_id, slot))
+    SELECT req.user_id, req.event_id, free.slot,
+           CASE WHEN free.slot IS NULL THEN 'no unused slot' END AS slot_error
+    FROM req LEFT JOIN free ON req.user_id = free.user_id AND req.rn = free.rn
+    """,
+)
+def allocate_all_slots(spark, sf_dir):
+    """The operator with its own limit, which no user of the given tables reaches."""
+    requests, taken = slot_tables(spark, sf_dir)
+    return W.allocate_slots(requests, taken, "user_id", "event_id")
+
+
 TAIL_SQL = """
     WITH l AS (SELECT user_id, event_id, event_type || '=' || props || chr(10) AS line FROM events),
     c AS (SELECT *, sum(length(line)) OVER (PARTITION BY user_id ORDER BY event_id DESC) - length(line) AS later FROM l)

@@ -12,6 +12,8 @@ from clipledger.operators import aggregates as A
 from clipledger.operators import windows as W
 from clipledger.operators.ordering import empty_created, merge_taken
 from clipledger.operators.throttle import throttle
+from clipledger.plans import window_queries
+from clipledger.plans.window_queries import slot_tables
 from clipledger.sources.lines import parse_kv_lines
 
 KEYS = ["hot", "b", None]
@@ -216,6 +218,22 @@ def test_slots(spark, size):
     assert got == {k: brute_slots(set(v), want_n[k], 10) for k, v in taken.items()}
 
 
+def test_limit_of_20_slots(frame, rows):
+    requests = frame([("k", i) for i in range(1, 24)], "key string, id long")
+    taken = frame([("k", 2), ("k", 20), ("k", 21)], "key string, slot int")
+    free = [s for s in range(1, 27) if s not in (2, 20, 21)]
+    want = [("k", i, s, None) if s <= 20 else ("k", i, None, "no unused slot") for i, s in enumerate(free, 1)]
+    assert set(rows(W.allocate_slots(requests, taken, "key", "id", max_slot=20))) == set(want)
+    assert set(rows(W.allocate_slots(requests, taken, "key", "id"))) == {("k", i, s, None) for i, s in enumerate(free, 1)}
+
+
+def test_query_serves_every_request(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    requests = slot_tables(spark, sf_dir)[0].count()
+    served = window_queries.REG.queries["allocate_all_slots"](spark, sf_dir).where("slot is not null and slot_error is null")
+    assert served.select("user_id", "slot").distinct().count() == served.count() == requests > 0
+
+
 def test_slot_names(frame):
     names = ["clip_p.avi", "clip_p_2.avi", "CLIP_P_7.AVI", "clip_p_1.avi", "clip_p_x.avi", "clip_p_2.mov",
              "clip_p_1000000.avi", "other.avi"]
