@@ -115,8 +115,9 @@ class Segment:
         return self.ids[start : self.ends.select(i)]
 
 
-#: What must not be cut at spaces: runs of spaces, white space before a space at the end, and the end-of-text mark.
-_WHOLE = re.compile(r"  |\s $|<\|")
+#: What must not be cut at spaces: runs of spaces, white space before a space at the end, the end-of-text mark, and
+#: white space other than spaces, tabs and line ends (the vocabulary has tokens of several spaces and no-break spaces).
+_WHOLE = re.compile(r"  |\s $|<\||[^\S \t\r\n]")
 _ENCODERS: dict[str, _Encoder] = {}
 
 

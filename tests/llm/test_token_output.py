@@ -41,6 +41,22 @@ def test_words_encode_as_the_whole_text(coder):
         assert coder.encode(text) == coder._whole(text), text
 
 
+def test_other_white_space_is_encoded_whole(coder):
+    assert np.frombuffer(coder.encode("one \u00a0 \u00a0 two"), "<u2").tolist() == [505, 11504, 734]
+    rng = random.Random(3)
+    odd = [" \u00a0", "\u00a0 ", " \u00a0 \u00a0", "\u00a0" * 3, *"\v\f\x1c\x85\u1680\u2003\u2028\u202f\u205f\u3000"]
+    parts = ["a", "bc,", " ", " ", "\n", "\t", "12", "é.", *odd]
+    for _ in range(5000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        assert coder.encode(text) == coder._whole(text), text
+
+
+def test_files_with_no_break_spaces(documents, coder):
+    rows = [(1, "a b", "en", "a"), (2, "one \u00a0 \u00a0 two" + " \u00a0" * 9, "en", "a"), (3, "c d", "en", "b")]
+    got = [tuple(r) for r in token_output(documents(rows), VOCABULARY).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want(rows, coder)
+
+
 def want(rows, coder):
     out, start = [], 0
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), r[1] or ""))
