@@ -64,8 +64,13 @@ class EliasFano:
         return cls(n, low_bits, np.packbits(bits), np.packbits(low.astype(np.uint8).ravel()), at[::SAMPLE].astype("<u4"))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        return bits[i].astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        """The low parts of rising numbers, from the bytes between the first and the last."""
+        if not len(i):
+            return np.zeros(0, dtype=np.int64)
+        first, last = int(i[0]) * self.low_bits, (int(i[-1]) + 1) * self.low_bits
+        bits = np.unpackbits(self.low[first >> 3 : (last + 7) >> 3])[first & 7 :][: last - first]
+        bits = bits.reshape(int(i[-1] - i[0]) + 1, self.low_bits)
+        return bits[i - i[0]].astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
 
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high))
@@ -86,6 +91,21 @@ class EliasFano:
         bits = np.unpackbits(self.low[first >> 3 : (first + self.low_bits + 7) >> 3])[first & 7 :][: self.low_bits]
         return (high << self.low_bits) + int(bits.astype(np.int64) @ (np.int64(1) << np.arange(len(bits), dtype=np.int64)))
 
+    def select_many(self, numbers: np.ndarray) -> np.ndarray:
+        """The values of rising ``numbers``; those with the same sample share the stretch from it to the next."""
+        numbers = np.asarray(numbers, dtype=np.int64)
+        found = np.zeros(len(numbers), dtype=np.int64)
+        stretches = numbers // SAMPLE
+        for k in np.unique(stretches):
+            first, last = np.searchsorted(stretches, [k, k + 1])
+            at = int(self.samples[k])
+            end = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+            bits = np.unpackbits(self.high[at >> 3 : (end + 7) >> 3])
+            bits[: at & 7] = 0
+            i = numbers[first:last]
+            found[first:last] = ((np.flatnonzero(bits)[i - k * SAMPLE] + (at >> 3 << 3) - i) << self.low_bits) + self._low(i)
+        return found
+
 
 def pack(ids: bytes, width: int, ends: np.ndarray) -> bytes:
     ef = EliasFano.of(ends)
@@ -114,6 +134,11 @@ class Segment:
         start = self.ends.select(i - 1) if i else 0
         return self.ids[start : self.ends.select(i)]
 
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each document starts and ends in ``ids``, by select from the samples."""
+        ends = self.ends.select_many(np.arange(self.ends.n))
+        return np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)], ends
+
 
 #: What must not be cut at spaces: runs of spaces, white space before a space at the end, the end-of-text mark, and
 #: white space other than spaces, tabs and line ends (the vocabulary has tokens of several spaces and no-break spaces).
@@ -230,15 +255,14 @@ def read_documents(segments: DataFrame) -> DataFrame:
         for b in batches:
             for row in range(b.num_rows):
                 seg = Segment(b.column("payload")[row].as_py())
-                ends = seg.ends.values()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                starts, ends = seg.bounds()
                 wide = seg.ids.astype("<u4")
                 crc = [zlib.crc32(wide[s:e].tobytes()) for s, e in zip(starts, ends, strict=True)]
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b.column("part")[row].as_py()] * n, pa.int32()),
                      pa.array([b.column("segment")[row].as_py()] * n, pa.int32()), b.column("doc_ids")[row].values,
-                     pa.array(starts), pa.array(ends.astype(np.int64) - starts), pa.array(crc, pa.int64())],
+                     pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
                     names=["part", "segment", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 

@@ -41,6 +41,19 @@ def test_words_encode_as_the_whole_text(coder):
         assert coder.encode(text) == coder._whole(text), text
 
 
+@pytest.mark.parametrize("n,step", [(0, 1), (1, 5), (256, 1), (257, 0), (700, 0), (900, 50), (3000, 4000)])
+def test_bounds_come_by_select(monkeypatch, n, step):
+    rng = np.random.default_rng(n + step)
+    ends = np.cumsum(rng.integers(0, step + 1, n)).astype(np.int64)
+    seg = Segment(pack(np.zeros(int(ends[-1]) if n else 0, dtype="<u2").tobytes(), 2, ends))
+    some = np.flatnonzero(rng.random(n) < 0.05)
+    assert seg.ends.select_many(some).tolist() == ends[some].tolist()
+    monkeypatch.delattr(EliasFano, "values")
+    starts, got = seg.bounds()
+    assert got.tolist() == ends.tolist()
+    assert starts.tolist() == [0, *ends.tolist()][:n]
+
+
 def test_other_white_space_is_encoded_whole(coder):
     assert np.frombuffer(coder.encode("one \u00a0 \u00a0 two"), "<u2").tolist() == [505, 11504, 734]
     rng = random.Random(3)
