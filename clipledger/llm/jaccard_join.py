@@ -1,13 +1,15 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest (operator 8).
+"""N-gram Jaccard self-join with MinHash LSH in bands (operator 8).
 
 Texts are lower-cased and cut at white space; a text's set holds its runs of five
 words, or all its words as one run if they are fewer. Two texts are linked if the
 Jaccard similarity of their sets is at least the threshold.
 
 * Equal texts are one text with a number of copies.
-* A forest of ``TREES`` tries holds the min-hash signatures. Texts are candidates
-  where they share a prefix in some tree. The prefix starts at ``DEEPEST`` hashes
-  and is shortened until texts at the threshold itself meet with ``RECALL``.
+* Texts are candidates where they share a prefix in some tree. All prefixes have one
+  length, found from the threshold alone: the longest, up to ``DEEPEST`` hashes, at
+  which texts at the threshold itself meet with ``RECALL``. So the trees are bands
+  of fixed length, each with one key, not the tries of a forest. At length 1 the
+  recall may be less.
 * Texts that share prefixes are put into blocks of bounded rows and bytes; every
   text is in one block. Candidates in different blocks name a pair of blocks. All
   pairs of texts of a block, and of a pair of blocks, are verified exactly, in one
