@@ -21,7 +21,7 @@ every text. Every row of ``docs`` gets a result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +38,8 @@ MAX_ROWS = 20_000
 MAX_WORDS = 400
 FOLDS = 5
 RIDGE = 0.3
+#: Rows that are floats at a time while fitting.
+BLOCK = 2048
 THRESHOLD = 0.5
 
 
@@ -64,63 +66,75 @@ class Chain:
         return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 30) -> np.ndarray:
-    """Weights, intercept last, by Newton steps on the ridge-penalised likelihood."""
+def fit_logistic(
+    design: Callable[[slice], np.ndarray], y: np.ndarray, columns: int, ridge: float = RIDGE, rounds: int = 30
+) -> np.ndarray:
+    """Weights, intercept last, by Newton steps on the ridge-penalised likelihood.
+
+    ``design`` gives a slice of the rows as floats, so that no more than ``BLOCK``
+    rows are floats at a time.
+    """
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
-        return np.append(np.zeros(x.shape[1]), 60.0 if share else -60.0)
-    design = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    blocks = [slice(i, i + 2048) for i in range(0, len(design), 2048)]
-    penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
-    w = np.append(np.zeros(x.shape[1]), np.log(share / (1 - share)))
-
-    def loss(w):
-        z = design @ w
+        return np.append(np.zeros(columns), 60.0 if share else -60.0)
+    blocks = [slice(i, min(i + BLOCK, len(y))) for i in range(0, len(y), BLOCK)]
+    penalty = np.append(np.full(columns, ridge), 1e-6)
+    w = np.append(np.zeros(columns), np.log(share / (1 - share)))
+    z = np.full(len(y), w[-1])
+
+    def loss(z, w):
         return np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * w * w).sum()
 
-    last = loss(w)
+    last = loss(z, w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -60, 60)))
-        gradient = design.T @ (p - y) + penalty * w
+        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         spread = np.maximum(p * (1 - p), 1e-9)
-        hessian = np.diag(penalty) + sum((design[b] * spread[b, None]).T @ design[b] for b in blocks)
+        gradient, hessian = penalty * w, np.diag(penalty)
+        for b in blocks:
+            x = design(b)
+            gradient += x.T @ (p[b] - y[b])
+            hessian += (x * spread[b, None]).T @ x
         step = np.linalg.solve(hessian, gradient)
+        along = np.concatenate([design(b) @ step for b in blocks])
         size = 1.0
-        while size > 1e-4 and loss(w - size * step) > last:
+        while size > 1e-4 and loss(z - size * along, w - size * step) > last:
             size /= 2
-        w = w - size * step
-        now = loss(w)
+        z, w = z - size * along, w - size * step
+        now = loss(z, w)
         if last - now < 1e-6 * (1 + abs(last)):
             break
         last = now
     return w
 
 
-def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -60, 60)))
-
-
 def fit_chain(
     folds: np.ndarray, labels: np.ndarray, present: np.ndarray, vocabulary: list[str], words: dict[str, list[str]]
 ) -> Chain:
-    """A row per text: its fold, its labels in the order of ``words``, and which of the vocabulary it has."""
+    """A row per text: its fold, its labels in the order of ``words``, and which of the vocabulary it has, as bytes."""
     place = {w: j for j, w in enumerate(vocabulary)}
-    earlier = np.zeros((len(folds), 0), dtype=np.float32)
+    earlier = np.zeros((len(folds), len(words)))
     links = []
     for k, (c, own) in enumerate(words.items()):
-        x = np.hstack([present[:, [place[w] for w in own]].astype(np.float32), earlier])
-        y = labels[:, k].astype(float)
-        w = fit_logistic(x, y)
+        columns = np.array([place[w] for w in own], dtype=int)
+
+        def design(rows, columns=columns, k=k):
+            return np.hstack([present[np.ix_(rows, columns)], earlier[rows, :k], np.ones((len(rows), 1))])
+
+        def fit(rows, k=k, design=design):
+            return fit_logistic(lambda b: design(rows[b]), labels[rows, k].astype(float), len(own) + k)
+
+        w = fit(np.arange(len(folds)))
         links.append(
             Link(
                 {v: float(w[j]) for j, v in enumerate(own)}, tuple(float(v) for v in w[len(own) : -1]), float(w[-1])
             )
         )
-        if k + 1 < len(words):
-            out_of_fold = np.empty(len(folds), dtype=np.float32)
-            for f in np.unique(folds):
-                out_of_fold[folds == f] = _predict(x[folds == f], fit_logistic(x[folds != f], y[folds != f]))
-            earlier = np.hstack([earlier, out_of_fold[:, None]])
+        for f in np.unique(folds) if k + 1 < len(words) else ():
+            w = fit(np.flatnonzero(folds != f))
+            held = np.flatnonzero(folds == f)
+            for i in range(0, len(held), BLOCK):
+                rows = held[i : i + BLOCK]
+                earlier[rows, k] = 1 / (1 + np.exp(-np.clip(design(rows) @ w, -60, 60)))
     return Chain(tuple(words), tuple(links))
 
 

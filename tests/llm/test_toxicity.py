@@ -54,6 +54,42 @@ def test_later_links_use_out_of_fold_probabilities():
     assert abs(only_seen.links[1].earlier[0]) < 1.5
 
 
+def plain_logistic(x, y):
+    """Gradient descent on the same penalised likelihood, with the whole design at once."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    penalty = np.append(np.full(x.shape[1] - 1, toxicity.RIDGE), 1e-6)
+    w, rate = np.zeros(x.shape[1]), 1 / (0.25 * np.linalg.norm(x, 2) ** 2 + toxicity.RIDGE)
+    ahead, t = w, 1.0
+    for _ in range(20_000):
+        new = ahead - rate * (x.T @ (1 / (1 + np.exp(-x @ ahead)) - y) + penalty * ahead)
+        if (new - w) @ (ahead - new) > 0:
+            t = 1.0
+        t, ahead, w = (1 + (1 + 4 * t * t) ** 0.5) / 2, new + (t - 1) / ((1 + (1 + 4 * t * t) ** 0.5) / 2) * (new - w), new
+    return w
+
+
+def test_chain_equals_a_plain_one(monkeypatch):
+    """The same probabilities from a chain with whole designs and another optimiser, across several blocks."""
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    bits = (rng.random((300, 6)) < 0.4).astype(np.uint8)
+    first = (bits[:, 0] + rng.random(300) > 1.1).astype(int)
+    labels = np.stack([first, ((bits[:, 1] + first + rng.random(300)) > 1.6).astype(int)], axis=1)
+    folds, vocabulary = rng.integers(0, 5, 300), list("uvwxyz")
+    chain = toxicity.fit_chain(folds, labels, bits, vocabulary, {"a": list("uvw"), "b": list("vxyz")})
+    fed = np.zeros((300, 1))
+    for f in range(5):
+        w = plain_logistic(bits[folds != f][:, :3].astype(float), labels[folds != f, 0])
+        fed[folds == f, 0] = 1 / (1 + np.exp(-(bits[folds == f][:, :3] @ w[:-1] + w[-1])))
+    one = plain_logistic(bits[:, :3].astype(float), labels[:, 0])
+    two = plain_logistic(np.hstack([bits[:, [1, 3, 4, 5]], fed]), labels[:, 1])
+    for row in bits[:40]:
+        a = 1 / (1 + np.exp(-(row[:3] @ one[:-1] + one[-1])))
+        b = 1 / (1 + np.exp(-(np.append(row[[1, 3, 4, 5]], a) @ two[:-1] + two[-1])))
+        got = chain.probabilities({v for v, x in zip(vocabulary, row, strict=True) if x})
+        assert np.allclose(got, [a, b], atol=1e-4)
+
+
 def test_awkward_rows_and_labels(clashing, awkward, labels):
     chain = toxicity.train(clashing, labels([(1, 1, 1), (3, 0, 0), (5, None, 1), (99, 1, 1), (9, 1, 0), (9, 1, 0)]), toxicity.CATEGORIES)
     got = toxicity.classify(clashing, chain)
