@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import array
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,8 +41,8 @@ HEAD = struct.Struct("<4sBBHIQ")
 SAMPLE = 256
 #: Ids per segment; a segment ends with the document that reaches it.
 SEGMENT_IDS = 2 << 20
-#: Encoded words a worker remembers; beyond them, as many again that were used before.
-REMEMBERED = 400_000
+#: Bytes of text handed to the tokenizer at a time.
+PIECE_BYTES = 1 << 20
 
 
 class EliasFano:
@@ -140,19 +140,11 @@ class Segment:
         return np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)], ends
 
 
-#: What must not be cut at spaces: runs of spaces, white space before a space at the end, the end-of-text mark, and
-#: white space other than spaces, tabs and line ends (the vocabulary has tokens of several spaces and no-break spaces).
-_WHOLE = re.compile(r"  |\s $|<\||[^\S \t\r\n]")
 _ENCODERS: dict[str, _Encoder] = {}
 
 
 class _Encoder:
-    """Ids of texts from the tokenizers library, with a memory of words.
-
-    The vocabulary's rule never joins what stands before a space to what follows
-    it, so a text is encoded word by word, each with its space, and equal words
-    give equal ids. Texts for which that does not hold are encoded whole.
-    """
+    """Ids of whole texts from the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -161,42 +153,17 @@ class _Encoder:
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.spaced: dict[str, bytes] = {}  # words that stand after a space
-        self.older: dict[str, bytes] = {}
-        self.marks = {m: self._whole(m) for m in ",."}
-
-    def _whole(self, text: str) -> bytes:
-        return array.array(self.code, self.model.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if _WHOLE.search(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        parts = [self._whole(first) if first else b"", *map(self.spaced.get, rest)]
-        if None in parts:
-            self._learn({w for w, p in zip(rest, parts[1:], strict=True) if p is None})
-            parts[1:] = map(self.spaced.__getitem__, rest)
-            if len(self.spaced) > REMEMBERED:
-                self.older, self.spaced = self.spaced, {}
-        return b"".join(parts)
-
-    def _learn(self, words: set[str]) -> None:
-        """Adds words, from those remembered longer ago where they are known."""
-        known, older, new = self.spaced, self.older, []
-        # Letters end before a comma or full stop, so such words are two.
-        split = [w for w in words if w[-1:] in ",." and w[-2:-1].isalpha()]
-        for w in {*words.difference(split), *(w[:-1] for w in split)}:
-            if w not in known:
-                ids = older.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    known[w] = ids
-        if new:
-            found = self.model.encode_batch([f" {w}" for w in new], add_special_tokens=False)
-            known.update((w, array.array(self.code, e.ids).tobytes()) for w, e in zip(new, found, strict=True))
-        for w in split:
-            known[w] = known[w[:-1]] + self.marks[w[-1]]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for e in self.model.encode_batch_fast(texts, add_special_tokens=False):
+            yield array.array(self.code, e.ids).tobytes()
+
+
+def _pieces(texts: pa.StringArray) -> Iterator[slice]:
+    """Runs of texts of some ``PIECE_BYTES`` together; a longer text is alone."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // PIECE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1), len(texts)]
+    yield from (slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
 
 def _encoder(path: str) -> _Encoder:
@@ -233,14 +200,16 @@ def write_segments(
             return batch
 
         for b in batches:
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                coded = coder.encode(t.as_py()) + end
-                size += len(coded) // coder.width
-                ids.append(doc_id)
-                ends.append(size)
-                out.append(coded)
-                if size >= segment_ids:
-                    yield flush()
+            for piece in _pieces(b.column(1)):
+                texts = b.column(1)[piece.start : piece.stop].to_pylist()
+                doc_ids = b.column(0)[piece.start : piece.stop].to_pylist()
+                for doc_id, coded in zip(doc_ids, coder.encode(texts), strict=True):
+                    size += len(coded) // coder.width + 1
+                    ids.append(doc_id)
+                    ends.append(size)
+                    out += (coded, end)
+                    if size >= segment_ids:
+                        yield flush()
         if ids:
             yield flush()
 

@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from clipledger.llm.token_output import EliasFano, Segment, _Encoder, pack, token_output
+from clipledger.llm.token_output import EliasFano, Segment, _Encoder, _pieces, pack, token_output
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,12 +34,18 @@ def test_segment_round_trip():
     assert [seg.document(i).tolist() for i in range(4)] == [d.tolist() for d in docs]
 
 
-def test_words_encode_as_the_whole_text(coder):
+def test_pieces_of_a_batch_are_whole_texts(coder):
+    """Texts handed over together give the ids of each alone; a long text is one piece."""
     rng = random.Random(2)
-    parts = ["a", "bc", " ", " ", "  ", "\n", "\t", "'s", "12", "...", "é", " ", "<|endoftext|>", "ß", "🙂", "é", "\r\n"]
-    for _ in range(3000):
-        text = "".join(rng.choices(parts, k=rng.randint(0, 9)))
-        assert coder.encode(text) == coder._whole(text), text
+    parts = ["a", "bc", " ", " ", "  ", "\n", "\t", "'s", "12", "...", "é", "\u00a0", "<|endoftext|>", "ß", "🙂", "e\u0301", "\r\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(500)]
+    texts += ["word " * (1 << 18), "", "x" * (1 << 20), "tail"]
+    pieces = list(_pieces(pa.array(texts)))
+    assert [i for p in pieces for i in range(p.start, p.stop)] == list(range(len(texts)))
+    assert 3 <= len(pieces) <= 8
+    got = [c for p in pieces for c in coder.encode(texts[p])]
+    alone = [np.array(coder.model.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts[:500]]
+    assert got[:500] == alone and len(got) == len(texts)
 
 
 @pytest.mark.parametrize("n,step", [(0, 1), (1, 5), (256, 1), (257, 0), (700, 0), (900, 50), (3000, 4000)])
@@ -54,16 +61,6 @@ def test_bounds_come_by_select(monkeypatch, n, step):
     assert starts.tolist() == [0, *ends.tolist()][:n]
 
 
-def test_other_white_space_is_encoded_whole(coder):
-    assert np.frombuffer(coder.encode("one \u00a0 \u00a0 two"), "<u2").tolist() == [505, 11504, 734]
-    rng = random.Random(3)
-    odd = [" \u00a0", "\u00a0 ", " \u00a0 \u00a0", "\u00a0" * 3, *"\v\f\x1c\x85\u1680\u2003\u2028\u202f\u205f\u3000"]
-    parts = ["a", "bc,", " ", " ", "\n", "\t", "12", "é.", *odd]
-    for _ in range(5000):
-        text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
-        assert coder.encode(text) == coder._whole(text), text
-
-
 def test_files_with_no_break_spaces(documents, coder):
     rows = [(1, "a b", "en", "a"), (2, "one \u00a0 \u00a0 two" + " \u00a0" * 9, "en", "a"), (3, "c d", "en", "b")]
     got = [tuple(r) for r in token_output(documents(rows), VOCABULARY).collect()]
