@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clipledger.llm import (
-    decontam, exact_dedup, jaccard_join, mixing, secret_scan, sharding, suffix_dedup, token_output, toxicity, url_filter,
+    decontam, divergence, embedding_dedup, exact_dedup, jaccard_join, lexical_search, mixing, secret_scan, sharding,
+    suffix_dedup, token_output, toxicity, url_filter,
 )
 from clipledger.llm.common import stored, table
 from clipledger.plans.tables import Registry
@@ -257,6 +258,108 @@ def op10(spark, sf_dir):
     return token_output.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+_NEAR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), s AS (
+  SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS size FROM v
+  WHERE len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND a.size > 0 AND b.size > 0
+  WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.95
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a, min(b) AS component_id FROM r GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""
+
+
+@REG.add("op11_embedding_dedup", _NEAR_SQL)
+def op11(spark, sf_dir):
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_RANK_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), s AS (
+  SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM d WHERE len(t) > 0
+), p AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY doc_id, n, term
+), f AS (
+  SELECT term, count(*) AS df FROM p GROUP BY term
+), b AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+), w AS (
+  SELECT item_id, term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM b JOIN f USING (term), s
+), r AS (
+  SELECT item_id, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM w JOIN p USING (term), s GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@REG.add("op12_lexical_search", _RANK_SQL)
+def op12(spark, sf_dir):
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_DIVERGE_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), o AS (
+  SELECT r, lang, source, unnest(t) AS term FROM d
+), k AS (
+  SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term
+), v AS (
+  SELECT lang, count(*) AS v FROM k GROUP BY lang
+), g AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source)
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+         1 + (CAST(coalesce(n, 0) + 5 AS HUGEINT) * 1000000000) // CAST(total + 5 * v AS HUGEINT) AS p
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + (CAST(sum(n) + 5 AS HUGEINT) * 1000000000) // CAST(any_value(total) + 5 * any_value(v) AS HUGEINT) AS q
+  FROM p JOIN (SELECT lang, sum(total) AS total, max(v) AS v FROM g GROUP BY lang) USING (lang) GROUP BY lang, term
+), e AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+  ) z ON z.lang = a.lang AND z.source = a.source AND z.other = b.source
+), u AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM e
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+@REG.add("op13_source_divergence", _DIVERGE_SQL)
+def op13(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return dict(REG.queries)
 
