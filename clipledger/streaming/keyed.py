@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from clipledger import constants as C
 from clipledger.functions.keys import as_list, micros
 from clipledger.functions.shared import shared_dir
-from clipledger.operators.throttle import _Cell
+from clipledger.operators.throttle import Cell
 
 _L, _D, _S, _B = T.LongType(), T.DoubleType(), T.StringType(), T.BinaryType()
 
@@ -113,12 +113,12 @@ def stream_throttle(
         if state.exists:
             last_t, last_p, before.iloc[0] = state.get
         pdf["__sure"] = (pdf["__stage"] != before) | (pdf["__p"] >= C.PROGRESS_DONE)
-        cell = _Cell(*(pdf[c].to_numpy() for c in ("__s", "__t", "__p", "__sure")))
-        kept = cell.walk(float(last_t), float(last_p))
-        if kept:
+        cell = Cell(*(pdf[c].to_numpy() for c in ("__t", "__p", "__sure")))
+        kept = np.flatnonzero(cell.emitted(float(last_t), float(last_p)))
+        if len(kept):
             i = kept[-1]
-            state.update((int(cell.t[i]), float(cell.p[i]), pdf["__stage"].iloc[i]))
-        return pd.DataFrame({"seq": cell.s[kept]})
+            state.update((int(cell.real[i]), float(cell.p[i]), pdf["__stage"].iloc[i]))
+        return pd.DataFrame({"seq": pdf["__s"].to_numpy()[kept]})
 
     return _apply(rows, key, step, [("seq", _L)], [("t", _L), ("p", _D), ("stage", _S)])
 

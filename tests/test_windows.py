@@ -138,9 +138,9 @@ def brute_throttle(seq):
     return out
 
 
-@pytest.mark.parametrize("cell", [1, 2, 30])
+@pytest.mark.parametrize("bits", [0, 2, 5, 18])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_throttle_equals_fold(spark, rows, cell, seed):
+def test_throttle_equals_fold(spark, rows, bits, seed):
     rnd = random.Random(seed)
     data, t = [], 0
     for seq in range(1500):
@@ -154,11 +154,23 @@ def test_throttle_equals_fold(spark, rows, cell, seed):
     for k in KEYS:
         ordered = sorted([(r[2], r[1], r[3], r[4]) for r in data if r[0] == k])
         want |= {(k, s) for s in brute_throttle([(s, t, g, p) for t, s, g, p in ordered])}
-    got = rows(throttle(d, "key", "t", "seq", "stage", "p", cell).select("key", "seq"))
+    got = rows(throttle(d, "key", "t", "seq", "stage", "p", bits).select("key", "seq"))
     assert len(got) == len(set(got))
     assert set(got) == want
 
 
+def test_throttle_of_a_dense_key_composes_maps(spark, rows):
+    """One key without a sure row for 40 chunks, with many rows a second; a chunk never holds more than its rows."""
+    rnd = random.Random(3)
+    data = [("hot", s, s * 7_000, "one", (s % 200) * 0.004) for s in range(640)] + [("b", s, s * 10, "x", 0.0) for s in range(9)]
+    want = {("hot", s) for s in brute_throttle([(s, t, g, p) for _, s, t, g, p in data[:640]])}
+    want |= {("b", s) for s in brute_throttle([(s, t, g, p) for _, s, t, g, p in data[640:]])}
+    rnd.shuffle(data)
+    d = spark.createDataFrame(data, "key string, seq long, t long, stage string, p double")
+    assert set(rows(throttle(d, "key", "t", "seq", "stage", "p", 4).select("key", "seq"))) == want
+    assert {("hot", s) for s in (0, 13)} <= want and len(want) < 100
+
+
 B7 = [
     (90, True, 0, 33.0, 33.0, 2.966, 3.0, False), (160, True, 5, 256.0, 512.0, 3.98, 4.0, False),
     (6, True, 3, 0.0, 512.0, 0.5, 1.0, True), (60, False, 0, None, None, None, 2.0, True),
