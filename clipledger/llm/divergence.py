@@ -5,9 +5,10 @@
   counted together with its language, so one vocabulary holds every language's
   own terms and a document meets its language's only.
 * A vocabulary is on the driver and on every executor while it is used. Terms are
-  therefore dealt by their hash to as many slices as keep the estimated number of
-  different terms, rare ones included, below ``max_terms`` each; slices are fitted
-  one after the other.
+  therefore dealt by their hash to as many slices as keep the number of kept terms
+  below about ``max_terms`` each, as told by an exact count over one in ``ONE_IN``
+  of all possible terms. Slices are stored apart and fitted one after the other, so
+  that each occurrence is still read twice only.
 * Vectors are summed per group (language, source), index by index, so that no
   group is ever a dense vector. Sums give each group's and each language's
   smoothed shares ``p = 1 + floor(10^9 (count + 5) / (N + 5 V))``, all in integers.
@@ -22,6 +23,8 @@ of value 0 and no terms; no rows give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,17 +32,21 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import ascii_lower, stored, text_or_empty
+from clipledger.functions.shared import shared_dir
+from clipledger.llm.common import stored, text_or_empty
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DF = 30
 TOP = 50
 SMOOTHING = 5
 SCALE = 1_000_000_000
-#: Different terms of a vocabulary that the driver and every executor hold at a time, by estimate.
+#: Terms of a vocabulary that the driver and every executor hold at a time, about.
 MAX_TERMS = 1_000_000
+#: One in so many of all possible terms is counted beforehand.
+ONE_IN = 64
+#: Documents whose words are Python objects at a time.
+PIECE_DOCS = 128
 #: Shares of a chunk that are held at a time: its terms times the sources of its language.
-CHUNK_CELLS = 1 << 21
+CHUNK_CELLS = 1 << 17
 #: Sources of a language that one chunk compares with all others.
 CHUNK_SOURCES = 256
 _ALL_TERMS = 2**31 - 1
@@ -48,8 +55,30 @@ _MARK = "\0"
 _VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0))
+#: Lower-cases A-Z and turns all other ASCII but letters into spaces.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def _marked(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
+    """``lang, source, terms`` of every document; terms carry their language."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, PIECE_DOCS):
+                yield piece(b.slice(start, PIECE_DOCS))
+
+    def piece(b: pa.RecordBatch) -> pa.RecordBatch:
+        words, ends = [], [0]
+        for lang, text in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+            mark = _MARK.encode() + lang
+            words += [w + mark for w in text.as_py().translate(_FOLD).split()]
+            ends.append(len(words))
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.binary()).cast(pa.string()))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], names=["lang", "source", "terms"])
+
+    filled = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    rows = docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source"), text_or_empty(f"`{text_col}`").alias("t"))
+    return rows.mapInArrow(cut, "lang string, source string, terms array<string>")
 
 
 def _vectors(rows: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
@@ -73,8 +102,15 @@ def _vectors(rows: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     return plain, stored(spark.createDataFrame(vocabulary), "vocabulary")
 
 
+def _kept_terms(rows: DataFrame, min_df: int) -> int:
+    """About how many terms are kept, from all documents and one in ``ONE_IN`` of all terms."""
+    told = rows.select(F.monotonically_increasing_id().alias("row"), F.explode("terms").alias("t"))
+    told = told.filter(F.pmod(F.xxhash64("t"), F.lit(ONE_IN)) == 0).distinct()
+    return ONE_IN * told.groupBy("t").count().filter(F.col("count") >= min_df).count()
+
+
 def _slice(slices: int, k: int) -> Column:
-    return F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == k)
+    return F.filter("terms", lambda t: F.pmod(F.xxhash64(t, F.lit(slices)), F.lit(slices)) == k)
 
 
 def group_counts(rows: DataFrame, min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> tuple[DataFrame, DataFrame]:
@@ -82,16 +118,17 @@ def group_counts(rows: DataFrame, min_df: int = MIN_DF, max_terms: int = MAX_TER
 
     ``rows`` has ``lang, source, terms``, a row per document.
     """
-    marked = rows.select(
-        "lang", "source", F.transform("terms", lambda t: F.concat(t, F.lit(_MARK), F.col("lang"))).alias("terms")
-    )
-    about = marked.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-    slices = -(-about // max_terms) or 1
+    slices = -(-_kept_terms(rows, min_df) // max_terms) or 1
+    parts = [rows]
+    if slices > 1:
+        every = F.explode(F.array(*[F.struct(F.lit(k).alias("slice"), _slice(slices, k).alias("terms")) for k in range(slices)]))
+        cut = rows.select("lang", "source", every.alias("x")).select("x.slice", "lang", "source", "x.terms")
+        place = shared_dir(rows.sparkSession, "slices")
+        cut.write.partitionBy("slice").parquet(place)
+        schema = "lang string, source string, terms array<string>"
+        parts = [rows.sparkSession.read.schema(schema).parquet(f"{place}/slice={k}") for k in range(slices)]
     counts, kept = [], []
-    for k in range(slices):
-        part = marked
-        if slices > 1:
-            part = marked.withColumn("terms", _slice(slices, k))
+    for k, part in enumerate(parts):
         vectors, vocabulary = _vectors(part, min_df)
         entries = vectors.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
         sums = entries.groupBy("lang", "source", F.col("e.indices").alias("i")).agg(F.sum("e.values").cast("long").alias("n"))
@@ -168,9 +205,7 @@ def audit(
     them. Part ``term``: the terms that it has more of than its language, the ``top``
     of them.
     """
-    filled = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source"), terms(text_or_empty(f"`{text_col}`")).alias("terms"))
-    rows = stored(rows, "terms")
+    rows = stored(_marked(docs, lang_col, source_col, text_col), "terms")
     counts, kept = group_counts(rows, min_df, max_terms)
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))

@@ -57,7 +57,8 @@ def corpus(n, seed=5):
 
 
 @pytest.mark.parametrize("max_terms", [1_000_000, 7])
-def test_same_as_plain_counting(documents, max_terms):
+def test_same_as_plain_counting(documents, monkeypatch, max_terms):
+    monkeypatch.setattr(D, "ONE_IN", 1)
     rows = corpus(400)
     got = found(documents(rows).repartition(3), min_df=20, top=5, max_terms=max_terms)
     assert got == brute(rows, 20, 5) and {r[2] for r in got} == {"pair", "term"}
