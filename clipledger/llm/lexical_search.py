@@ -27,13 +27,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipledger.llm.common import ascii_lower, stored, text_or_empty
@@ -43,6 +44,10 @@ TOP = 10
 BLOCK_DOCS = 1024
 BLOCK_POSTINGS = 1 << 20
 SCOUTED = 4
+#: Documents whose words are Python objects at a time.
+PIECE_DOCS = 128
+#: Rows that a task hands to Python at a time: documents to be indexed, blocks to be searched.
+DOCS_AT_A_TIME, BLOCKS_AT_A_TIME = 1024, 8
 #: Bytes of items that a task holds at a time.
 BATCH_BYTES = 8 << 20
 #: Terms of an item that are summed as doubles at a time; their sums stay below 2^53.
@@ -65,6 +70,18 @@ class Index:
     terms: int
 
 
+@contextmanager
+def _at_a_time(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs inside hand that many rows to Python together."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0))
 
@@ -78,21 +95,25 @@ def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lengths, sizes, words, tfs = [], [], [], [], []
-            for i, text in enumerate(b.column(1).cast(pa.binary())):
-                found = text.as_py().translate(_FOLD).split()
-                if found:
-                    c = Counter(found)
-                    ids.append(i)
-                    lengths.append(len(found))
-                    sizes.append(len(c))
-                    words += c
-                    tfs += c.values()
-            columns = [
-                b.column(0).take(pa.array(ids, pa.int64())), pa.array(lengths, pa.int64()),
-                _lists(pa.array(words, pa.binary()).cast(pa.string()), sizes), _lists(pa.array(tfs, pa.int32()), sizes),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "terms", "tfs"])
+            for start in range(0, b.num_rows, PIECE_DOCS):
+                yield piece(b.slice(start, PIECE_DOCS))
+
+    def piece(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, lengths, sizes, words, tfs = [], [], [], [], []
+        for i, text in enumerate(b.column(1).cast(pa.binary())):
+            found = text.as_py().translate(_FOLD).split()
+            if found:
+                c = Counter(found)
+                ids.append(i)
+                lengths.append(len(found))
+                sizes.append(len(c))
+                words += c
+                tfs += c.values()
+        columns = [
+            b.column(0).take(pa.array(ids, pa.int64())), pa.array(lengths, pa.int64()),
+            _lists(pa.array(words, pa.binary()).cast(pa.string()), sizes), _lists(pa.array(tfs, pa.int32()), sizes),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "terms", "tfs"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(f"`{text_col}`").alias("t"))
     return rows.mapInArrow(count, "doc_id long, n long, terms array<string>, tfs array<int>")
@@ -129,7 +150,9 @@ def _block(number: int, m: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Every document and term; documents come in the order of their stratum, whose blocks may be of several tasks."""
-    counted = stored(_counted(docs, id_col, text_col), "counted-terms")
+    spark = docs.sparkSession
+    with _at_a_time(spark, DOCS_AT_A_TIME):
+        counted = stored(_counted(docs, id_col, text_col), "counted-terms")
     told = counted.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     total, length = told["documents"], max(told["terms"], 1)
     m = F.expr(f"10 + (90 * n * {total}L) div {length}L").alias("m")
@@ -159,7 +182,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if rows:
             yield _block(number, stratum, rows)
 
-    return Index(stored(dealt.drop("h").mapInArrow(build, _INDEX), "index"), total, told["terms"])
+    with _at_a_time(spark, DOCS_AT_A_TIME):
+        return Index(stored(dealt.drop("h").mapInArrow(build, _INDEX), "index"), total, told["terms"])
 
 
 class _Items:
@@ -322,11 +346,12 @@ def search(
         if not rows:
             continue
         batch = _Items(rows)
-        scouts = _bounds(index.blocks, batch, scouted).groupBy("block").agg(F.collect_list("key").alias("keys"))
-        scouts = index.blocks.join(stored(scouts, "scouts"), "block")
-        beaten = first(_visits(scouts, batch, top, {}, scouts=True)).filter(F.col("rank") == top).select("key", "score")
-        least = {r["key"]: r["score"] for r in beaten.collect()}  # a row per item of the batch
-        parts.append(stored(first(_visits(index.blocks, batch, top, least)), "best-documents"))
+        with _at_a_time(spark, BLOCKS_AT_A_TIME):
+            scouts = _bounds(index.blocks, batch, scouted).groupBy("block").agg(F.collect_list("key").alias("keys"))
+            scouts = index.blocks.join(stored(scouts, "scouts"), "block")
+            beaten = first(_visits(scouts, batch, top, {}, scouts=True)).filter(F.col("rank") == top).select("key", "score")
+            least = {r["key"]: r["score"] for r in beaten.collect()}  # a row per item of the batch
+            parts.append(stored(first(_visits(index.blocks, batch, top, least)), "best-documents"))
     if not parts:
         parts = [spark.createDataFrame([], f"{_BEST}, rank int")]
     best = parts[0]
