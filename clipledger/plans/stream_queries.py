@@ -1,10 +1,10 @@
 """Streaming operators over the test tables, run until all input is processed."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clipledger.functions.keys import micros
-from clipledger.plans.aggregate_queries import PATTERN_SQL
-from clipledger.plans.tables import Registry
+from clipledger.plans.tables import Registry, table
 from clipledger.plans.window_queries import SNAPSHOT_FIELDS, SNAPSHOT_SQL, THROTTLE_SQL
 from clipledger.streaming import keyed as S
 
@@ -20,15 +20,19 @@ def _stream(spark, sf_dir, name, schema):
     return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-@REG.add("stream_latest", SNAPSHOT_SQL.format(tail=""))
+@REG.add("stream_latest", SNAPSHOT_SQL.format(tail="OR rd = 1"))
 def stream_latest(spark, sf_dir):
-    lines = _stream(spark, sf_dir, "events", _EVENTS).select(
-        "user_id", "event_id", F.col("event_type").alias("f"), F.get_json_object("props", "$.k").alias("v")
-    )
-    out = S.stream_latest_progress(
-        lines, "user_id", "event_id", "f", "v", SNAPSHOT_FIELDS, ["purchase"], "error", "69"
-    )
-    return S.run_available(out, "stream-latest").withColumnRenamed("seq", "event_id")
+    def operator(events):
+        lines = events.select(
+            "user_id", "event_id", "ts", F.col("event_type").alias("f"), F.get_json_object("props", "$.k").alias("v"),
+            F.lit(True).alias("cut"),
+        )
+        return S.stream_latest_progress(
+            lines, "user_id", "event_id", "f", "v", SNAPSHOT_FIELDS, ["purchase"], "error", "69", "cut", "ts", "1 hour"
+        )
+
+    out = S.run_to_end(_stream(spark, sf_dir, "events", _EVENTS), "ts", operator, "stream-latest")
+    return out.withColumnRenamed("seq", "event_id")
 
 
 @REG.add("stream_throttle", THROTTLE_SQL)
@@ -44,13 +48,29 @@ def stream_throttle(spark, sf_dir):
     return S.run_available(out, "stream-throttle").withColumnRenamed("seq", "event_id")
 
 
-@REG.add("stream_pattern", PATTERN_SQL)
+#: Turns after which a conversation's log is cut off and begins anew.
+_ROTATED = 4
+
+
+@REG.add(
+    "stream_pattern",
+    f"""
+    WITH c AS (SELECT conv_id, turn, text, turn // {_ROTATED} = max(turn) OVER (PARTITION BY conv_id) // {_ROTATED} AS newest
+               FROM conversations),
+    t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) FILTER (newest) AS whole FROM c GROUP BY conv_id)
+    SELECT conv_id, CAST((length(whole) - length(replace(whole, '.T', ''))) // 2 AS BIGINT) AS hits FROM t
+    """,
+)
 def stream_pattern(spark, sf_dir):
-    # Turns are appended in order, each right after the one before.
-    turns = _stream(spark, sf_dir, "conversations", _TURNS).select(
-        "conv_id", "turn", F.col("text").alias("chunk")
+    # Chunks know where in their log they start; a log that was cut off starts at 0 again.
+    log = Window.partitionBy("conv_id", F.floor(F.col("turn") / _ROTATED)).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce(F.sum(F.octet_length("text")).over(log), F.lit(0)).alias("offset")
+    )
+    turns = _stream(spark, sf_dir, "conversations", _TURNS).join(offsets, ["conv_id", "turn"]).select(
+        "conv_id", "turn", "offset", F.col("text").alias("chunk")
     )
-    out = S.stream_pattern_count(turns, "conv_id", "turn", None, "chunk", b".T")
+    out = S.stream_pattern_count(turns, "conv_id", "turn", "offset", "chunk", b".T")
     return S.latest(S.run_available(out, "stream-pattern"), "conv_id").select("conv_id", "hits")
 
 
@@ -62,9 +82,11 @@ def stream_pattern(spark, sf_dir):
     """,
 )
 def stream_tail(spark, sf_dir):
-    lines = _stream(spark, sf_dir, "events", _EVENTS).select(
-        "user_id", "event_id",
-        F.concat(F.col("event_type"), F.lit("="), F.col("props"), F.lit("\n")).alias("line"),
-    )
-    out = S.run_available(S.stream_tail(lines, "user_id", "event_id", "line", 200), "stream-tail")
-    return S.latest(out, "user_id").select("user_id", F.col("tail").cast("string").alias("tail"))
+    def operator(events):
+        lines = events.select(
+            "user_id", "event_id", "ts", F.concat(F.col("event_type"), F.lit("="), F.col("props"), F.lit("\n")).alias("line")
+        )
+        return S.stream_tail(lines, "user_id", "event_id", "line", 200, "ts", "1 hour")
+
+    out = S.run_to_end(_stream(spark, sf_dir, "events", _EVENTS), "ts", operator, "stream-tail")
+    return out.select("user_id", F.col("tail").cast("string").alias("tail"))

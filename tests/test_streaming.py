@@ -63,6 +63,57 @@ def test_latest_progress(spark, tmp_path, data, rows):
     assert rows(got, "key", "seq", "frame", "fps", "ended") == rows(want, "key", "seq", "frame", "fps", "ended")
 
 
+def timed(df):
+    """The rows with an event time of their own."""
+    return df.withColumn("at", F.timestamp_micros(F.col("t")))
+
+
+def test_last_lines_come_when_the_stream_ends(spark, tmp_path, data, rows):
+    """The last line of each key, which nothing follows, is given out once; a second end gives nothing."""
+    fields = ["frame", "fps"]
+    data = [r for r in data if r[0] != "b" or r[1] < 200] + [("c", 400, data[-1][2], "s", 0.5, "fps", "7", "a", 0)] * 1
+    data = [(*r[:5], "fps" if r[1] in (199, 399) else r[5], *r[6:]) for r in data]
+    src = Source(spark, tmp_path, data, 1)
+    src.put(0, 1)
+    read = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(src.folder))
+
+    def operator(d):
+        return S.stream_latest_progress(d.withColumn("cut", F.lit(True)), "key", "seq", "f", "v", fields, ["time"], unterminated="cut", ts="at", idle="1 hour")
+
+    got = S.run_to_end(timed(read), "at", operator, "test")
+    batch = spark.createDataFrame(data, SCHEMA).withColumn("cut", F.lit(True))
+    want = W.fill_snapshots(batch, "key", "seq", "f", "v", fields, ["time"], unterminated="cut")
+    assert rows(got, "key", "seq", "frame", "fps", "ended") == rows(want, "key", "seq", "frame", "fps", "ended")
+    assert ("c", 400, None, "7", False) in rows(got, "key", "seq", "frame", "fps", "ended")
+
+
+def test_idle_key_ends_while_others_go_on(spark, tmp_path, rows):
+    """The watermark passes an idle key: its last line is given out, its state is gone, and it begins anew."""
+    row = lambda key, seq, t, f, v: (key, seq, t * 1_000_000, "", 0.0, f, v, "a", 0)
+    parts = [[row("k", 0, 10, "frame", "1"), row("o", 1, 10, "frame", "5")], [row("o", 2, 500, "frame", "6")], [row("o", 3, 501, "frame", "7")],
+             [row("k", 4, 502, "time", "x"), row("o", 5, 503, "time", "x")]]
+    src = Source(spark, tmp_path, [r for p in parts for r in p], 1)
+    for i, p in enumerate(parts):
+        spark.createDataFrame(p, SCHEMA).coalesce(1).write.parquet(str(src.folder / f"{i:03d}"))
+    got = src.run(lambda d: S.stream_latest_progress(
+        timed(d).withColumn("cut", F.lit(True)), "key", "seq", "f", "v", ["frame"], ["time"], unterminated="cut", ts="at", idle="60 seconds", delay="10 seconds"))
+    assert rows(got, "key", "seq", "frame") == [("k", 0, "1"), ("k", 4, None), ("o", 5, "7")]
+
+
+def test_idle_state_is_dropped(spark, tmp_path, rows):
+    """The watermark passes a key between its chunks: what it had is forgotten, and the others' counts are not."""
+    parts = [[("k", 0, 10), ("o", 0, 10)], [("o", 1, 500)], [("o", 2, 501)], [("k", 1, 502), ("o", 3, 503)]]
+    src = Source(spark, tmp_path, [], 1)
+    for i, p in enumerate(parts):
+        chunk = [(k, s, t * 1_000_000, "", 0.0, "", "", "aa", 0) for k, s, t in p]
+        spark.createDataFrame(chunk, SCHEMA).coalesce(1).write.parquet(str(src.folder / f"{i:03d}"))
+    count = lambda idle: lambda d: S.stream_pattern_count(timed(d), "key", "seq", None, "text", b"aa", "at", idle, "10 seconds")
+    # With its state the key has the pair across the border too.
+    assert rows(src.run(count("60 seconds")), "key", "seq", "hits")[:2] == [("k", 0, 1), ("k", 1, 1)]
+    src.checkpoint, src.out = str(tmp_path / "cp2"), str(tmp_path / "out2")
+    assert rows(src.run(count("1 hour")), "key", "seq", "hits") == [("k", 0, 1), ("k", 1, 3), *(("o", i, 2 * i + 1) for i in range(4))]
+
+
 def test_throttle(spark, tmp_path, data, rows):
     got = restarted(spark, tmp_path, data, lambda d: S.stream_throttle(d, "key", "t", "seq", "stage", "p"))
     want = throttle(spark.createDataFrame(data, SCHEMA), "key", "t", "seq", "stage", "p", 2)
@@ -102,3 +153,34 @@ def test_tail(spark, tmp_path, data, rows):
     for r in data:
         want[r[0]] = (want.get(r[0], b"") + r[7].encode())[-40:]
     assert {k: bytes(t) for k, t in rows(S.latest(got, "key"), "key", "tail")} == want
+
+
+@pytest.mark.parametrize("limit", [7, 40])
+def test_tail_over_many_batches_and_a_restart(spark, tmp_path, data, rows, limit):
+    """After every one of six batches the tail is that of a table with the rows so far."""
+    src = Source(spark, tmp_path, data[:120], 6)
+    op = lambda d: S.stream_tail(d, "key", "seq", "text", limit)
+    src.put(0, 4)
+    src.run(op)
+    src.put(4, 6)
+    got = src.run(op)
+    held, want = {}, set()
+    for i in range(6):
+        part = data[i * 20 : (i + 1) * 20]
+        for r in part:
+            held[r[0]] = (held.get(r[0], b"") + r[7].encode())[-limit:]
+        want |= {(k, max(r[1] for r in part if r[0] == k), held[k]) for k in {r[0] for r in part}}
+    assert {(k, s, bytes(t)) for k, s, t in rows(got, "key", "seq", "tail")} == want
+
+
+def test_tail_when_the_stream_ends(spark, tmp_path, data, rows):
+    src = Source(spark, tmp_path, data, 4)
+    src.put(0, 4)
+    read = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(src.folder))
+    got = S.run_to_end(timed(read), "at", lambda d: S.stream_tail(d, "key", "seq", "text", 40, "at", "1 hour"), "test")
+    table = W.tail_bytes(spark.createDataFrame(data, SCHEMA), "key", "seq", "text", 40)
+    want = {}
+    for key, _, text in rows(table, "key", "seq", "text"):
+        want[key] = want.get(key, "") + text
+    assert {k: bytes(t).decode() for k, t in rows(got, "key", "tail")} == {
+        k: "".join(r[7] for r in data if r[0] == k)[-40:] for k in want}
