@@ -72,14 +72,16 @@ class Index:
 
 @contextmanager
 def _at_a_time(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs inside hand that many rows to Python together."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Jobs inside read, and hand to Python, that many rows together; blocks are large rows."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for n, v in before.items():
+            spark.conf.set(n, v)
 
 
 def terms(text: Column) -> Column:
@@ -335,7 +337,8 @@ def search(
 ) -> DataFrame:
     """``item_id, rank, doc_id, score`` of the best documents of each item."""
     spark = items.sparkSession
-    weighted = _weighted(index, items, id_col, text_col)
+    with _at_a_time(spark, BLOCKS_AT_A_TIME):
+        weighted = _weighted(index, items, id_col, text_col)
     size = weighted.agg(F.sum(F.octet_length(F.array_join("terms", " ")) + 8 * F.size("weights"))).first()[0] or 0
     batches = -(-size // batch_bytes)
     order = Window.partitionBy("key").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
