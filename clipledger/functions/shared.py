@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is shared by all executors. A
-    local temporary folder is used only where that setting is absent and the
-    driver is the only machine, i.e. in tests.
+    The folder named by ``spark.checkpoint.dir`` is shared by all executors. Only
+    where it is unset and the master is local, as in tests, the setting is made
+    here: driver and executors are one process then.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -22,7 +22,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

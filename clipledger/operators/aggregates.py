@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from clipledger import constants as C
 from clipledger.functions import text
@@ -270,6 +274,50 @@ def content_fingerprint(
     )
 
 
+def chunk_signature(df: DataFrame, key, seq: str, chunk: str, out: str = "signature") -> DataFrame:
+    """:func:`content_signature` of content that comes as chunks, one row per key.
+
+    The chunks of a key are taken in ``seq`` order, NULL ones as empty; a key
+    without any content at all has the signature of nothing. Rows stream through
+    the hash one after the other, so content of any length takes constant memory.
+    A digest is sequential: one key's chunks go through one task.
+    """
+    names = as_list(key)
+    solid_df, key = solid(df, names)
+    data = F.coalesce(F.col(chunk).cast("binary"), F.lit(b""))
+    rows = solid_df.select(*key, F.col(seq).alias("__seq"), data.alias("__chunk"))
+    sizes = rows.groupBy(*key).agg(F.sum(F.octet_length("__chunk")).alias("__size"))
+    rows = join_on(rows, sizes, key).repartition(*key).sortWithinPartitions(*key, "__seq", "__chunk")
+    fields = T.StructType([rows.schema[k] for k in key])
+    schema = to_arrow_schema(T.StructType([*fields, T.StructField(out, T.StringType())]))
+    # Rows change hands as (key, size, chunk); a key ends where the next one begins.
+    narrow = rows.select(*key, "__size", "__chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, done = None, None, []
+
+        def flush():
+            columns = list(zip(*done, strict=True)) or [[]] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for b in batches:
+            keys = zip(*(b.column(i).to_pylist() for i in range(len(key))), strict=True)
+            for k, size, data in zip(keys, b.column(len(key)).to_pylist(), b.column(len(key) + 1), strict=True):
+                if k != current:
+                    if digest is not None:
+                        done.append((*current, digest.hexdigest()))
+                    current, digest = k, hashlib.sha256(int(size).to_bytes(8, "little"))
+                digest.update(data.as_buffer())
+            yield flush()
+            done = []
+        if digest is not None:
+            done.append((*current, digest.hexdigest()))
+            yield flush()
+
+    signed = narrow.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.StringType())]))
+    return restore(signed, names)
+
+
 def duplicate_groups(df: DataFrame, signature: str, item: str) -> DataFrame:
     """Signatures carried by more than one item; no signature matches nothing."""
     return (

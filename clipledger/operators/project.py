@@ -89,6 +89,23 @@ def classify_by_pattern(df: DataFrame, col: str, rules, out: str = "class") -> D
     return df.withColumn(out, first_match(F.lower(text.trimmed(F.col(col))), rules))
 
 
+def classify_by_rules(
+    df: DataFrame, col: str, rules: DataFrame, out: str = "class", default: str | None = None
+) -> DataFrame:
+    """:func:`classify_by_pattern` with the rules held in a table ``(rule, pattern, class)``.
+
+    Patterns meet the distinct values only, which are then joined back. The least
+    rule number whose pattern matches wins; of equal numbers, the first pattern.
+    NULL values and values that no pattern matches get ``default``.
+    """
+    named = df.withColumn("__v", F.lower(text.trimmed(F.col(col))))
+    values = named.where("__v IS NOT NULL").groupBy("__v").agg(F.count(F.lit(1)).alias("__n")).drop("__n")
+    found = values.join(rules.select("rule", "pattern", F.col("class").alias("__class")), F.expr("__v RLIKE pattern"))
+    best = found.groupBy("__v").agg(F.min_by("__class", F.struct("rule", "pattern")).alias("__class"))
+    joined = named.join(best, "__v", "left").withColumn(out, F.coalesce("__class", F.lit(default)))
+    return joined.select(*df.columns, out)
+
+
 def pixel_properties(df: DataFrame, col: str = "pixel_format") -> DataFrame:
     """Bit depth, alpha, RGB, gray+alpha and chroma of a pixel-format name."""
     c = F.col(col)

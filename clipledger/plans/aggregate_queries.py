@@ -264,6 +264,17 @@ def fingerprint_docs(spark, sf_dir):
     return A.duplicate_groups(A.content_fingerprint(docs, "text"), "signature", "doc_id")
 
 
+@REG.add(
+    "fingerprint_turns",
+    f"""
+    WITH c AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
+    SELECT conv_id, sha256({_LE8} || encode(text)) AS signature FROM c
+    """,
+)
+def fingerprint_turns(spark, sf_dir):
+    return A.chunk_signature(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
 @REG.add(
     "job_signature",
     """

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.functions.rational import UNKNOWN
+from clipledger.functions.shared import written
 from clipledger.operators import joins as J
 from clipledger.operators import project as P
 from clipledger.functions.keys import as_list, join_on
 from clipledger.operators.aggregates import (
-    audit_claims, broken_timeline, media_job_signature, run_verdict, summarize, timeline_stats,
+    audit_claims, broken_timeline, judge_claims, media_job_signature, run_verdict, summarize, timeline_stats,
 )
 from clipledger.operators.windows import retime
 from clipledger.sources import probe
@@ -138,6 +139,63 @@ def settle(planned: DataFrame, outputs: DataFrame, job: P.Job, key: str = "path"
     )
 
 
+def settle_with_rescan(
+    planned: DataFrame, outputs: DataFrame, frames: DataFrame, job: P.Job, key: str = "path", measured: str | None = None
+) -> DataFrame:
+    """:func:`settle`, and a second judgement where the claimed count may have been the fault.
+
+    Sources of failed runs are measured once: their ``frames``, a row per frame,
+    are counted. Where the count differs from the claim, rate and duration are
+    judged by it, the target timing is worked out anew and the output is verified
+    against that. Nothing is measured for other sources, nor for those that
+    ``measured`` flags as measured before.
+    """
+    if job.conform:
+        raise ValueError("a conform job has no claimed timing to correct")
+    first = written(settle(planned, outputs, job, key), "settled")
+    failed = first.where("status = 'failed'").select(key)
+    runs = planned.where("status = 'run'")
+    if measured is not None:
+        runs = runs.where(~F.coalesce(F.col(measured), F.lit(False)))
+    suspects = written(join_on(runs, failed, [key], "left_semi"), "suspects")
+    counted = join_on(frames, suspects.select(key), [key], "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("__count"))
+    stale = join_on(suspects, counted, [key]).where(~F.col("__count").eqNullSafe(F.col("frame_count")))
+    stale = judge_claims(stale, "fps", "duration", "__count")
+    impeached = F.col("impeached_rate").isNotNull()
+    corrected = stale.withColumns(
+        {
+            "frame_count": F.col("__count"), "fps": F.col("audited_rate"), "duration": F.col("audited_span"),
+            "source_rate": F.when(impeached, F.expr(UNKNOWN)).otherwise(F.col("source_rate")),
+        }
+    ).drop("__count", "audited_rate", "audited_span", "count_exact", "target_rate", "problems", "timing_error")
+    corrected = P.expected_timing(corrected, "source_rate", "frame_count", "duration")
+    corrected = written(corrected.withColumn("target_rate", F.col("target_rate")["value"]), "corrected")
+    again = join_on(outputs, corrected.select(key), [key], "left_semi")
+    stamped = (F.col("e_backend") == "native xvid") & F.col("e_impeached_rate").isNotNull()
+    problems = F.array_compact(
+        F.concat(
+            "problems",
+            F.array(
+                F.when(
+                    F.col("e_timing_error").isNotNull(),
+                    F.concat(F.lit("no timing to verify against after correction: "), F.col("e_timing_error")),
+                ),
+                F.when(stamped, "native output carries the impeached rate"),
+            ),
+        )
+    )
+    second = J.verify_outputs(corrected, again, key, job).select(
+        key, F.col("e_backend").alias("backend"), F.col("e_size_bytes").alias("in_bytes"),
+        F.col("a_size_bytes").alias("out_bytes"), problems.alias("problems"),
+    )
+    ok = F.size("problems") == 0
+    second = second.withColumn("status", F.when(ok, "ok").otherwise("failed")).withColumn(
+        "message", F.array_join("problems", "; ")
+    ).withColumn("output", F.when(ok, F.col(key))).drop("problems")
+    kept = join_on(first, corrected.select(key), [key], "left_anti")
+    return kept.unionByName(second.select(*first.columns))
+
+
 def report(items: DataFrame, run: str = "run_id") -> tuple[DataFrame, DataFrame]:
     """Tallies and exit code per run."""
     tallies = summarize(items, run, in_bytes="in_bytes", out_bytes="out_bytes")

@@ -78,10 +78,16 @@ def catalog_plan(spark, sf_dir):
     """,
 )
 def catalog_settle(spark, sf_dir):
+    planned, outputs = _converted(spark, sf_dir)
+    items = catalog.settle(planned, outputs, _JOB)
+    return items.groupBy("status", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _converted(spark, sf_dir):
+    """The plan, and outputs as an encoder would leave them: some absent, short or of another codec."""
     media, _ = catalog.analyse(documents(spark, sf_dir))
     planned = written(catalog.plan_batch(media, _JOB, _CAPS), "plan")
     digit = F.regexp_extract("path", r"([0-9])\.[a-z]+$", 1).cast("int")
-    # Outputs as an encoder would leave them: some absent, short or of another codec.
     outputs = planned.where("status = 'run'").where(digit != 1).withColumns(
         {
             "codec": F.lit("mpeg4"),
@@ -90,7 +96,31 @@ def catalog_settle(spark, sf_dir):
             "pixel_format": F.lit("yuv420p"),
         }
     ).select(*[c for c in media.columns if c != "class"])
-    items = catalog.settle(planned, outputs, _JOB)
+    return planned, outputs
+
+
+@REG.add(
+    "catalog_rescan",
+    f"""
+    WITH {_CASES_SQL},
+    s AS (SELECT CASE WHEN status = 'skipped' THEN 'skipped' WHEN status = 'rejected' THEN 'failed'
+                      WHEN o_orderkey % 10 IN (1, 3) OR o_orderkey % 20 = 12 THEN 'failed' ELSE 'ok' END AS status,
+                 CASE WHEN status = 'skipped' THEN 'already distribution-compressed'
+                      WHEN status = 'rejected' THEN 'alpha not allowed'
+                      WHEN o_orderkey % 10 = 1 THEN 'missing row'
+                      WHEN o_orderkey % 20 = 12 THEN 'frame count mismatch: 300 vs 299'
+                      WHEN o_orderkey % 10 = 3 THEN 'codec/profile/pixel format mismatch' ELSE '' END AS message
+          FROM r)
+    SELECT status, message, count(*) AS n FROM s GROUP BY ALL
+    """,
+)
+def catalog_rescan(spark, sf_dir):
+    planned, outputs = _converted(spark, sf_dir)
+    # What decoding finds: the claim of every second short output's source was stale, the other outputs are short.
+    orders = documents(spark, sf_dir).select("path", F.regexp_extract("path", "([0-9]+)[.]", 1).cast("long").alias("o"))
+    found = F.when(F.col("o") % 20 == 2, 299).otherwise(300)
+    frames = orders.where("o % 10 = 2").select("path", F.explode(F.sequence(F.lit(1), found)).alias("frame"))
+    items = catalog.settle_with_rescan(planned, outputs, frames, _JOB)
     return items.groupBy("status", "message").agg(F.count(F.lit(1)).alias("n"))
 
 

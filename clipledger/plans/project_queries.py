@@ -45,21 +45,27 @@ _PART_RULES = [
 ]
 
 
-@REG.add(
-    "classify_parts",
-    r"""
+_PARTS_SQL = r"""
     SELECT p_partkey,
            CASE WHEN regexp_matches(lower(trim(p_name)), '^(red|blue|green)\b') THEN 'coloured'
                 WHEN regexp_matches(lower(trim(p_name)), '(ring|gear)$') THEN 'round'
                 WHEN regexp_matches(lower(trim(p_name)), '^[a-z]{3,4} ') THEN 'short'
                 WHEN regexp_matches(lower(trim(p_name)), '^(?:small|large)') THEN 'sized' END AS class
     FROM part
-    """,
-)
+"""
+
+
+@REG.add("classify_parts", _PARTS_SQL)
 def classify_parts(spark, sf_dir):
     return P.classify_by_pattern(table(spark, sf_dir, "part"), "p_name", _PART_RULES).select("p_partkey", "class")
 
 
+@REG.add("classify_parts_by_table", _PARTS_SQL)
+def classify_parts_by_table(spark, sf_dir):
+    rules = spark.createDataFrame([(k, p, c) for k, (p, c) in enumerate(_PART_RULES)], "rule int, pattern string, class string")
+    return P.classify_by_rules(table(spark, sf_dir, "part"), "p_name", rules).select("p_partkey", "class")
+
+
 @REG.add(
     "parse_ratio",
     """

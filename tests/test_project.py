@@ -316,3 +316,16 @@ def test_alias_table_agrees(spark, frame, rows):
     table = spark.createDataFrame(list(C.PRESET_ALIASES.items()), "alias string, canonical string")
     d = frame([(a.upper() + " ",) for a in C.PRESET_ALIASES] + [("nope",)], "a string")
     assert rows(P.normalize_alias_from(d, "a", table)) == rows(P.normalize_alias(d, "a"))
+
+
+def test_rules_in_a_table_equal_constant_rules(frame, rows):
+    rules = [(3, r"^x", "three"), (1, r"[0-9]{2}$", "one"), (2, r"^x1", "two"), (1, r"^xx", "one too")]
+    table = frame(rules, "rule int, pattern string, class string")
+    values = [" X12 ", "x1", "x", "xx99", "y", None, "", "x", "XX"]
+    d = frame([(i, v, 7, "k") for i, v in enumerate(values)], "i int, v string, rule int, pattern string")
+    got = P.classify_by_rules(d, "v", table, default="none")
+    want = P.classify_by_pattern(d, "v", [(p, c) for _, p, c in sorted(rules)])
+    assert got.columns == want.columns
+    expected = [(i, c or "none") for i, c in rows(want, "i", "class")]
+    assert rows(got, "i", "class") == expected and {c for _, c in expected} == {"one", "two", "three", "none", "one too"}
+    assert rows(P.classify_by_rules(d, "v", table.limit(0)), "class") == [(None,)] * len(values)

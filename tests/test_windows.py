@@ -1,6 +1,7 @@
 """Ordered per-key operators: literal cases, and results that do not depend on
 segment size, partitioning or NULL keys."""
 
+import hashlib
 import random
 
 import pytest
@@ -327,3 +328,18 @@ def test_results_do_not_depend_on_partitioning(spark, log, rows):
             assert rows(A.timeline_stats(log.repartition(n), "key", "seq", "pts", 16)) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_chunk_signature_equals_that_of_the_whole(spark, rows):
+    """Chunks of several keys, one hot and one NULL, over many partitions; a NULL chunk is empty."""
+    rnd = random.Random(11)
+    data = [("hot" if rnd.random() < 0.8 else rnd.choice(KEYS), i, rnd.choice([None, b"", bytes(rnd.randbytes(rnd.randint(1, 90)))]))
+            for i in range(900)] + [("none", 0, None)]
+    d = spark.createDataFrame(rnd.sample(data, len(data)), "key string, seq long, chunk binary").repartition(7)
+    want = {}
+    for k, _, c in data:
+        want[k] = want.get(k, b"") + (c or b"")
+    got = rows(A.chunk_signature(d, "key", "seq", "chunk"), "key", "signature")
+    signed = {k: hashlib.sha256(len(v).to_bytes(8, "little") + v).hexdigest() for k, v in want.items()}
+    assert dict(got) == signed and len(got) == len(signed)
+    assert A.chunk_signature(d.limit(0), "key", "seq", "chunk").count() == 0
