@@ -602,6 +602,26 @@ def exclude_generated(df: DataFrame, name: str, tokens: dict[str, str] | None =
     return df.where(~generated_name(F.col(name), tokens or C.PRESET_EXTENSIONS))
 
 
+def exclude_generated_by(df: DataFrame, name: str, tokens: DataFrame) -> DataFrame:
+    """:func:`exclude_generated` with any number of tokens, held in a table ``(token, ext)``.
+
+    A name is cut into the few endings that could be a token, each a key of a join;
+    no pattern holds the tokens. NULL names are dropped.
+    """
+    low = F.lower(F.col(name))
+    stem, ext = text.stem(low), text.extension(low)
+    endings = lambda c: F.expr(
+        f"transform(sequence(1, size(split({c}, '_')) - 1), k -> array_join(slice(split({c}, '_'), k + 1, size(split({c}, '_'))), '_'))"
+    )
+    cut = df.where(F.col(name).isNotNull()).select(F.col(name).alias("__name"), stem.alias("__a"), ext.alias("ext"))
+    cut = cut.where("instr(__a, '_') > 0").distinct().withColumn("__b", F.regexp_replace("__a", r"_[0-9]+\z", ""))
+    found = F.array_union(endings("__a"), F.when(F.expr("instr(__b, '_') > 0"), endings("__b")).otherwise(F.array().cast("array<string>")))
+    keys = cut.select("__name", "ext", F.explode(found).alias("token"))
+    known = tokens.select(F.lower("token").alias("token"), F.lower("ext").alias("ext"))
+    own = keys.join(known, ["token", "ext"], "left_semi").select(F.col("__name").alias(name)).distinct()
+    return df.where(F.col(name).isNotNull()).join(own, name, "left_anti").select(*df.columns)
+
+
 def allowlist_or_null(df: DataFrame, allowed: dict[str, Sequence[str]]) -> DataFrame:
     """NULL every value whose lower-cased spelling is not listed for its column."""
     return df.withColumns(

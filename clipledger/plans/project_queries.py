@@ -395,6 +395,30 @@ def exclude_generated(spark, sf_dir):
     return P.exclude_generated(names, "name")
 
 
+@REG.add(
+    "exclude_generated_by_table",
+    """
+    WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'mov' ELSE 'avi' END AS ext FROM customer WHERE c_custkey % 3 = 0),
+    n AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'mov' ELSE 'avi' END AS ext,
+                 CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_' || o_orderkey ELSE '_x' || o_orderkey END AS tail FROM orders)
+    SELECT o_orderkey, 'Clip_customer_' || o_custkey || tail || '.' || upper(n.ext) AS name
+    FROM n LEFT JOIN t ON t.c_custkey = n.o_custkey AND t.ext = n.ext
+    WHERE t.c_custkey IS NULL OR o_orderkey % 3 = 2
+    """,
+)
+def exclude_generated_by_table(spark, sf_dir):
+    kind = lambda c: F.when(F.col(c) % 2 == 0, "mov").otherwise("avi")
+    tokens = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(
+        F.concat(F.lit("customer_"), "c_custkey").alias("token"), kind("c_custkey").alias("ext")
+    )
+    key = F.col("o_orderkey")
+    tail = F.when(key % 3 == 0, "").when(key % 3 == 1, F.concat(F.lit("_"), key)).otherwise(F.concat(F.lit("_x"), key))
+    names = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("Clip_customer_"), "o_custkey", tail, F.lit("."), F.upper(kind("o_orderkey"))).alias("name")
+    )
+    return P.exclude_generated_by(names, "name", tokens)
+
+
 @REG.add(
     "allowlist_segments",
     """

@@ -329,3 +329,13 @@ def test_rules_in_a_table_equal_constant_rules(frame, rows):
     expected = [(i, c or "none") for i, c in rows(want, "i", "class")]
     assert rows(got, "i", "class") == expected and {c for _, c in expected} == {"one", "two", "three", "none", "one too"}
     assert rows(P.classify_by_rules(d, "v", table.limit(0)), "class") == [(None,)] * len(values)
+
+
+def test_generated_names_by_a_table_of_tokens(frame, rows):
+    """The same names go as with the pattern, among thousands of other tokens."""
+    names = ["a_prores_lt.mov", "a_PRORES_LT_12.MOV", "a_prores_lt.avi", "prores_lt.mov", "_xvid_max.avi", "a_xvid_max_q2_3.avi", "a_b_xvid_max_3_4.avi",
+             "a_xvid_max_.avi", "a.b_xvid_max.avi", "plain.avi", "noext_xvid_max", "x_9.avi", None, "a_prores_lt.mov"]
+    d = frame([(n, i) for i, n in enumerate(names)], "name string, ext long")
+    tokens = [*C.PRESET_EXTENSIONS.items(), *((f"other_{i}", "avi") for i in range(3000))]
+    got = P.exclude_generated_by(d, "name", frame(tokens, "token string, ext string"))
+    assert rows(got, "name", "ext") == rows(P.exclude_generated(d, "name"), "name", "ext") and got.columns == d.columns
