@@ -1,16 +1,16 @@
 """How sources of a language differ in their words (operator 13).
 
-* Documents become sparse count vectors: ``CountVectorizer`` with the smallest
-  document count of a term, and no other limit on the vocabulary. A term is
-  counted together with its language, so one vocabulary holds every language's
-  own terms and a document meets its language's only.
+* Documents become sparse count vectors: ``CountVectorizer`` fits the vocabulary, with
+  the smallest document count of a term and no other limit. A term is counted
+  together with its language, so one vocabulary holds every language's own terms
+  and a document meets its language's only.
 * A vocabulary is on the driver and on every executor while it is used. Terms are
   therefore dealt by their hash to as many slices as keep the number of kept terms
   below about ``max_terms`` each, as told by an exact count over one in ``ONE_IN``
   of all possible terms. Slices are stored apart and fitted one after the other, so
   that each occurrence is still read twice only.
-* Vectors are summed per group (language, source), index by index, so that no
-  group is ever a dense vector. Sums give each group's and each language's
+* Vectors are made and summed per group (language, source) in Arrow batches, index by
+  index, so that no group is ever a dense vector. Sums give each group's and each language's
   smoothed shares ``p = 1 + floor(10^9 (count + 5) / (N + 5 V))``, all in integers.
 * Pairs of sources are compared in chunks of a language's terms. A chunk holds the
   terms that occur in a source, and one share for all those that do not; it gives a
@@ -52,7 +52,6 @@ CHUNK_SOURCES = 256
 _ALL_TERMS = 2**31 - 1
 #: Stands after a term and before its language; no term holds it.
 _MARK = "\0"
-_VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
 #: Lower-cases A-Z and turns all other ASCII but letters into spaces.
@@ -81,25 +80,37 @@ def _marked(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> D
     return rows.mapInArrow(cut, "lang string, source string, terms array<string>")
 
 
-def _vectors(rows: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """``lang, source, v`` with the parts of each sparse vector, and ``i, lang, term`` of the vocabulary.
-
-    ``rows`` has ``lang, source, terms``, the terms marked with their language.
-    """
-    spark = rows.sparkSession
+def _vocabulary(rows: DataFrame, min_df: int) -> list[str]:
+    """The kept terms of ``rows``, marked with their language."""
     # A vocabulary must not be empty; no document has this term.
-    spare = spark.range(min_df).select(F.array(F.lit(_MARK)).alias("terms"))
+    spare = rows.sparkSession.range(min_df).select(F.array(F.lit(_MARK)).alias("terms"))
     counter = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_df), vocabSize=_ALL_TERMS)
-    model = counter.fit(rows.select("terms").unionByName(spare))
-    vectors = stored(model.transform(rows).select("lang", "source", "v"), "vectors")
-    place = vectors.inputFiles()
-    found = [(i, *t.split(_MARK, 1)) for i, t in enumerate(model.vocabulary) if t != _MARK]
-    columns = zip(*found, strict=True) if found else ([], [], [])
-    kinds = (pa.int32(), pa.string(), pa.string())
-    vocabulary = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["i", "term", "lang"])
-    # The same files, read as the struct that a vector is in them.
-    plain = spark.read.schema(f"lang string, source string, v {_VECTOR}").parquet(*place)
-    return plain, stored(spark.createDataFrame(vocabulary), "vocabulary")
+    return counter.fit(rows.select("terms").unionByName(spare)).vocabulary
+
+
+def _sums(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``lang, source, i, n``: the documents' count vectors, summed per group as they are made."""
+    shared = rows.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        width = len(known)
+        for b in batches:
+            pairs = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            place = {g: k for k, g in enumerate(dict.fromkeys(pairs))}
+            group = np.array([place[g] for g in pairs], dtype=np.int64)
+            index = pc.index_in(b.column(2).flatten(), known)
+            kept = index.is_valid().to_numpy(zero_copy_only=False)
+            entries = np.repeat(group, pc.list_value_length(b.column(2)).to_numpy())[kept] * width
+            entries, counts = np.unique(entries + index.drop_null().to_numpy(), return_counts=True)
+            own = pa.array(entries // width)
+            columns = [pa.array([g[j] for g in place], pa.string()).take(own) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(entries % width, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "source", "i", "n"]
+            )
+
+    partial = rows.select("lang", "source", "terms").mapInArrow(add, "lang string, source string, i int, n long")
+    return partial.groupBy("lang", "source", "i").agg(F.sum("n").alias("n"))
 
 
 def _kept_terms(rows: DataFrame, min_df: int) -> int:
@@ -129,9 +140,13 @@ def group_counts(rows: DataFrame, min_df: int = MIN_DF, max_terms: int = MAX_TER
         parts = [rows.sparkSession.read.schema(schema).parquet(f"{place}/slice={k}") for k in range(slices)]
     counts, kept = [], []
     for k, part in enumerate(parts):
-        vectors, vocabulary = _vectors(part, min_df)
-        entries = vectors.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-        sums = entries.groupBy("lang", "source", F.col("e.indices").alias("i")).agg(F.sum("e.values").cast("long").alias("n"))
+        found = _vocabulary(part, min_df)
+        named = [(i, *t.split(_MARK, 1)) for i, t in enumerate(found) if t != _MARK]
+        columns = zip(*named, strict=True) if named else ([], [], [])
+        kinds = (pa.int32(), pa.string(), pa.string())
+        vocabulary = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["i", "term", "lang"])
+        vocabulary = stored(rows.sparkSession.createDataFrame(vocabulary), "vocabulary")
+        sums = _sums(part, found)
         number = (F.col("i") + F.lit(k << 32)).alias("tid")
         counts.append(sums.join(vocabulary.drop("lang"), "i").select("lang", "source", number, "term", "n"))
         kept.append(vocabulary.select("lang", number))
