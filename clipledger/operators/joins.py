@@ -359,6 +359,31 @@ def missing_capability(
     return join_on(items, served.distinct(), key, "left_anti")
 
 
+def describe_backends(items: DataFrame, by, eligible: Column, native: Column, library: Column, item: str) -> DataFrame:
+    """How the items of each group can be served, in one of three ways, or which of them cannot.
+
+    The native backend serves ``eligible`` items, the library any. ``native`` and
+    ``library`` tell what a group's worker has, the same for all its items; NULL
+    is absent. ``backends`` is ``unavailable`` (``unserved`` counts such items and
+    ``first_unserved`` is the least of them), ``native with fallback``, ``native
+    only``, ``native where eligible`` or ``library``.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    served = (flag(eligible) & flag(native)) | flag(library)
+    tally = items.groupBy(*as_list(by)).agg(
+        F.bool_and(flag(eligible)).alias("__all"), F.bool_or(flag(native)).alias("__native"), F.bool_or(flag(library)).alias("__library"),
+        F.count_if(~served).alias("unserved"), F.min(F.when(~served, F.col(item))).alias("first_unserved"),
+    )
+    backends = (
+        F.when(F.col("unserved") > 0, "unavailable")
+        .when(F.col("__native") & F.col("__all") & F.col("__library"), "native with fallback")
+        .when(F.col("__native") & F.col("__all"), "native only")
+        .when(F.col("__native"), "native where eligible")
+        .otherwise("library")
+    )
+    return tally.withColumn("backends", backends).drop("__all", "__native", "__library")
+
+
 def size_delta(
     inputs: DataFrame, outputs: DataFrame, key, before: str, after: str, out: str = "delta_pct"
 ) -> DataFrame:

@@ -687,3 +687,11 @@ def normalize_alias_from(df: DataFrame, col: str, aliases: DataFrame, out: str =
         "alias_error",
         F.when(F.col(out).isNull(), F.concat(F.lit("unknown name: "), F.coalesce(F.col(col), F.lit("")))),
     )
+
+
+def with_label(df: DataFrame, col: str, labels: dict[str, str] | None = None, out: str = "label") -> DataFrame:
+    """What people read for a canonical name; a name without a label is its own."""
+    value = F.col(col)
+    for name, label in (C.PRESET_LABELS if labels is None else labels).items():
+        value = F.when(F.col(col) == name, F.lit(label)).otherwise(value)
+    return df.withColumn(out, value)

@@ -267,3 +267,23 @@ def audit_provenance(spark, sf_dir):
     )
     out = J.audit_provenance(outputs, sources, "doc_id", "tag", "signature", job, "clip1")
     return out.select("doc_id", "provenance_state")
+
+
+@REG.add(
+    "describe_backends",
+    """
+    WITH i AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS eligible, o_custkey % 3 < 2 AS native, o_custkey % 2 = 0 AS lib FROM orders),
+    g AS (SELECT o_custkey, bool_and(eligible) AS every, bool_or(native) AS native, bool_or(lib) AS lib,
+                 count(*) FILTER (NOT ((eligible AND native) OR lib)) AS unserved,
+                 min(o_orderkey) FILTER (NOT ((eligible AND native) OR lib)) AS first_unserved FROM i GROUP BY o_custkey)
+    SELECT o_custkey, unserved, first_unserved,
+           CASE WHEN unserved > 0 THEN 'unavailable' WHEN native AND every AND lib THEN 'native with fallback'
+                WHEN native AND every THEN 'native only' WHEN native THEN 'native where eligible' ELSE 'library' END AS backends
+    FROM g
+    """,
+)
+def describe_backends(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return J.describe_backends(
+        orders, "o_custkey", F.col("o_orderstatus") == "F", F.col("o_custkey") % 3 < 2, F.col("o_custkey") % 2 == 0, "o_orderkey"
+    )

@@ -498,3 +498,16 @@ def rule_table_classes(spark, sf_dir):
     return P.classify_from(events, rules, "code", "tag").select("event_id", "class")
 
 
+@REG.add(
+    "preset_labels",
+    """
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'xvid_max_q2' WHEN 1 THEN 'xvid_efficient_q2' WHEN 2 THEN 'prores_4444' END AS canonical,
+           CASE o_orderkey % 4 WHEN 0 THEN 'Share / Xvid Q2' WHEN 1 THEN 'Xvid Q2 Efficient' WHEN 2 THEN 'ProRes 4444' END AS label
+    FROM orders
+    """,
+)
+def preset_labels(spark, sf_dir):
+    kind = F.col("o_orderkey") % 4
+    given = F.when(kind == 0, " Share").when(kind == 1, "XVID-Efficient ").when(kind == 2, "ProRes-4444").otherwise("something else")
+    named = P.normalize_alias(table(spark, sf_dir, "orders").select("o_orderkey", given.alias("given")), "given")
+    return P.with_label(named, "canonical").select("o_orderkey", "canonical", "label")
