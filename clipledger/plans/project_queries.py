@@ -511,3 +511,18 @@ def preset_labels(spark, sf_dir):
     given = F.when(kind == 0, " Share").when(kind == 1, "XVID-Efficient ").when(kind == 2, "ProRes-4444").otherwise("something else")
     named = P.normalize_alias(table(spark, sf_dir, "orders").select("o_orderkey", given.alias("given")), "given")
     return P.with_label(named, "canonical").select("o_orderkey", "canonical", "label")
+
+
+@REG.add(
+    "prores_layouts",
+    """
+    SELECT p_partkey, CASE WHEN p_size > 25 AND p_partkey % 3 = 0 THEN 'yuva444p12le' WHEN p_size > 25 THEN 'yuv444p12le'
+                           WHEN p_partkey % 3 = 0 THEN 'yuva444p10le' ELSE 'yuv444p10le' END AS layout, 'yuv422p10le' AS other
+    FROM part
+    """,
+)
+def prores_layouts(spark, sf_dir):
+    deep, alpha = F.when(F.col("p_size") > 25, 10).otherwise(8), F.col("p_partkey") % 3 == 0
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", P.prores_layout(deep, alpha, "prores_4444").alias("layout"), P.prores_layout(deep, alpha, "prores_hq").alias("other")
+    )

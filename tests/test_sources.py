@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clipledger.operators.ordering import ordered_inputs
 from clipledger.operators.project import classify
-from clipledger.sources import files, probe, publish, report
+from clipledger.sources import files, lines, probe, publish, report
 
 
 def doc(video=None, audio=(), duration=None, **fmt):
@@ -118,3 +118,21 @@ def test_only_one_object_is_a_document(frame):
     d = frame(list(enumerate(texts)), "path int, doc string")
     got = {r["path"]: r["reject_reason"] for r in probe.parse_json(d, "doc").collect()}
     assert [got[i] for i in range(len(texts))] == [None, None, *["unparsable"] * 9, "unreadable"]
+
+
+def test_report_is_written_once_and_in_order(spark, frame, tmp_path):
+    media = frame([(2, 5, True), (1, 7, False), (3, None, True)], "idx int, frames long, exact boolean")
+    rows = report.source_report(media, "idx", {"twice": F.col("frames") * 2}, "frames", "exact")
+    place = str(tmp_path / "report")
+    report.write_source_report(rows.coalesce(1), place, "json")
+    got = [(r["idx"], r["count_label"], r["twice"]) for r in spark.read.json(place).orderBy("idx").collect()]
+    assert got == [(1, "~7", 14), (2, "5", 10), (3, "?", None)]
+    with pytest.raises(Exception, match="(?i)exists"):
+        report.write_source_report(rows, place, "json")
+
+
+def test_key_value_lines_of_files(spark, tmp_path):
+    (tmp_path / "a.log").write_text("frame=1\r\nnoise\nout=x=y\n")
+    (tmp_path / "b.log").write_text("fps=2")
+    got = {(r["key"].rsplit("/", 1)[1], r["field"], r["field_value"]) for r in lines.read_kv_lines(spark, str(tmp_path)).collect()}
+    assert got == {("a.log", "frame", "1"), ("a.log", "out", "x=y"), ("b.log", "fps", "2")}
