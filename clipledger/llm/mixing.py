@@ -4,8 +4,9 @@ Every document of a source is expected ``target / source size`` times. The
 expected copies are summed along the source, one random offset per source is
 added, and a document is emitted once for each integer boundary its own share
 crosses. The order along a source is by size class and then by a hash of the id,
-so each class gets its share and the words taken come within about one document
-of the target.
+so each class gets its share. What is taken differs from the target by a few
+documents of each size class, which shows where a few long texts dominate a source
+(0.966 to 1.034 of the target over the sources of 10,000 documents).
 
 The running sum needs the rank of a document in its source. No task ranks a whole
 source: ranks are counted inside (source, size class, hash bucket), and the two
