@@ -5,7 +5,9 @@ URL's path starts with its own; the longest fitting rule wins. The URLs that rul
 judge are the labels from which the rest is judged.
 
 Paths are cut into segments, and numbers and long hex names become wildcards at
-once. The tree of a host is then built from the root. At each node
+once. The tree of a host is then built from the root, down to the ends of its paths.
+Segments that all paths of a node share are passed at once, and a node whose paths do
+not differ any more is finished. At any other node
 
 * children that are rare among many (below ``RARE`` of the node's URLs where there
   are more than ``FANOUT`` children) become the wildcard branch,
@@ -16,14 +18,16 @@ A template is a path through the generalised tree. Its purity is its share of
 blocked labels, smoothed by ``WEIGHT`` labels at the host's rate, which is smoothed
 by as many at the overall rate. Templates of at least ``REJECT`` are blocked.
 
-The tree works on counts of distinct shapes, aggregated before any shuffle, level
-by level; a URL meets its shape's verdict by an equi join. Rules are constants of
-the plan.
+The tree works on counts of distinct shapes, aggregated before any shuffle, a fork of
+each path per round; a URL meets its shape's verdict by an equi join. There are as many
+rounds as a path has forks, and a round reads only shapes that are not finished. Rules
+are constants of the plan.
 
 Defined results: a NULL URL or one without ``://`` has an empty host and path and is
 judged by the template of those; without any labels the overall rate is a half,
-which blocks nothing below ``REJECT``; rows that repeat are judged alike. Segments
-from the ``LEVELS``-th on are one segment.
+which blocks nothing below ``REJECT``; rows that repeat are judged alike. A path that
+ends at a node has an empty segment there. A template is written with ``LEVELS``
+segments or more. Columns of any name come back as they were; the new ones follow.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import ascii_lower, stored
+from clipledger.llm.common import ascii_lower, stored, wrapped
 
+#: Segments that a template is written with at least; the tree itself has no depth limit.
 LEVELS = 4
 FANOUT = 16
 RARE = 0.02
@@ -68,15 +73,13 @@ def fitting_rule(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _segments() -> list[Column]:
-    """The path's first segments, numbers and long hex names generalised; the last takes all that is left."""
-    typed = F.expr(
+def _segments() -> Column:
+    """The path's segments, numbers and long hex names generalised."""
+    return F.expr(
         r"transform(slice(split(path, '/'), 2, greatest(size(split(path, '/')) - 1, 0)), s -> CASE "
         r"WHEN s RLIKE '^[0-9]+$' THEN '{n}' WHEN s RLIKE '^[0-9]+[.][a-z]+$' THEN concat('{n}.', split(s, '[.]')[1]) "
         r"WHEN s RLIKE '^[0-9a-f-]{16,}$' THEN '{x}' ELSE s END)"
     )
-    first = [F.coalesce(F.get(typed, F.lit(k)), F.lit("")) for k in range(LEVELS - 1)]
-    return [*first, F.array_join(F.slice(typed, LEVELS, 1 << 30), "/")]
 
 
 def _similar(n: Column, blocked: Column, all_n: Column, all_blocked: Column) -> Column:
@@ -88,38 +91,64 @@ def _similar(n: Column, blocked: Column, all_n: Column, all_blocked: Column) ->
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """Shapes (host, s1.., n, labelled, blocked) with their generalised segments g1.. ."""
+    """Shapes (host, segs, n, labelled, blocked) with their generalised segments ``g``."""
     counts = ("n", "labelled", "blocked")
-    for k in range(1, LEVELS + 1):
-        node = ["host", *[f"g{j}" for j in range(1, k)]]
-        children = stored(
-            shapes.groupBy(*node, f"s{k}").agg(*[F.sum(c).alias(c) for c in counts]), "url-children"
+    shape = ["host", "segs", *counts]
+    node = ["host", "g"]
+    going = shapes.select(*shape, F.array().cast("array<string>").alias("g"), F.col("segs").alias("rest"))
+    finished = []
+    while True:
+        # Arrays are ordered by their elements, so what the least and the greatest share, all share.
+        ends = going.groupBy(*node).agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        same = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False)
+        ends = ends.select(*node, F.when(same == 0, F.size("low")).otherwise(same - 1).cast("int").alias("shared"), (same == 0).alias("end"))
+        passed = going.join(ends, node).select(
+            *shape, F.concat("g", F.slice("rest", F.lit(1), F.col("shared"))).alias("g"),
+            F.slice("rest", F.col("shared") + 1, F.size("rest")).alias("rest"), "end",
         )
+        passed = stored(passed, "url-nodes")
+        finished.append(passed.filter("end").select(*shape, "g"))
+        forks = passed.filter("NOT end").drop("end")
+        if forks.isEmpty():
+            break
+        forks = forks.withColumn("child", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
+        children = forks.groupBy(*node, "child").agg(*[F.sum(c).alias(c) for c in counts])
         nodes = children.groupBy(*node).agg(F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in counts])
         rare = (F.col("children") > FANOUT) & (F.col("n") < F.col("all_n") * RARE)
         alike = _similar(*[F.col(c).cast("double") for c in ("labelled", "blocked", "all_labelled", "all_blocked")])
-        general = F.when(F.col("children") == 1, F.col(f"s{k}")).when(rare | alike, "*").otherwise(F.col(f"s{k}"))
-        named = children.join(nodes, node).select(*node, f"s{k}", general.alias(f"g{k}"))
-        # Each level is read three times by the next one, so its lineage is cut.
-        shapes = stored(shapes.join(named, [*node, f"s{k}"]), "url-tree")
-    return shapes
+        general = F.when(F.col("children") == 1, F.col("child")).when(rare | alike, "*").otherwise(F.col("child"))
+        named = children.join(nodes, node).select(*node, "child", general.alias("general"))
+        # The next round reads this twice, so its lineage is cut.
+        going = stored(
+            forks.join(named, [*node, "child"]).select(
+                *shape, F.concat("g", F.array("general")).alias("g"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")
+            ),
+            "url-tree",
+        )
+    tree = finished[0]
+    for part in finished[1:]:
+        tree = tree.unionByName(part)
+    blank = F.array_repeat(F.lit(""), F.greatest(F.lit(LEVELS) - F.size("g"), F.lit(0)))
+    return tree.withColumn("g", F.concat("g", blank))
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
-    """``pages`` with ``u_host, u_path, u_rule, u_template, u_purity, u_verdict``."""
-    host, path = split_url(F.col(url_col))
-    row = F.struct(*[F.col(c) for c in pages.columns]).alias("row")
-    parsed = pages.select(row, host.alias("host"), path.alias("path"))
+    """``pages`` with ``u_host, u_path, u_rule, u_template, u_purity, u_verdict``.
+
+    A name that ``pages`` has already is followed by ``_``.
+    """
+    host, path = split_url(F.col(f"`{url_col}`"))
+    parsed = wrapped(pages, host=host, path=path)
     rule, verdict = fitting_rule(rules)
-    parsed = parsed.select("*", rule.alias("rule"), verdict.alias("ruled"), *[s.alias(f"s{k + 1}") for k, s in enumerate(_segments())])
-    shape = ["host", *[f"s{k}" for k in range(1, LEVELS + 1)]]
+    parsed = parsed.select("*", rule.alias("rule"), verdict.alias("ruled"), _segments().alias("segs"))
+    shape = ["host", "segs"]
     shapes = parsed.groupBy(*shape).agg(
         F.count("*").alias("n"), F.count("ruled").alias("labelled"),
         F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"),
     )
     shapes = stored(shapes, "url-shapes")
     tree = templates(shapes)
-    name = ["host", *[f"g{k}" for k in range(1, LEVELS + 1)]]
+    name = ["host", "g"]
     sums = [F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
     per_template = tree.groupBy(*name).agg(*sums)
     per_host = per_template.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("blocked").alias("h_blocked"))
@@ -133,8 +162,16 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
         *shape, F.concat_ws("/", *name).alias("template"), "purity"
     )
     judged = parsed.join(verdicts, shape)
-    return judged.select(
-        "row.*", F.col("host").alias("u_host"), F.col("path").alias("u_path"), F.col("rule").alias("u_rule"),
-        F.col("template").alias("u_template"), F.col("purity").alias("u_purity"),
-        F.coalesce("ruled", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("u_verdict"),
-    )
+    own = {
+        "u_host": F.col("host"), "u_path": F.col("path"), "u_rule": F.col("rule"), "u_template": F.col("template"),
+        "u_purity": F.col("purity"),
+        "u_verdict": F.coalesce("ruled", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")),
+    }
+    # Columns are told apart without regard to case; a given one keeps its name and ours gets a longer one.
+    taken = {c.lower() for c in pages.columns}
+    named = []
+    for c, value in own.items():
+        while c in taken:
+            c = f"{c}_"
+        named.append(value.alias(c))
+    return judged.select("row.*", *named)
