@@ -99,12 +99,26 @@ def templates(shapes: DataFrame) -> DataFrame:
     finished = []
     while True:
         # Arrays are ordered by their elements, so what the least and the greatest share, all share.
-        ends = going.groupBy(*node).agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        open_rest = F.when(F.size("rest") > 0, F.col("rest"))
+        ends = going.groupBy(*node).agg(
+            F.min(open_rest).alias("low"), F.max(open_rest).alias("high"), F.count(F.when(F.size("rest") == 0, 1)).alias("ended")
+        )
         same = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False)
-        ends = ends.select(*node, F.when(same == 0, F.size("low")).otherwise(same - 1).cast("int").alias("shared"), (same == 0).alias("end"))
+        common = F.when(same == 0, F.size("low")).otherwise(same - 1).cast("int")
+        ends = ends.withColumn("common", common).withColumn("blank", F.array_position("low", "") - 1)
+        alone = F.col("ended") == 0
+        ends = ends.select(
+            *node, F.when(alone, F.col("common")).otherwise(0).alias("shared"),
+            (F.col("low").isNull() | (alone & F.col("low").eqNullSafe(F.col("high")))).alias("end"),
+            # Beside ended paths, shared segments are one fork after the other with the same counts, hence the same
+            # answer, up to a segment that is as empty as the ended paths' own.
+            F.when(alone, 1).otherwise(
+                F.greatest(F.lit(1), F.when(F.col("blank") >= 0, F.least("common", "blank")).otherwise(F.col("common")))
+            ).cast("int").alias("alike_levels"),
+        )
         passed = going.join(ends, node).select(
             *shape, F.concat("g", F.slice("rest", F.lit(1), F.col("shared"))).alias("g"),
-            F.slice("rest", F.col("shared") + 1, F.size("rest")).alias("rest"), "end",
+            F.slice("rest", F.col("shared") + 1, F.size("rest")).alias("rest"), "end", "alike_levels",
         )
         passed = stored(passed, "url-nodes")
         finished.append(passed.filter("end").select(*shape, "g"))
@@ -116,12 +130,14 @@ def templates(shapes: DataFrame) -> DataFrame:
         nodes = children.groupBy(*node).agg(F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in counts])
         rare = (F.col("children") > FANOUT) & (F.col("n") < F.col("all_n") * RARE)
         alike = _similar(*[F.col(c).cast("double") for c in ("labelled", "blocked", "all_labelled", "all_blocked")])
-        general = F.when(F.col("children") == 1, F.col("child")).when(rare | alike, "*").otherwise(F.col("child"))
-        named = children.join(nodes, node).select(*node, "child", general.alias("general"))
+        named = children.join(nodes, node).select(*node, "child", ((F.col("children") > 1) & (rare | alike)).alias("merged"))
+        general = F.when(F.col("merged"), "*").otherwise(F.col("child"))
+        levels = F.when(F.col("merged"), F.col("alike_levels")).otherwise(1)
         # The next round reads this twice, so its lineage is cut.
         going = stored(
             forks.join(named, [*node, "child"]).select(
-                *shape, F.concat("g", F.array("general")).alias("g"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")
+                *shape, F.concat("g", F.array_repeat(general, levels)).alias("g"),
+                F.slice("rest", levels + 1, F.size("rest")).alias("rest"),
             ),
             "url-tree",
         )
@@ -129,7 +145,7 @@ def templates(shapes: DataFrame) -> DataFrame:
     for part in finished[1:]:
         tree = tree.unionByName(part)
     blank = F.array_repeat(F.lit(""), F.greatest(F.lit(LEVELS) - F.size("g"), F.lit(0)))
-    return tree.withColumn("g", F.concat("g", blank))
+    return stored(tree.withColumn("g", F.concat("g", blank)), "url-templates")
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
