@@ -49,6 +49,8 @@ HOT_BYTES = 4 << 20
 MAX_BROADCAST_BYTES = 32 << 20
 #: Bytes whose anchors are looked for at a time.
 CHUNK_BYTES = 1 << 18
+#: Grams compared at a time, as a power of two; one more low bit of a hash gives way to the position.
+PIECE_BITS = 20
 _ONE = np.uint64(1)
 
 
@@ -64,6 +66,25 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _least_grams(h: np.ndarray, windows: int) -> np.ndarray:
+    """For each run of ``windows`` grams the position of the least hash, the first one of equal ones.
+
+    Positions take the place of the same low bits everywhere, so a run's answer depends
+    on its own hashes alone, not on the length of what stands around it.
+    """
+    bits = np.uint64(PIECE_BITS + 1)
+    at = []
+    for low in range(0, max(0, len(h) - windows + 1), 1 << PIECE_BITS):
+        part = h[low : low + (1 << PIECE_BITS) + windows - 1]
+        least, width = (part >> bits << bits) | np.arange(len(part), dtype=np.uint64), 1
+        while width < windows:
+            step = min(width, windows - width)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            width += step
+        at.append((least & ((_ONE << bits) - _ONE)).astype(np.int64) + low)
+    return np.concatenate(at) if at else np.zeros(0, np.int64)
+
+
 def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[tuple]:
     """Per text (anchor hashes, segment hashes, first windows, numbers of windows)."""
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
@@ -73,15 +94,7 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list
     if not len(joined) >= length:
         return [empty] * len(texts)
     h = _gram_hashes(np.frombuffer(joined, np.uint8), gram)
-    bits = np.uint64(max(1, len(h).bit_length()))
-    # The least hash with its position; equal hashes leave the first one.
-    least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    windows, width = length - gram + 1, 1
-    while width < windows:
-        step = min(width, windows - width)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        width += step
-    at = (least & ((_ONE << bits) - _ONE)).astype(np.int64)
+    at = _least_grams(h, length - gram + 1)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(at)]
     inside = np.arange(len(at)) + length <= ends[owner]
     start = np.flatnonzero(inside)

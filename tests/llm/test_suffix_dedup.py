@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from conftest import LONG
 
+from clipledger.llm import suffix_dedup
 from clipledger.llm.suffix_dedup import remove, report, segments, undivided
 
 
@@ -101,3 +102,22 @@ def test_shuffled_rows_without_broadcast(documents, awkward):
 
 def test_empty_table(documents):
     assert report(documents([])).count() == 0
+
+
+def test_anchors_do_not_depend_on_what_stands_around(monkeypatch):
+    """Equal windows of a short chunk and of a long one have equal anchors, though heads of hashes collide."""
+    real = suffix_dedup._gram_hashes
+    rng = random.Random(9)
+    passage = bytes(rng.randrange(97, 123) for _ in range(300))
+    long = bytes(rng.randrange(97, 123) for _ in range(9000))
+
+    def anchors(chunk, start):
+        a, _, first, count = suffix_dedup.segments([chunk])[0]
+        each = {int(f) + k: int(x) for x, f, n in zip(a, first, count, strict=True) for k in range(int(n))}
+        return [each[start + k] for k in range(101)]
+
+    for kept in (0xFFFF, 0xFFFFFFFFFFFFFFFF):
+        monkeypatch.setattr(suffix_dedup, "_gram_hashes", lambda d, g, kept=kept: real(d, g) & np.uint64(kept))
+        for bits in (20, 8):  # pieces of 256 grams as well
+            monkeypatch.setattr(suffix_dedup, "PIECE_BITS", bits)
+            assert anchors(passage, 0) == anchors(long + passage + long, 9000)
