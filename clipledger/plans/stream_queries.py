@@ -17,7 +17,8 @@ _TURNS = "conv_id bigint, turn bigint, role string, text string"
 def _stream(spark, sf_dir, name, schema):
     # A micro-batch admits at most this much, which also bounds a key's share of it.
     files = spark.readStream.schema(schema).option("maxBytesPerTrigger", 512 << 20)
-    return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A stream takes no single file as its path, but a pattern of files or of folders with files.
+    return files.parquet(f"{sf_dir.rstrip('/')}/{name}[.]parquet")
 
 
 @REG.add("stream_latest", SNAPSHOT_SQL.format(tail="OR rd = 1"))

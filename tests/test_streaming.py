@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipledger.operators import aggregates as A
 from clipledger.operators import windows as W
 from clipledger.operators.throttle import throttle
+from clipledger.plans import stream_queries
 from clipledger.streaming import keyed as S
 
 SCHEMA = "key string, seq long, t long, stage string, p double, f string, v string, text string, offset long"
@@ -184,3 +185,16 @@ def test_tail_when_the_stream_ends(spark, tmp_path, data, rows):
         want[key] = want.get(key, "") + text
     assert {k: bytes(t).decode() for k, t in rows(got, "key", "tail")} == {
         k: "".join(r[7] for r in data if r[0] == k)[-40:] for k in want}
+
+
+def test_streams_read_tables_of_one_file_and_of_a_folder(spark, tmp_path, rows):
+    """A table may be a folder of part files; every part is read, and no other table."""
+    table = spark.createDataFrame([(k, t, "user", f"{k}.T" * t) for k in range(20) for t in range(4)], stream_queries._TURNS)
+    table.repartition(3).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    table.repartition(1).write.parquet(str(tmp_path / "folder" / "other.parquet"))
+    table.repartition(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "one" / "conversations.parquet")
+    want = [(k, 6) for k in range(20)]
+    for place in ("folder", "one"):
+        got = stream_queries.stream_pattern(spark, str(tmp_path / place))
+        assert sorted(tuple(r) for r in got.collect()) == want
