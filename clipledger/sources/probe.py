@@ -22,7 +22,23 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def _alone(doc: Column) -> Column:
+#: Possessive throughout: one pass, and no depth of recursion in the matcher.
+_TEXT = r'"(?:[^"\\\x00-\x1F]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
+_TOKENS = rf"\A(?:{_TEXT}|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+|true|false|null|[\[\]{{}},: \t\n\r]++)++\z"
+#: Depth of brackets that is told without a parser.
+_DEPTH = 6
+
+
+def _closed(depth: int) -> str:
+    """Pattern of any number of closed brackets in a row, nested to ``depth``."""
+    inner = _closed(depth - 1) if depth > 1 else ""
+    return rf"(?:\{{{inner}\}}|\[{inner}\])*+"
+
+
+_OBJECT = rf"\A\{{{_closed(_DEPTH)}\}}"
+
+
+def _parsed_alone(doc: Column) -> Column:
     """Nothing follows the first value.
 
     The parser stops after one value, so the text is read as the only element of
@@ -36,6 +52,25 @@ def _alone(doc: Column) -> Column:
     return F.coalesce((F.size(element) == 1) & field[_BAD].isNull() & field["d"].isNotNull(), F.lit(False))
 
 
+def _alone(doc: Column) -> Column:
+    """Nothing follows the first value, if it is well formed.
+
+    The parser pays for each malformed text with exceptions. So a text that is no
+    row of tokens is told by a pattern, and where an object ends by its brackets
+    alone: at the end of the text or before. Only deeper brackets, and texts that
+    begin with another value, are left to the parser.
+    """
+    tokens = doc.rlike(_TOKENS)
+    brackets = F.regexp_replace(doc, rf"{_TEXT}|[^\[\]{{}}\"]++", "")
+    whole = doc.rlike(r"\A[ \t\n\r]*+\{") & doc.rlike(r"\}[ \t\n\r]*+\z")
+    told = (
+        F.when(~doc.rlike(r"\A[ \t\n\r]*+\{"), F.lit(None).cast("boolean"))
+        .when(brackets.rlike(rf"{_OBJECT}."), False)
+        .when(brackets.rlike(rf"{_OBJECT}\z"), whole)
+    )
+    return F.when(~F.coalesce(tokens, F.lit(False)), False).otherwise(F.coalesce(told, _parsed_alone(doc)))
+
+
 def parse_json(
     df: DataFrame, doc: str, schema: T.StructType = PROBE_DOC, out: str = "doc_parsed",
     max_bytes: int | None = None, required: Column | None = None,
@@ -50,7 +85,7 @@ def parse_json(
     full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType(), True)])
     big = F.lit(False) if max_bytes is None else F.octet_length(F.col(doc)) > max_bytes
     parsed = F.from_json(F.when(~big, F.col(doc)), full, {**_STRICT, "columnNameOfCorruptRecord": _BAD})
-    df = evaluate_once(df, {out: F.when(_alone(F.col(doc)), parsed)})
+    df = evaluate_once(df, {out: F.when(_alone(F.when(~big, F.col(doc))), parsed)})
     reason = (
         F.when(big, F.lit("too large"))
         .when(F.col(doc).isNull(), F.lit("unreadable"))

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +121,29 @@ def test_only_one_object_is_a_document(frame):
     assert [got[i] for i in range(len(texts))] == [None, None, *["unparsable"] * 9, "unreadable"]
 
 
+def test_objects_are_told_without_the_parser(frame, monkeypatch):
+    """Malformed texts cost the parser exceptions, so only deep brackets and other values may reach it."""
+    good = '{"streams": [], "format": {"size": "}\\"{"}}'
+    texts = {good: True, f" {good}\n": True, '{"a":' + "[" * 5 + "1" + "]" * 5 + "}": True, '{"a":"' + 400_000 * 'x\\n' + '"}': True,
+             good.replace('"', "'"): False, good + " rest": False, good + " 1": False, good + good: False, f"{good}],[{good}": False,
+             good + '},{"d":' + good: False, '{"a": NaN}': False, "Prose, of a kind.": False, '{"a": "\t"}': False, "": False}
+    monkeypatch.setattr(probe, "_parsed_alone", lambda doc: F.raise_error(F.lit("parsed")).cast("boolean"))
+    d = frame([(t,) for t in texts], "doc string")
+    assert {r["doc"]: r["alone"] for r in d.select("doc", probe._alone(F.col("doc")).alias("alone")).collect()} == texts
+
+
+def test_patterns_agree_with_the_parser(frame, monkeypatch):
+    rnd, tokens = random.Random(7), ["{", "}", "[", "]", ",", ":", '"a"', '"}"', '"\\""', "1", "-0.5e3", "01", "true", "null", " ", "\n", "é", '{"a":1}', '"k":[]', '{"a":{"b":[[[[[[[1]]]]]]]}}']
+    texts = ["".join(rnd.choices(tokens, k=rnd.randint(1, 7))) for _ in range(4000)]
+    texts += ["{" + ",".join(rnd.choices(['"k":1', '"m":[{"a":[]}]', '"n":{"a":"["}', '"o":[[[[[[[[1]]]]]]]]'], k=rnd.randint(0, 3))) + "}" + rnd.choice(["", "", " ", ",", "}", "1", "[]"]) for _ in range(1000)]
+    d = frame(list(enumerate(texts)), "path int, doc string")
+    got = {r["path"]: r["reject_reason"] for r in probe.parse_json(d, "doc").collect()}
+    monkeypatch.setattr(probe, "_alone", probe._parsed_alone)
+    want = {r["path"]: r["reject_reason"] for r in probe.parse_json(d, "doc").collect()}
+    assert got == want
+    assert 500 < sum(r is None for r in want.values()) < 4000
+
+
 def test_report_is_written_once_and_in_order(spark, frame, tmp_path):
     media = frame([(2, 5, True), (1, 7, False), (3, None, True)], "idx int, frames long, exact boolean")
     rows = report.source_report(media, "idx", {"twice": F.col("frames") * 2}, "frames", "exact")
