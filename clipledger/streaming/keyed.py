@@ -1,7 +1,7 @@
 """Keyed log operators on unbounded input.
 
-Each operator keeps a bounded state per key and handles one micro-batch of a key
-at a time; batch size is set by the source's admission options
+Each operator keeps a bounded state per key and handles one micro-batch of a
+bucket of keys at a time; batch size is set by the source's admission options
 (``maxFilesPerTrigger`` and the like). Rows of a key are taken in ``seq`` order
 within a batch, batches in arrival order. All outputs are append-only and carry
 ``seq``, so readers get the newest state of a key with ``latest``.
@@ -36,22 +36,25 @@ from clipledger.operators.throttle import Cell
 _L, _D, _S, _B, _Y = T.LongType(), T.DoubleType(), T.StringType(), T.BinaryType(), T.BooleanType()
 #: Nothing is late against so long a delay.
 NEVER_LATE = "36500 days"
+#: Keys are dealt to so many buckets, each with the states of its keys; fixed for a checkpoint.
+BUCKETS = 1024
 def _struct(pairs) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in pairs])
 
 
 def _batch(parts: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
-    """The rows of a key's micro-batch; rows without a number only move the watermark."""
+    """The rows of a bucket's micro-batch; rows without a number only move the watermark."""
     pdf = pd.concat(list(parts), ignore_index=True)
     return pdf[pdf["x_s"].notna()].sort_values(list(order), kind="stable").reset_index(drop=True)
 
 
 class _Operator:
-    """A keyed operator.
+    """A keyed operator, called with the keys of a bucket together.
 
     ``step`` takes a key's rows and its state, if any, and gives a frame without the
     key and the new state; ``end`` gives the frame of a key that ended. The last part
-    of a state is when its key ends, in milliseconds.
+    of a state is when its key ends, in milliseconds. A call of its own for each key
+    costs some milliseconds in Spark; the timer of a bucket is that of its first key.
     """
 
     state: list = []
@@ -60,24 +63,36 @@ class _Operator:
     def end(self, known: tuple) -> pd.DataFrame | None:
         return None
 
-    def __call__(self, key, parts, state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            out = self.end(tuple(state.get))
-            state.remove()
-        else:
-            pdf = _batch(parts, *self.order)
-            if not len(pdf):
-                return
-            out, known = self.step(pdf, tuple(state.get) if state.exists else None)
-            if self.idle_ms is not None:
-                # Past the watermark already if the key was late; it then ends at once.
-                ends = max(known[-1] or 0, int(pdf["x_ms"].max()) + self.idle_ms)
-                known = (*known[:-1], ends)
-            state.update(known)
+    def ends(self, ended: dict) -> list[pd.DataFrame]:
+        """Frames of keys that ended, with their keys."""
+        return [out.assign(x_key=k) for k, known in ended.items() if (out := self.end(known)) is not None]
+
+    def __call__(self, parts, state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: tuple(known) for k, *known in state.get[0]} if state.exists else {}
+        outs, fresh = [], set()
+        if not state.hasTimedOut:
+            for key, pdf in _batch(parts, *self.order).groupby("x_key", sort=False):
+                pdf = pdf.reset_index(drop=True)
+                out, known = self.step(pdf, held.get(key))
+                if self.idle_ms is not None:
+                    known = (*known[:-1], max(known[-1] or 0, int(pdf["x_ms"].max()) + self.idle_ms))
+                held[key] = known
+                fresh.add(key)
+                if out is not None and len(out):
+                    outs.append(out.assign(x_key=key))
+        if self.idle_ms is not None:
+            now = state.getCurrentWatermarkMs()
+            ended = {k: held.pop(k) for k, known in list(held.items()) if k not in fresh and known[-1] < now}
+            outs += self.ends(ended)
+        if held:
+            state.update(([(k, *known) for k, known in held.items()],))
             if self.idle_ms is not None:
-                state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        if out is not None and len(out):
-            out["x_key"] = key[0]
+                # Past the watermark already if a key was late; it then ends with the next batch.
+                state.setTimeoutTimestamp(max(min(known[-1] for known in held.values()), now + 1))
+        elif state.exists:
+            state.remove()
+        if outs:
+            out = pd.concat(outs, ignore_index=True)
             for c in self.texts:  # a column without any text would be one of numbers
                 out[c] = pd.Series([None if pd.isna(v) else v for v in out[c]], index=out.index, dtype=object)
             yield out[self.columns]
@@ -90,9 +105,11 @@ def _apply(df: DataFrame, key, op: _Operator, out_fields) -> DataFrame:
     out = _struct([("x_key", _S), *out_fields])
     op.columns, op.texts = out.names, [f.name for f in out.fields if f.dataType == _S]
     rows = df.select(F.to_json(F.struct(*key)).alias("x_key"), *[c for c in df.columns if c.startswith("x_")])
+    rows = rows.withColumn("x_bucket", F.pmod(F.xxhash64("x_key"), F.lit(BUCKETS)).cast("int"))
     end = GroupStateTimeout.NoTimeout if op.idle_ms is None else GroupStateTimeout.EventTimeTimeout
-    run = lambda k, parts, state: op(k, parts, state)
-    shown = rows.groupBy("x_key").applyInPandasWithState(run, out, _struct([*op.state, ("ends", _L)]), "append", end)
+    run = lambda _, parts, state: op(parts, state)
+    held = _struct([("keys", T.ArrayType(_struct([("key", _S), *op.state, ("ends", _L)])))])
+    shown = rows.groupBy("x_bucket").applyInPandasWithState(run, out, held, "append", end)
     own = F.from_json("x_key", fields)
     return shown.select(*[own[k].alias(k) for k in key], *[n for n, _ in out_fields])
 
@@ -271,8 +288,9 @@ class _Tail(_Operator):
         seq = int(pdf["x_s"].iloc[-1])
         return None if self.idle_ms is not None else pd.DataFrame({"seq": [seq], "tail": [tail]}), (tail, seq, ends)
 
-    def end(self, known):
-        return pd.DataFrame({"seq": [known[1]], "tail": [bytes(known[0])]})
+    def ends(self, ended):
+        seqs, tails = [known[1] for known in ended.values()], [bytes(known[0]) for known in ended.values()]
+        return [pd.DataFrame({"x_key": list(ended), "seq": seqs, "tail": tails})] if ended else []
 
 
 def stream_tail(

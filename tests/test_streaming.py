@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,33 @@ def test_streams_read_tables_of_one_file_and_of_a_folder(spark, tmp_path, rows):
     for place in ("folder", "one"):
         got = stream_queries.stream_pattern(spark, str(tmp_path / place))
         assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_keys_of_a_bucket_end_one_by_one(spark, tmp_path, rows, monkeypatch):
+    """Keys share calls and timers, but each has its own state and its own end."""
+    monkeypatch.setattr(S, "BUCKETS", 1)
+    parts = [[("k", 0, 10), ("o", 1, 10), (None, 2, 10)], [("o", 3, 60), ("p", 4, 300)], [("p", 5, 301)], [("k", 6, 600), ("p", 7, 601)], [("p", 8, 1000)], [("p", 9, 1001)]]
+    src = Source(spark, tmp_path, [], 1)
+    for i, p in enumerate(parts):
+        chunk = [(k, s, t * 1_000_000, "", 0.0, "", "", f"{s};", 0) for k, s, t in p]
+        spark.createDataFrame(chunk, SCHEMA).coalesce(1).write.parquet(str(src.folder / f"{i:03d}"))
+    got = src.run(lambda d: S.stream_tail(timed(d), "key", "seq", "text", 100, "at", "60 seconds", "10 seconds"))
+    ended = sorted((r["key"] or "", r["seq"], bytes(r["tail"]).decode()) for r in got.collect())
+    assert ended == [("", 2, "2;"), ("k", 0, "0;"), ("k", 6, "6;"), ("o", 3, "1;3;")]
+
+
+def test_a_call_handles_many_keys():
+    """Spark's cost of a call is paid by buckets, not by keys."""
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, known):
+            self.known = known
+
+    op, state = S._Tail(100, None), State()
+    op.columns, op.texts = ["x_key", "seq", "tail"], ["x_key"]
+    pdf = pd.DataFrame({"x_key": [str(i % 200) for i in range(600)], "x_s": range(600), "x_b": [b"%d;" % i for i in range(600)]})
+    (out,) = op([pdf.sample(frac=1.0, random_state=1)], state)
+    assert dict(zip(out["x_key"], out["tail"], strict=True)) == {str(k): b"%d;%d;%d;" % (k, k + 200, k + 400) for k in range(200)}
+    assert len(state.known[0]) == 200
