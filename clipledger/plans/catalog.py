@@ -139,15 +139,21 @@ def settle(planned: DataFrame, outputs: DataFrame, job: P.Job, key: str = "path"
     )
 
 
+def _frame_counts(frames: DataFrame, suspects: DataFrame, key: str) -> DataFrame:
+    """Numbers of frames of the suspects. Counted before the join, so that counts and not frames are shuffled."""
+    counted = frames.groupBy(key).agg(F.count(F.lit(1)).alias("__count"))
+    return join_on(counted, suspects.select(key), [key], "left_semi")
+
+
 def settle_with_rescan(
     planned: DataFrame, outputs: DataFrame, frames: DataFrame, job: P.Job, key: str = "path", measured: str | None = None
 ) -> DataFrame:
     """:func:`settle`, and a second judgement where the claimed count may have been the fault.
 
     Sources of failed runs are measured once: their ``frames``, a row per frame,
-    are counted. Where the count differs from the claim, rate and duration are
+    are counted, and counts of other sources are dropped. Where the count differs from the claim, rate and duration are
     judged by it, the target timing is worked out anew and the output is verified
-    against that. Nothing is measured for other sources, nor for those that
+    against that. Nothing is judged again for other sources, nor for those that
     ``measured`` flags as measured before.
     """
     if job.conform:
@@ -158,7 +164,7 @@ def settle_with_rescan(
     if measured is not None:
         runs = runs.where(~F.coalesce(F.col(measured), F.lit(False)))
     suspects = written(join_on(runs, failed, [key], "left_semi"), "suspects")
-    counted = join_on(frames, suspects.select(key), [key], "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("__count"))
+    counted = _frame_counts(frames, suspects, key)
     stale = join_on(suspects, counted, [key]).where(~F.col("__count").eqNullSafe(F.col("frame_count")))
     stale = judge_claims(stale, "fps", "duration", "__count")
     impeached = F.col("impeached_rate").isNotNull()

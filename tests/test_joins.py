@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from clipledger.plans import catalog
 from clipledger.functions.digest import content_signature, provenance_tag
 from clipledger.operators import aggregates as A
 from clipledger.operators import joins as J
@@ -178,3 +179,13 @@ def test_profiles_and_collisions(frame, rows):
     assert rows(A.colliding_keys(p, F.col("d"), F.col("n"))) == [("/a", "clip", 2), ("/b", "clip2", 2)]
     shared = A.colliding_keys(p, F.lit("/out"), F.col("n"))
     assert rows(shared) == [("/out", "clip", 3), ("/out", "clip2", 2)]
+
+
+def test_frames_are_counted_before_they_are_joined(spark, frame, rows):
+    """A row per source is shuffled, not a row per frame."""
+    frames = frame([(p, i) for p, n in (("a", 3), ("b", 2), (None, 2)) for i in range(n)], "path string, frame int")
+    counted = catalog._frame_counts(frames, frame([("a",), ("c",)], "path string"), "path")
+    assert rows(counted, "path", "__count") == [("a", 3)]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [next(i for i, line in enumerate(plan) if name in line) for name in ("Join LeftSemi", "Aggregate")]
+    assert depth == sorted(depth)
