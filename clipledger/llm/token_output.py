@@ -13,6 +13,11 @@ The position of every ``SAMPLE``-th one bit is kept, so ``select`` scans a bound
 stretch. Segments are Parquet rows with the documents' ids beside them, since
 Spark reads and writes those on any store, also where executors share no folder.
 
+Texts go whole to the tokenizers library. Byte-level BPE splits a text into words and
+merges inside each; here the library is told to split into runs of words instead where
+no merge of the vocabulary could join two neighbours, which gives the same ids from
+far fewer pieces. See ``RUNS``; a vocabulary for which it may not hold keeps its words.
+
 Defined results: a NULL text is empty and holds the end id only; NULL ids come
 first; rows that repeat an id are in text order; no rows give no segments.
 """
@@ -20,6 +25,7 @@ first; rows that repeat an id are in text order; no rows give no segments.
 from __future__ import annotations
 
 import array
+import json
 import os
 import struct
 import zlib
@@ -43,6 +49,17 @@ SAMPLE = 256
 SEGMENT_IDS = 2 << 20
 #: Bytes of text handed to the tokenizer at a time.
 PIECE_BYTES = 1 << 20
+#: Most words in a run.
+RUN_WORDS = 24
+
+#: How the library's ByteLevel splits a text.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Those of its words that a run may hold: each is what WORDS matches at its place. Symbols with an apostrophe
+#: and white space of more than one character stay words of their own.
+IN_RUN = r"(?: ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}']++(?!'))|[\t\n\r](?=[!-~])|'(?:[stmd]|re|ve|ll)(?!\p{L}))"
+#: A run goes on before a space, or between two ASCII characters; ``joins_words`` tells which merges may not be then.
+GOES_ON = r"(?:(?= )|(?<=[!-~\t\n\r])(?=[!-~\t\n\r]))"
+RUNS = rf"(?>{IN_RUN}(?:{GOES_ON}{IN_RUN}){{0,{RUN_WORDS - 1}}})|{WORDS}"
 
 
 class EliasFano:
@@ -140,6 +157,35 @@ class Segment:
         return np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)], ends
 
 
+def _kind(char: str) -> str | None:
+    """Of a character of a byte-level token: letter, number, symbol, apostrophe, white space, or none of ASCII's."""
+    if "!" <= char <= "~":
+        return "letter" if char.isalpha() else "number" if char.isdigit() else "'" if char == "'" else "symbol"
+    return "space" if char == "Ġ" else "white" if char in "ĉĊč" else None
+
+
+def joins_words(left: str, right: str) -> bool:
+    """Whether the merge of two byte-level tokens may reach across a place where ``RUNS`` goes on.
+
+    Words of a run have no space but as their first character, and no white space after it, such as a no-break space.
+    """
+    a, b = _kind(left[-1]), _kind(right[0])
+    if b == "space":
+        return a not in ("space", "white") and not right.startswith("ĠÂł")
+    return a in ("letter", "number", "symbol", "white") and b is not None and a != b and (a, b) != ("symbol", "'")
+
+
+def _runs_give_its_ids(settings: dict, alphabet: list[str]) -> bool:
+    """Whether a tokenizer file asks for byte-level words and plain merges, none of which joins words of a run."""
+    words, model = settings["pre_tokenizer"] or {}, settings["model"]
+    if words.get("type") != "ByteLevel" or words.get("add_prefix_space") or not words.get("use_regex", True):
+        return False
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    if model.get("type") != "BPE" or any(model.get(k) for k in odd) or not model["vocab"].keys() >= set(alphabet):
+        return False
+    return not any(joins_words(*(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"])
+
+
 _ENCODERS: dict[str, _Encoder] = {}
 
 
@@ -148,9 +194,14 @@ class _Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            if _runs_give_its_ids(json.load(f), ByteLevel.alphabet()):
+                as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+                self.model.pre_tokenizer = Sequence([Split(Regex(RUNS), "isolated"), as_bytes])
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
 

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -88,3 +89,48 @@ def test_clashing_columns_and_empty_table(clashing, documents, awkward, coder):
     got = [tuple(r) for r in token_output(clashing, VOCABULARY).collect()]
     assert sorted(got, key=lambda r: r[1]) == want(awkward, coder)
     assert token_output(documents([]), VOCABULARY).count() == 0
+
+
+#: Letters, numbers, symbols, apostrophes and white space of one byte and more, control characters, half-width forms.
+ODD = [
+    "a", "B", "the", "é", "É", "ñ", "ß", "中", "の", "я", "ʼ", "ª", "1", "42", "٣", "½", "Ⅷ", "'", "''", "'s", "'re", "'ll", "'S",
+    "’s", ".", ",", "...", "(", "—", "…", "€", "Â", "ł", "Ġ", "Ċ", "🙂", "\u0301", "\u200d", " ", " ", " ", "  ", "\n", "\n\n", "\t",
+    "\r\n", "\v", "\f", "\x1c", "\x00", "\x7f", "\x85", "\u00a0", " \u00a0", "\u2003", "\u2028", "\u3000", "\ufeff", "<|endoftext|>",
+]
+
+
+def test_runs_of_words_give_the_ids_of_words(coder):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(7)
+    texts = [a + b + c for a in ODD for b in ODD for c in ("", " ", "'s", "x", "\u00a0")]
+    texts += ["".join(rng.choices(ODD, k=rng.randint(3, 40))) for _ in range(6000)]
+    texts += ["".join(rng.choices("st '.\n1é", k=rng.randint(3, 60))) for _ in range(6000)]
+    for text, got in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_run_is_one_piece_for_the_library(coder):
+    pieces = coder.model.pre_tokenizer.pre_tokenize_str("It's the café with 2 doors, (red)\nand\tblue")
+    assert len(pieces) == 1
+    assert len(coder.model.pre_tokenizer.pre_tokenize_str("word " * 1000)) < 50
+
+
+@pytest.mark.parametrize(
+    "left,right,text",
+    [("e", "Ġt", "one two three"), ("e", "1", "e1 e1"), (".", "s", ".s a.s"), ("Ċ", "a", "b\na"), ("©", "Ġ", "é é"), ("n", "'", "n't")],
+)
+def test_merges_across_words_keep_the_words(tmp_path, left, right, text):
+    from tokenizers import Tokenizer
+
+    settings = json.load(open(VOCABULARY, encoding="utf-8"))
+    settings["model"]["vocab"] |= {"Ġt": settings["model"]["vocab"]["Ġt"], left + right: 50300}
+    at = 1 if right == "Ġt" else 0
+    settings["model"]["merges"].insert(at, [left, right])
+    path = tmp_path / "crossing.json"
+    path.write_text(json.dumps(settings), encoding="utf-8")
+    plain, crossing = Tokenizer.from_file(str(path)), _Encoder(str(path))
+    (got,) = crossing.encode([text])
+    assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(crossing.model.pre_tokenizer.pre_tokenize_str("one two three")) == 3
